@@ -2,20 +2,20 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.plans.ordered import max_before, number_rows
+from tidemark.plans.ordered import group_sizes, max_before, number_rows
 from tidemark.schemas import STORED_LOG
 
 STREAM = ["partition", "producer_id"]
 ARRIVAL = ["arrival_ms", "attempt", "tie"]
 
 
-def with_acceptance(attempts: DataFrame, direct_rows=None) -> DataFrame:
+def with_acceptance(attempts: DataFrame, direct_rows=None, sizes=None) -> DataFrame:
     """Adds ``high_water`` (largest earlier sequence of the producer in the partition) and ``accepted``.
 
     An attempt is a duplicate when its sequence is not above the high water, even if that number was never
     seen before. The high water over all earlier attempts equals the one over the accepted ones.
     """
-    marked = max_before(attempts, STREAM, ARRIVAL, "seq", "high_water", direct_rows)
+    marked = max_before(attempts, STREAM, ARRIVAL, "seq", "high_water", direct_rows, sizes)
     return marked.withColumn("accepted", F.col("high_water").isNull() | (F.col("seq") > F.col("high_water")))
 
 
@@ -23,15 +23,29 @@ def idempotent_dedup(attempts: DataFrame, direct_rows=None) -> DataFrame:
     return with_acceptance(attempts, direct_rows).where("accepted").select(*attempts.columns)
 
 
-def with_offsets(accepted: DataFrame, direct_rows=None) -> DataFrame:
+def with_offsets(accepted: DataFrame, direct_rows=None, sizes=None) -> DataFrame:
     """Adds the dense zero-based ``offset`` of each record in its partition, in arrival order."""
-    return number_rows(accepted, ["partition"], ARRIVAL, "offset", direct_rows)
+    return number_rows(accepted, ["partition"], ARRIVAL, "offset", direct_rows, sizes)
+
+
+def _accept_and_number(attempts: DataFrame, direct_rows):
+    """(attempts with ``accepted``, accepted ones with ``offset``), with one pass over the input for sizes.
+
+    The attempts per partition bound its records, so the second step needs no run of the first to be planned.
+    """
+    sizes = group_sizes(attempts, STREAM).persist()
+    try:
+        marked = with_acceptance(attempts, direct_rows, sizes)
+        per_partition = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
+        return marked, with_offsets(marked.where("accepted"), direct_rows, per_partition)
+    finally:
+        sizes.unpersist()
 
 
 def log_records(attempts: DataFrame, direct_rows=None) -> DataFrame:
     """Attempts to stored records: retries dropped, offsets assigned, arrival time as the record's timestamp."""
-    kept = with_offsets(idempotent_dedup(attempts, direct_rows), direct_rows)
-    return kept.withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names)
+    _, stored = _accept_and_number(attempts, direct_rows)
+    return stored.withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names)
 
 
 def append_acks(attempts: DataFrame, direct_rows=None) -> DataFrame:
@@ -40,8 +54,7 @@ def append_acks(attempts: DataFrame, direct_rows=None) -> DataFrame:
     A duplicate is answered with the producer's latest accepted offset in the partition. That record is the
     one whose sequence is the duplicate's high water, so an equality join finds it without another ordering.
     """
-    marked = with_acceptance(attempts, direct_rows)
-    stored = with_offsets(marked.where("accepted"), direct_rows)
+    marked, stored = _accept_and_number(attempts, direct_rows)
     found = stored.select(*STREAM, F.col("seq").alias("high_water"), F.col("offset").alias("ack_offset"))
     duplicates = marked.where("NOT accepted").join(found, [*STREAM, "high_water"], "left")
     columns = [*attempts.columns, "accepted", "ack_offset"]

@@ -181,6 +181,7 @@ def sql() -> dict:
         "event_from_json": _with("""
             SELECT w."partition", w."offset", s.device_id, s.temperature, s.event_ms
             FROM wide w JOIN sensor s ON s.event_id = w.tie""", "wide", "sensor"),
+        "append_attempts": _with(f"SELECT {_ATTEMPT} FROM attempts", "attempts"),
         "idempotent_dedup": _with(f"SELECT {_ATTEMPT} FROM kept", "kept"),
         "idempotent_dedup_sliced": _with(f"SELECT {_ATTEMPT} FROM kept", "kept"),
         "log_offsets": _with(f"SELECT {_LOG} FROM log", "log"),

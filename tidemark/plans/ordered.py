@@ -33,13 +33,21 @@ def sliced(df: DataFrame, keys, label="sliced") -> DataFrame:
     return materialize(stamped, label).withColumn("_slice", F.shiftright("_pos", _SLICE_SHIFT))
 
 
-def split_hot(df: DataFrame, group, direct_rows=None):
+def group_sizes(df: DataFrame, group) -> DataFrame:
+    """Rows per group, from the group columns alone."""
+    return df.groupBy(*group).agg(F.count("*").alias("_n"))
+
+
+def split_hot(df: DataFrame, group, direct_rows=None, sizes=None):
     """(rows of ordinary groups, rows of groups too large for one task); ``None`` for a side with no rows.
 
-    The sizes come from a count over the group columns alone. At most ``MAX_HOT`` keys reach the driver.
+    ``sizes`` may hold known sizes, or upper bounds of them, for all groups. At most ``MAX_HOT`` keys reach
+    the driver. An infinite ``direct_rows`` skips the check, for input whose size is bounded elsewhere.
     """
     limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    if limit == float("inf"):
+        return df, None
+    sizes = group_sizes(df, group) if sizes is None else sizes
     total, largest, groups = sizes.agg(F.sum("_n"), F.max("_n"), F.count("*")).first()
     if largest is None or largest <= limit:
         return df, None
@@ -73,6 +81,7 @@ def _max_before_direct(df, group, order, value, into):
 def _max_before_sliced(df, group, order, value, into):
     rows = sliced(df, [*group, *order], "max-before")
     per_slice = rows.groupBy("_slice", *group).agg(F.max(value).alias("_top"))
+    # At most one row per slice in each of these windows.
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # Only the first group of a slice can have begun in an earlier one, so this keeps at most one row per slice.
     carried = (per_slice.withColumn("_carry", F.max("_top").over(earlier))
@@ -85,12 +94,12 @@ def _max_before_sliced(df, group, order, value, into):
                     F.greatest("_local", "_carry").alias(into)))
 
 
-def max_before(df: DataFrame, group, order, value, into, direct_rows=None) -> DataFrame:
+def max_before(df: DataFrame, group, order, value, into, direct_rows=None, sizes=None) -> DataFrame:
     """Adds the largest ``value`` among the earlier rows of the same group, NULL for the first row.
 
     ``order`` must be unique within a group. Groups above ``direct_rows`` go through the sliced form.
     """
-    return _both(split_hot(df, group, direct_rows),
+    return _both(split_hot(df, group, direct_rows, sizes),
                  lambda rows: _max_before_direct(rows, group, order, value, into),
                  lambda rows: _max_before_sliced(rows, group, order, value, into))
 
@@ -113,8 +122,8 @@ def _number_sliced(df, group, order, into):
                     (F.col("_pos") + F.col("_base")).alias(into)))
 
 
-def number_rows(df: DataFrame, group, order, into, direct_rows=None) -> DataFrame:
+def number_rows(df: DataFrame, group, order, into, direct_rows=None, sizes=None) -> DataFrame:
     """Adds dense numbers 0..n-1 per group in ``order`` (unique within the group)."""
-    return _both(split_hot(df, group, direct_rows),
+    return _both(split_hot(df, group, direct_rows, sizes),
                  lambda rows: _number_direct(rows, group, order, into),
                  lambda rows: _number_sliced(rows, group, order, into))

@@ -26,16 +26,28 @@ def rounded(result: DataFrame) -> DataFrame:
     return (result.withColumn("sum", F.round("sum", 2)).withColumn("avg", scalar.average("sum", "count")))
 
 
-def stored_log(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the log table built from the append attempts; written once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
+    """Path of a table derived from the given ones; written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _stored:
-        path = scratch_path(spark, "log")
-        log_table.write_log(append.log_records(tables.append_attempts(spark, sf_dir, PARTITIONS)), path)
+        path = scratch_path(spark, label)
+        write(path)
         _stored[key] = path
     return _stored[key]
 
 
+def _attempts(spark, sf_dir) -> DataFrame:
+    path = _once(spark, sf_dir, "attempts", lambda to: tables.append_attempts(
+        spark, sf_dir, PARTITIONS).write.parquet(to))
+    return spark.read.schema(ATTEMPT).parquet(path)
+
+
+def stored_log(spark, sf_dir) -> str:
+    """The log table built from the append attempts."""
+    return _once(spark, sf_dir, "log", lambda to: log_table.write_log(
+        append.log_records(_attempts(spark, sf_dir)), to, arranged=True))
+
+
 def _log(spark, sf_dir) -> DataFrame:
     return log_table.read_log(spark, stored_log(spark, sf_dir), STORED_LOG)
 
@@ -72,7 +84,7 @@ def log_fan_in(spark, sf_dir):
 def log_append(spark, sf_dir):
     """Writes a new log table and reads back what was stored."""
     path = scratch_path(spark, "log-append")
-    log_table.write_log(append.log_records(tables.append_attempts(spark, sf_dir, PARTITIONS)), path)
+    log_table.write_log(append.log_records(_attempts(spark, sf_dir)), path, arranged=True)
     return log_table.read_log(spark, path, STORED_LOG)
 
 
@@ -191,7 +203,7 @@ def window_conservation(spark, sf_dir):
 
 # --- appending ---------------------------------------------------------------------------------------------
 
-def _attempts(spark, sf_dir):
+def append_attempts(spark, sf_dir):
     return tables.append_attempts(spark, sf_dir, PARTITIONS)
 
 
@@ -357,7 +369,7 @@ def registered() -> dict:
             window_rollup, windows_completed, windows_active, window_conservation, run_counters,
             late_accept, late_rejects, late_arrivals, lateness_profile, round_half_up_1dp,
             log_scan, log_fetch, log_fan_in, log_append, event_to_json, event_from_json, dead_letters,
-            key_hash_text, idempotent_dedup, idempotent_dedup_sliced, log_offsets, log_offsets_sliced,
+            key_hash_text, append_attempts, idempotent_dedup, idempotent_dedup_sliced, log_offsets, log_offsets_sliced,
             append_acks, producer_state, log_end_offsets, consumer_progress,
             latency_percentiles, latency_percentiles_all, latency_summary, latency_summary_by_user,
             throughput, throughput_by_bucket, reconcile_loss, lost_records, offset_audit,

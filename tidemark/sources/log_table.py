@@ -5,14 +5,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.schemas import LOG, STORED_LOG
 
 
-def write_log(records: DataFrame, path: str, mode="append") -> None:
+def write_log(records: DataFrame, path: str, mode="append", arranged=False) -> None:
     """Appends records that already carry offsets.
 
     Range-partitioned by (partition, offset): a large partition spreads over many files, each with a narrow
-    offset range, so a bounded read can skip whole files and row groups by their statistics.
+    offset range, so a bounded read can skip whole files and row groups by their statistics. Records fresh
+    from offset assignment already come that way; ``arranged`` then saves the shuffle.
     """
-    (records.select(*STORED_LOG.names)
-     .repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset")
+    rows = records.select(*STORED_LOG.names)
+    if not arranged:
+        rows = rows.repartitionByRange("partition", "offset")
+    (rows.sortWithinPartitions("partition", "offset")
      .write.partitionBy("partition").mode(mode).parquet(path))
 
 

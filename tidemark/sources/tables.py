@@ -23,10 +23,10 @@ DAY_MS = 24 * HOUR_MS
 
 def epoch_ms(ts: str):
     """Epoch milliseconds of a zone-free timestamp, read as UTC whatever the session's time zone."""
-    c = F.col(ts)
-    seconds = F.hour(c) * 3600 + F.minute(c) * 60
-    return (F.unix_date(F.to_date(c)).cast("long") * DAY_MS + seconds.cast("long") * 1000
-            + F.floor(F.date_part(F.lit("SECOND"), c) * 1000).cast("long"))
+    since = F.expr(f"{ts} - TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    hours = F.extract(F.lit("DAY"), since).cast("long") * 24 + F.extract(F.lit("HOUR"), since)
+    minutes = hours * 60 + F.extract(F.lit("MINUTE"), since)
+    return minutes * 60_000 + F.floor(F.extract(F.lit("SECOND"), since) * 1000).cast("long")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

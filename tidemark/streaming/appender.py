@@ -9,8 +9,10 @@ other, and repeating a batch after a failure gives the same result.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.append import STREAM, producer_state, with_acceptance, with_offsets
+from tidemark.plans.ordered import group_sizes
 from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
 from tidemark.session import path_exists
+from tidemark.sources.log_table import write_log
 
 
 def _slot(state_path: str, batch_id: int) -> str:
@@ -34,8 +36,13 @@ def _remembered(state: DataFrame) -> DataFrame:
 def accept_batch(attempts: DataFrame, state: DataFrame, direct_rows=None) -> DataFrame:
     """Records of one micro-batch, with offsets that continue where each partition ended."""
     together = attempts.select(*ATTEMPT.names).unionByName(_remembered(state))
-    accepted = with_acceptance(together, direct_rows).where("accepted AND attempt >= 0")
-    numbered = with_offsets(accepted, direct_rows)
+    sizes = group_sizes(together, STREAM).persist()
+    try:
+        accepted = with_acceptance(together, direct_rows, sizes).where("accepted AND attempt >= 0")
+        per_partition = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
+        numbered = with_offsets(accepted, direct_rows, per_partition)
+    finally:
+        sizes.unpersist()
     # One row per log partition.
     ends = state.groupBy("partition").agg((F.max("last_offset") + 1).alias("_base"))
     return (numbered.join(F.broadcast(ends), "partition", "left")
@@ -51,8 +58,7 @@ def append_handler(log_path: str, state_path: str, direct_rows=None):
         batch_path = f"{log_path}/batch_id={batch_id}"
         if not path_exists(spark, f"{batch_path}/_SUCCESS"):
             records = accept_batch(frame, state, direct_rows)
-            (records.repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset")
-             .write.partitionBy("partition").mode("overwrite").parquet(batch_path))
+            write_log(records, batch_path, mode="overwrite", arranged=True)
         written = spark.read.schema(STORED_LOG).parquet(batch_path)
         merged = (state.unionByName(producer_state(written))
                   .groupBy(*STREAM).agg(F.max("last_seq").alias("last_seq"),
