@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import append, audit
 from tidemark.plans.ordered import max_before, number_rows, split_hot
-from tidemark.schemas import ATTEMPT
+from tidemark.schemas import ATTEMPT, STORED_LOG
+from tidemark.sources import log_table
 
 FORMS = [None, 0, 3]  # all direct, all sliced, and a mix: groups above three rows are hot
 
@@ -132,6 +133,25 @@ def test_results_do_not_depend_on_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+@pytest.mark.parametrize("form", FORMS)
+def test_appending_to_an_existing_log(spark, tmp_path, form):
+    rng = random.Random(11)
+    rows = [(rng.randrange(2), rng.choice("ab"), rng.randrange(80)) for _ in range(200)]
+    df, path = attempts(spark, rows), str(tmp_path / "log")
+    for part in (df.where("tie < 120"), df.where("tie >= 120"), df):   # the last one repeats everything
+        append.append_to_log(spark, part, path, form)
+    key = ["partition", "offset", "producer_id", "seq", "timestamp"]
+    stored = log_table.read_log(spark, path, STORED_LOG).select(*key)
+    want = append.log_records(df).select(*key)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_plain_append_keeps_retries(spark, form):
+    log = append.append_plain(attempts(spark, [(0, "p", 0), (0, "p", 0), (1, "p", 0), (0, "p", 1)]), form)
+    assert sorted((r.partition, r.offset, r.seq) for r in log.collect()) == [(0, 0, 0), (0, 1, 0), (0, 2, 1), (1, 0, 0)]
+
+
 def test_state_and_end_offsets(spark):
     log = append.log_records(attempts(spark, [(0, "p", 0), (0, "q", 4), (0, "p", 3), (1, "p", 2), (0, "p", 1)]))
     state = {(r.partition, r.producer_id): (r.last_seq, r.last_offset) for r in append.producer_state(log).collect()}

@@ -59,7 +59,15 @@ def test_late_rows_are_counted_one_by_one(spark, tmp_path):
     feed = Feed(spark, tmp_path, SENSOR_EVENT_ARRIVAL,
                 lambda df: stream.window_stream(stream.counted(df, grace_ms=1_000), grace_ms=1_000))
     query = feed.send([("d", 1.0, 50_000, 50_000), ("d", 1.0, 1_000, 50_000), ("d", 1.0, 1_001, 50_000)])
-    assert stream.metric_total(query) == {"processed": 1, "late": 2}
+    assert stream.run_report(query) == {"processed": 1, "late": 2, "active_windows": 1, "flushed_windows": 0}
+    query = feed.send([("d", 1.0, 70_000, 70_000), ("d", 1.0, 50_001, 70_000)])
+    assert stream.run_report(query) == {"processed": 1, "late": 1, "active_windows": 1, "flushed_windows": 1}
+
+
+def test_arrival_stamp(spark, tmp_path):
+    feed = Feed(spark, tmp_path, SENSOR_EVENT, lambda df: windows.late_rejects(stream.stamp_arrival(df)))
+    feed.send([("d", 1.0, 1_000), ("d", 2.0, 4_000_000_000_000)])
+    assert [r[:3] for r in feed.rows()] == [("d", 1.0, 1_000)]
 
 
 def test_handler_receives_each_completed_window(spark, tmp_path):

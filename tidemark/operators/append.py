@@ -1,9 +1,11 @@
 """From append attempts to log records: drop retries, number what is left, acknowledge every attempt."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.ordered import group_sizes, max_before, number_rows
-from tidemark.schemas import STORED_LOG
+from tidemark.plans.ordered import group_sizes, max_before, number_rows, sum_before
+from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
+from tidemark.session import path_exists
+from tidemark.sources.log_table import read_log, write_log
 
 STREAM = ["partition", "producer_id"]
 ARRIVAL = ["arrival_ms", "attempt", "tie"]
@@ -28,38 +30,84 @@ def with_offsets(accepted: DataFrame, direct_rows=None, sizes=None) -> DataFrame
     return number_rows(accepted, ["partition"], ARRIVAL, "offset", direct_rows, sizes)
 
 
-def _accept_and_number(attempts: DataFrame, direct_rows):
-    """(attempts with ``accepted``, accepted ones with ``offset``), with one pass over the input for sizes.
+def _with_sizes(attempts: DataFrame, build):
+    """``build(sizes per producer, sizes per partition)`` after one pass over the input for both.
 
-    The attempts per partition bound its records, so the second step needs no run of the first to be planned.
+    The attempts per partition bound its records, so numbering needs no run of the dedup to be planned.
     """
     sizes = group_sizes(attempts, STREAM).persist()
     try:
-        marked = with_acceptance(attempts, direct_rows, sizes)
-        per_partition = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
-        return marked, with_offsets(marked.where("accepted"), direct_rows, per_partition)
+        return build(sizes, sizes.groupBy("partition").agg(F.sum("_n").alias("_n")))
     finally:
         sizes.unpersist()
 
 
 def log_records(attempts: DataFrame, direct_rows=None) -> DataFrame:
     """Attempts to stored records: retries dropped, offsets assigned, arrival time as the record's timestamp."""
-    _, stored = _accept_and_number(attempts, direct_rows)
-    return stored.withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names)
+    def build(per_producer, per_partition):
+        kept = with_acceptance(attempts, direct_rows, per_producer).where("accepted")
+        return with_offsets(kept, direct_rows, per_partition)
+    return _as_records(_with_sizes(attempts, build))
+
+
+def _as_records(numbered: DataFrame) -> DataFrame:
+    return numbered.withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names)
+
+
+def append_plain(attempts: DataFrame, direct_rows=None) -> DataFrame:
+    """Appends every attempt, retries included."""
+    return _as_records(with_offsets(attempts, direct_rows))
 
 
 def append_acks(attempts: DataFrame, direct_rows=None) -> DataFrame:
     """Every attempt with ``accepted`` and ``ack_offset``.
 
-    A duplicate is answered with the producer's latest accepted offset in the partition. That record is the
-    one whose sequence is the duplicate's high water, so an equality join finds it without another ordering.
+    A duplicate is answered with the producer's latest accepted offset in the partition. Offsets of a producer
+    only grow, so that is the largest one before the duplicate. One pass in three orderings, no join.
+    """
+    def build(per_producer, per_partition):
+        marked = with_acceptance(attempts, direct_rows, per_producer)
+        counted = sum_before(marked.withColumn("_one", F.col("accepted").cast("long")), ["partition"], ARRIVAL,
+                             "_one", "_stored", direct_rows, per_partition)
+        offset = F.when(F.col("accepted"), F.coalesce("_stored", F.lit(0)))
+        return max_before(counted.withColumn("_offset", offset), STREAM, ARRIVAL, "_offset", "_latest",
+                          direct_rows, per_producer)
+    return _with_sizes(attempts, build).select(
+        *attempts.columns, "accepted", F.coalesce("_offset", "_latest").alias("ack_offset"))
+
+
+def _remembered(state: DataFrame) -> DataFrame:
+    """State rows in the shape of attempts that arrived before anything else."""
+    known = {"partition": F.col("partition"), "producer_id": F.col("producer_id"), "seq": F.col("last_seq"),
+             "attempt": F.lit(-1), "arrival_ms": F.lit(-(2 ** 62)), "tie": F.lit(-1)}
+    return state.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTEMPT])
+
+
+def accept_batch(attempts: DataFrame, state: DataFrame, direct_rows=None) -> DataFrame:
+    """Records of a batch that follows what ``state`` (see ``producer_state``) remembers of earlier ones.
+
+    Retries of records stored earlier are dropped too, and offsets continue where each partition ended.
+    """
+    together = attempts.select(*ATTEMPT.names).unionByName(_remembered(state))
+
+    def build(per_producer, per_partition):
+        kept = with_acceptance(together, direct_rows, per_producer).where("accepted AND attempt >= 0")
+        return with_offsets(kept, direct_rows, per_partition)
+    # One row per log partition.
+    ends = state.groupBy("partition").agg((F.max("last_offset") + 1).alias("_base"))
+    numbered = (_with_sizes(together, build).join(F.broadcast(ends), "partition", "left")
+                .withColumn("offset", F.col("offset") + F.coalesce("_base", F.lit(0))))
+    return _as_records(numbered)
+
+
+def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, direct_rows=None) -> None:
+    """Appends a batch of attempts to a stored log, new or existing.
+
+    What producers sent before is read from the log itself, so running the same batch again stores nothing.
     """
-    marked, stored = _accept_and_number(attempts, direct_rows)
-    found = stored.select(*STREAM, F.col("seq").alias("high_water"), F.col("offset").alias("ack_offset"))
-    duplicates = marked.where("NOT accepted").join(found, [*STREAM, "high_water"], "left")
-    columns = [*attempts.columns, "accepted", "ack_offset"]
-    return (stored.withColumnRenamed("offset", "ack_offset").select(*columns)
-            .unionByName(duplicates.select(*columns)))
+    state = (producer_state(read_log(spark, path, STORED_LOG)) if path_exists(spark, path)
+             else spark.createDataFrame([], PRODUCER_STATE))
+    write_log(accept_batch(attempts, state, direct_rows), path, arranged=True)
 
 
 def producer_state(log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions.scalar import latency_ms
+from tidemark.functions.scalar import latency_ms, window_start
 from tidemark.schemas import PERCENTILES
 
 # Values are ranked in bins of this many consecutive integers.
@@ -87,7 +87,6 @@ def throughput(events: DataFrame, seconds: int, by=()) -> DataFrame:
 
 
 def throughput_by_bucket(events: DataFrame, bucket_ms: int, ts_ms="event_ms") -> DataFrame:
-    from tidemark.functions.scalar import window_start
     keyed = events.withColumn("bucket_start_ms", window_start(ts_ms, bucket_ms))
     return (keyed.groupBy("bucket_start_ms").agg(F.count("*").alias("events"))
             .withColumn("whole_per_sec", F.expr(f"events * 1000 div {int(bucket_ms)}"))

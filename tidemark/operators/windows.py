@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.scalar import average, completed_before, is_late, window_end, window_start, with_window
-from tidemark.schemas import GRACE_MS, WINDOW_MS
+from tidemark.functions.scalar import (average, completed_before, is_late, lateness_flag, lateness_ms,
+                                       window_end, window_start, with_window)
+from tidemark.schemas import GRACE_MS, LATE_FLAG_MS, WINDOW_MS
 
 RESULT = ["device_id", "window_start_ms", "window_end_ms", "count", "sum", "avg", "max"]
 
@@ -77,8 +78,8 @@ def window_conservation(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS)
             .withColumn("conserved", F.col("readings") == F.col("accepted")))
 
 
-def lateness_profile(events: DataFrame, threshold_ms, by=()) -> DataFrame:
-    from tidemark.functions.scalar import lateness_flag, lateness_ms
+def lateness_profile(events: DataFrame, threshold_ms=LATE_FLAG_MS, by=()) -> DataFrame:
+    """Events more than ``threshold_ms`` behind their arrival, and the others."""
     late = lateness_flag(threshold_ms=threshold_ms)
     return events.groupBy(*by).agg(
         F.count("*").alias("events"), F.count_if(late).alias("late"), F.count_if(~late).alias("on_time"),

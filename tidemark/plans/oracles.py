@@ -111,6 +111,15 @@ _UTF16 = """
     FROM documents"""
 
 
+_ACKS = _with(f"""
+    SELECT {_ATTEMPT}, "offset" IS NOT NULL AS accepted,
+           last_value("offset" IGNORE NULLS) OVER (PARTITION BY "partition", producer_id
+               ORDER BY arrival_ms, attempt, tie
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ack_offset
+    FROM marked LEFT JOIN (SELECT tie AS t, attempt AS n, "offset" FROM wide) w
+         ON w.t = marked.tie AND w.n = marked.attempt""", "marked", "wide")
+
+
 def _audit(source: str) -> str:
     return _with(f"""
         SELECT *, first_offset = 0 AND duplicates = 0 AND missing = 0 AS contiguous FROM (
@@ -187,13 +196,11 @@ def sql() -> dict:
         "log_offsets": _with(f"SELECT {_LOG} FROM log", "log"),
         "log_offsets_sliced": _with(f"SELECT {_LOG} FROM log", "log"),
         "stream_dedup": _with(f"SELECT {_LOG} FROM log", "log"),
-        "append_acks": _with(f"""
-            SELECT {_ATTEMPT}, "offset" IS NOT NULL AS accepted,
-                   last_value("offset" IGNORE NULLS) OVER (PARTITION BY "partition", producer_id
-                       ORDER BY arrival_ms, attempt, tie
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ack_offset
-            FROM marked LEFT JOIN (SELECT tie AS t, attempt AS n, "offset" FROM wide) w
-                 ON w.t = marked.tie AND w.n = marked.attempt""", "marked", "wide"),
+        "append_plain": _with("""
+            SELECT "partition", row_number() OVER (PARTITION BY "partition" ORDER BY arrival_ms, attempt, tie) - 1
+                   AS "offset", key, value, arrival_ms AS "timestamp", producer_id, seq FROM attempts""", "attempts"),
+        "append_acks": _ACKS,
+        "append_acks_sliced": _ACKS,
         "producer_state": _with("""
             SELECT "partition", producer_id, max(seq) AS last_seq, max("offset") AS last_offset
             FROM log GROUP BY 1, 2""", "log"),

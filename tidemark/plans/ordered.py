@@ -73,35 +73,52 @@ def _both(parts, direct, by_slice):
     return reduce(DataFrame.unionByName, done)
 
 
-def _max_before_direct(df, group, order, value, into):
+# What a running value is made of: the aggregate over rows, and how two partial results become one.
+_RUNNING = {
+    "max": (F.max, F.greatest),
+    "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
+}
+
+
+def _before_direct(df, group, order, value, into, how):
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(into, F.max(value).over(window))
+    return df.withColumn(into, _RUNNING[how][0](value).over(window))
 
 
-def _max_before_sliced(df, group, order, value, into):
-    rows = sliced(df, [*group, *order], "max-before")
-    per_slice = rows.groupBy("_slice", *group).agg(F.max(value).alias("_top"))
+def _before_sliced(df, group, order, value, into, how):
+    aggregate, combine = _RUNNING[how]
+    rows = sliced(df, [*group, *order], f"{how}-before")
+    per_slice = rows.groupBy("_slice", *group).agg(aggregate(value).alias("_part"))
     # At most one row per slice in each of these windows.
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # Only the first group of a slice can have begun in an earlier one, so this keeps at most one row per slice.
-    carried = (per_slice.withColumn("_carry", F.max("_top").over(earlier))
+    carried = (per_slice.withColumn("_carry", aggregate("_part").over(earlier))
                .where("_carry IS NOT NULL").select("_slice", *group, "_carry"))
-    here = Window.partitionBy("_slice", *group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_local", F.max(value).over(here))
     keys = ["_slice", *group]
+    here = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", aggregate(value).over(here))
     return (local.alias("l").join(F.broadcast(carried).alias("c"), _equal(keys, "l", "c"), "left")
             .select(*[F.col(f"l.{c}") for c in df.columns],
-                    F.greatest("_local", "_carry").alias(into)))
+                    combine(F.col("_local"), F.col("_carry")).alias(into)))
+
+
+def _before(df, group, order, value, into, how, direct_rows, sizes):
+    return _both(split_hot(df, group, direct_rows, sizes),
+                 lambda rows: _before_direct(rows, group, order, value, into, how),
+                 lambda rows: _before_sliced(rows, group, order, value, into, how))
 
 
 def max_before(df: DataFrame, group, order, value, into, direct_rows=None, sizes=None) -> DataFrame:
-    """Adds the largest ``value`` among the earlier rows of the same group, NULL for the first row.
+    """Adds the largest ``value`` among the earlier rows of the same group, NULL where there is none.
 
     ``order`` must be unique within a group. Groups above ``direct_rows`` go through the sliced form.
     """
-    return _both(split_hot(df, group, direct_rows, sizes),
-                 lambda rows: _max_before_direct(rows, group, order, value, into),
-                 lambda rows: _max_before_sliced(rows, group, order, value, into))
+    return _before(df, group, order, value, into, "max", direct_rows, sizes)
+
+
+def sum_before(df: DataFrame, group, order, value, into, direct_rows=None, sizes=None) -> DataFrame:
+    """The same with the sum of the earlier values."""
+    return _before(df, group, order, value, into, "sum", direct_rows, sizes)
 
 
 def _number_direct(df, group, order, into):

@@ -223,10 +223,18 @@ def log_offsets_sliced(spark, sf_dir):
     return append.log_records(_attempts(spark, sf_dir), SLICED)
 
 
+def append_plain(spark, sf_dir):
+    return append.append_plain(_attempts(spark, sf_dir))
+
+
 def append_acks(spark, sf_dir):
     return append.append_acks(_attempts(spark, sf_dir))
 
 
+def append_acks_sliced(spark, sf_dir):
+    return append.append_acks(_attempts(spark, sf_dir), SLICED)
+
+
 def producer_state(spark, sf_dir):
     return append.producer_state(_log(spark, sf_dir))
 
@@ -370,7 +378,7 @@ def registered() -> dict:
             late_accept, late_rejects, late_arrivals, lateness_profile, round_half_up_1dp,
             log_scan, log_fetch, log_fan_in, log_append, event_to_json, event_from_json, dead_letters,
             key_hash_text, append_attempts, idempotent_dedup, idempotent_dedup_sliced, log_offsets, log_offsets_sliced,
-            append_acks, producer_state, log_end_offsets, consumer_progress,
+            append_plain, append_acks, append_acks_sliced, producer_state, log_end_offsets, consumer_progress,
             latency_percentiles, latency_percentiles_all, latency_summary, latency_summary_by_user,
             throughput, throughput_by_bucket, reconcile_loss, lost_records, offset_audit,
             offset_audit_damaged, offset_duplicates, replica_diff, replica_summary, device_liveness,

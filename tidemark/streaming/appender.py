@@ -4,13 +4,14 @@ Each micro-batch goes through the same operators as a batch job, so a hot produc
 same way. What has to be remembered is one small row per (partition, producer): its last sequence and offset.
 It is kept as a table in two slots that alternate by batch number, so a batch reads one slot and writes the
 other, and repeating a batch after a failure gives the same result.
+
+The checkpoint of the query, the log and the state belong together: start a new query with new ones.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.append import STREAM, producer_state, with_acceptance, with_offsets
-from tidemark.plans.ordered import group_sizes
-from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
+from tidemark.operators.append import STREAM, accept_batch, producer_state
+from tidemark.schemas import PRODUCER_STATE, STORED_LOG
 from tidemark.session import path_exists
 from tidemark.sources.log_table import write_log
 
@@ -26,30 +27,6 @@ def load_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame
     return spark.read.schema(PRODUCER_STATE).parquet(_slot(state_path, batch_id - 1))
 
 
-def _remembered(state: DataFrame) -> DataFrame:
-    """State rows in the shape of attempts that arrived before anything else."""
-    known = {"partition": F.col("partition"), "producer_id": F.col("producer_id"), "seq": F.col("last_seq"),
-             "attempt": F.lit(-1), "arrival_ms": F.lit(-(2 ** 62)), "tie": F.lit(-1)}
-    return state.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTEMPT])
-
-
-def accept_batch(attempts: DataFrame, state: DataFrame, direct_rows=None) -> DataFrame:
-    """Records of one micro-batch, with offsets that continue where each partition ended."""
-    together = attempts.select(*ATTEMPT.names).unionByName(_remembered(state))
-    sizes = group_sizes(together, STREAM).persist()
-    try:
-        accepted = with_acceptance(together, direct_rows, sizes).where("accepted AND attempt >= 0")
-        per_partition = sizes.groupBy("partition").agg(F.sum("_n").alias("_n"))
-        numbered = with_offsets(accepted, direct_rows, per_partition)
-    finally:
-        sizes.unpersist()
-    # One row per log partition.
-    ends = state.groupBy("partition").agg((F.max("last_offset") + 1).alias("_base"))
-    return (numbered.join(F.broadcast(ends), "partition", "left")
-            .withColumn("offset", F.col("offset") + F.coalesce("_base", F.lit(0)))
-            .withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names))
-
-
 def append_handler(log_path: str, state_path: str, direct_rows=None):
     """A ``foreachBatch`` handler that appends each micro-batch to the log exactly once."""
     def handle(frame: DataFrame, batch_id: int):
@@ -57,8 +34,7 @@ def append_handler(log_path: str, state_path: str, direct_rows=None):
         state = load_state(spark, state_path, batch_id)
         batch_path = f"{log_path}/batch_id={batch_id}"
         if not path_exists(spark, f"{batch_path}/_SUCCESS"):
-            records = accept_batch(frame, state, direct_rows)
-            write_log(records, batch_path, mode="overwrite", arranged=True)
+            write_log(accept_batch(frame, state, direct_rows), batch_path, mode="overwrite", arranged=True)
         written = spark.read.schema(STORED_LOG).parquet(batch_path)
         merged = (state.unionByName(producer_state(written))
                   .groupBy(*STREAM).agg(F.max("last_seq").alias("last_seq"),

@@ -36,14 +36,25 @@ def counted(events: DataFrame, name="late", size_ms=WINDOW_MS, grace_ms=GRACE_MS
     return late_accept(seen, size_ms, grace_ms)
 
 
-def metric_total(query, name="late") -> dict:
-    """Sum of an observed metric over the micro-batches the query still reports."""
-    total: dict = {}
+def stamp_arrival(events: DataFrame) -> DataFrame:
+    """Adds ``arrival_ms``, the time the micro-batch began; a repeated batch gets the same time again."""
+    return events.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
+
+
+def run_report(query, name="late") -> dict:
+    """Counters of a windowed query: processed and late events, windows still active, windows flushed.
+
+    Summed over the micro-batches the query still reports, see ``spark.sql.streaming.numRecentProgressUpdates``.
+    """
+    report = {"processed": 0, "late": 0, "active_windows": 0, "flushed_windows": 0}
     for progress in query.recentProgress:
-        row = progress.observedMetrics.get(name)
-        for key, value in (row.asDict() if row else {}).items():
-            total[key] = total.get(key, 0) + (value or 0)
-    return total
+        metric = progress.observedMetrics.get(name)
+        for key, value in (metric.asDict() if metric else {}).items():
+            report[key] += value or 0
+        for state in progress.stateOperators:
+            report["active_windows"] = state.numRowsTotal
+            report["flushed_windows"] += state.numRowsRemoved
+    return report
 
 
 def start(df: DataFrame, checkpoint: str, *, path=None, handler=None, drain=False,
