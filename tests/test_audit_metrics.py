@@ -120,6 +120,16 @@ def test_percentiles_equal_the_sorted_list(spark):
     assert tuple(ranked(df).first()) == tuple(nearest(everything, p) for p in (0, 1, 50, 95, 99, 100))
 
 
+def test_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, n, True) for n in range(1, 101)] + [("a", 7, True), (None, 5, False)],
+                               "run string, ms long, success boolean")
+    got = {r.run: (r.p50, r.p99) for r in metrics.nearest_rank(df.where("success"), "ms", by=["run"]).collect()}
+    assert got == {None: (50, 99), "a": (7, 7)}
+    timed = df.selectExpr("run", "0L AS start_ns", "ms * 1000000 AS end_ns", "success")
+    got = {r.run: (r.succeeded, r.failed, r.p95) for r in metrics.latency_summary(timed, by=["run"]).collect()}
+    assert got == {None: (100, 1, 95), "a": (1, 0, 7)}
+
+
 def test_summary(spark):
     rows = [(0, n * 1_000_000 + 999_999, True) for n in range(1, 101)] + [(0, 10 ** 15, False)] * 3
     summary = metrics.latency_summary(spark.createDataFrame(rows, SAMPLES))

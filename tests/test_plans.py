@@ -63,3 +63,9 @@ def test_percentiles_reduce_before_the_shuffle(spark):
     df = spark.range(0, 1_000, 1, 4).select((F.col("id") % 10).alias("x"), F.lit("w").alias("wide"))
     plan = physical(metrics.nearest_rank(df, "x"))
     assert "partial_count" in plan and "wide" not in plan
+
+
+def test_percentiles_read_the_input_once(spark):
+    df = metrics.nearest_rank(metrics.with_latency(tables.samples(spark, SF)), "latency_ms", by=["event_type"])
+    df.collect()
+    assert "ReusedExchange" in physical(df)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import latency_ms, window_start
+from tidemark.plans.ordered import same_keys
 from tidemark.schemas import PERCENTILES
 
 # Values are ranked in bins of this many consecutive integers.
@@ -36,7 +37,10 @@ def nearest_rank(df: DataFrame, value: str, percents=PERCENTILES, by=()) -> Data
     rows = df if by else df.withColumn("_all", F.lit(0))
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     targets = _targets(counts, keys, value, percents)
-    inside = counts.withColumn("_bin", F.shiftright(value, BIN_BITS)).join(targets, [*keys, "_bin"])
+    # Null-safe on every key, so a NULL group is kept and both uses of `counts` stay one shared shuffle.
+    inside = (counts.withColumn("_bin", F.shiftright(value, BIN_BITS)).alias("c")
+              .join(targets.alias("t"), same_keys([*keys, "_bin"], "c", "t"))
+              .select("c.*", "_p", "_rank", "_before"))
     upto = (Window.partitionBy(*keys, "_bin", "_p").orderBy(value)
             .rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
@@ -67,8 +71,8 @@ def latency_summary(samples: DataFrame, by=()) -> DataFrame:
     ranks = nearest_rank(timed.where("success"), "latency_ms", by=by)
     names = [f"p{p:g}" for p in PERCENTILES]
     if by:
-        joined = base.join(ranks, by, "left")
-        return joined.select(*by, "succeeded", "failed", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+        joined = base.alias("b").join(ranks.alias("r"), same_keys(by, "b", "r"), "left")
+        return joined.select("b.*", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     packed = ranks.select(F.struct(*names).alias("ranks")).scalar()
     return (base.withColumn("ranks", packed)
             .select("succeeded", "failed", *[F.col(f"ranks.{n}").alias(n) for n in names]))

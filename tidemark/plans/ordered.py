@@ -58,12 +58,13 @@ def split_hot(df: DataFrame, group, direct_rows=None, sizes=None):
     if len(hot) == groups:
         return None, df
     keys = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*group).schema))
-    same = _equal(group, "r", "h")
+    same = same_keys(group, "r", "h")
     rows = df.alias("r")
     return rows.join(keys.alias("h"), same, "left_anti"), rows.join(keys.alias("h"), same, "left_semi")
 
 
-def _equal(columns, left, right):
+def same_keys(columns, left, right):
+    """Join condition on equal keys of two aliased frames; NULL keys are equal."""
     return reduce(lambda a, b: a & b,
                   [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
@@ -97,7 +98,7 @@ def _before_sliced(df, group, order, value, into, how):
     keys = ["_slice", *group]
     here = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", aggregate(value).over(here))
-    return (local.alias("l").join(F.broadcast(carried).alias("c"), _equal(keys, "l", "c"), "left")
+    return (local.alias("l").join(F.broadcast(carried).alias("c"), same_keys(keys, "l", "c"), "left")
             .select(*[F.col(f"l.{c}") for c in df.columns],
                     combine(F.col("_local"), F.col("_carry")).alias(into)))
 
@@ -134,7 +135,7 @@ def _number_sliced(df, group, order, into):
     bases = spans.select("_slice", *group,
                          (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
     keys = ["_slice", *group]
-    return (rows.alias("l").join(F.broadcast(bases).alias("b"), _equal(keys, "l", "b"))
+    return (rows.alias("l").join(F.broadcast(bases).alias("b"), same_keys(keys, "l", "b"))
             .select(*[F.col(f"l.{c}") for c in df.columns],
                     (F.col("_pos") + F.col("_base")).alias(into)))
 
