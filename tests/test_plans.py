@@ -69,3 +69,9 @@ def test_percentiles_read_the_input_once(spark):
     df = metrics.nearest_rank(metrics.with_latency(tables.samples(spark, SF)), "latency_ms", by=["event_type"])
     df.collect()
     assert "ReusedExchange" in physical(df)
+
+
+def test_each_payload_is_parsed_once(spark):
+    for name in ("event_from_json", "log_fan_in", "dead_letters"):
+        plan = queries.registered()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, name

@@ -113,9 +113,9 @@ def dead_letters(spark, sf_dir):
 
 
 def key_partition_query(spark, sf_dir):
-    return tables.sensor_events(spark, sf_dir).select(
-        "event_id", key_hash("device_id").alias("key_hash"),
-        key_partition("device_id", PARTITIONS).alias("partition"))
+    rows = tables.sensor_events(spark, sf_dir)
+    return rows.select("event_id", key_hash("device_id").alias("key_hash"),
+                       key_partition("device_id", PARTITIONS).alias("partition"))
 
 
 def key_hash_text(spark, sf_dir):
