@@ -9,7 +9,7 @@ import duckdb
 
 def normal(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6)
+        return "nan" if math.isnan(value) else value
     return value
 
 

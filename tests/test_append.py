@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import append, audit
+from tidemark.plans import ordered
 from tidemark.plans.ordered import max_before, number_rows, split_hot
 from tidemark.schemas import ATTEMPT, STORED_LOG
 from tidemark.sources import log_table
@@ -107,6 +108,16 @@ def test_hot_group_in_one_millisecond(spark):
     assert direct.exceptAll(by_slice).isEmpty() and by_slice.exceptAll(direct).isEmpty()
 
 
+def test_hot_keys_on_the_driver_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_HOT", 3)
+    df = spark.range(0, 1_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("g"), "id")
+    cold, hot = split_hot(df, ["g"], 0)
+    assert [r.g for r in hot.select("g").distinct().collect()] == [-1]
+    assert cold.count() + hot.count() == 1_000
+    got = number_rows(df, ["g"], ["id"], "n", 0).exceptAll(number_rows(df, ["g"], ["id"], "n"))
+    assert got.isEmpty()
+
+
 @pytest.mark.parametrize("form", FORMS)
 def test_null_keys_form_a_group(spark, form):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 3), ("a", 1, 1), (None, 3, 4), (None, 4, 9)], "g string, o int, v long")
@@ -139,7 +150,7 @@ def test_appending_to_an_existing_log(spark, tmp_path, form):
     rows = [(rng.randrange(2), rng.choice("ab"), rng.randrange(80)) for _ in range(200)]
     df, path = attempts(spark, rows), str(tmp_path / "log")
     for part in (df.where("tie < 120"), df.where("tie >= 120"), df):   # the last one repeats everything
-        append.append_to_log(spark, part, path, form)
+        append.append_to_log(spark, part, path, direct_rows=form)
     key = ["partition", "offset", "producer_id", "seq", "timestamp"]
     stored = log_table.read_log(spark, path, STORED_LOG).select(*key)
     want = append.log_records(df).select(*key)

@@ -74,6 +74,13 @@ def test_window_text(spark):
         "Window[device-A@[10000,20000)] -> count=4, avg=22.3, max=24.0"
 
 
+def test_window_report_line(spark):
+    df = spark.createDataFrame([("d", 0, 10_000, 4, 22.25, 104.0)],
+                               "device_id string, window_start_ms long, window_end_ms long, count long, avg double, max double")
+    assert df.select(scalar.window_report().alias("t")).first().t == \
+        "[WINDOW] d@[0,10000)          | count=   4 | avg= 22.3°C | max=104.0°C"
+
+
 def test_average_guard(spark):
     rows = spark.createDataFrame([(0.0, 0), (66.0, 3)], "sum double, count long").select(scalar.average().alias("a"))
     assert [r.a for r in rows.collect()] == [0.0, 22.0]

@@ -117,6 +117,24 @@ def test_repeating_a_batch_changes_nothing(spark, tmp_path):
     assert appender.load_state(spark, state, 3).agg(F.max("last_seq")).first()[0] == 99
 
 
+def test_failure_between_log_and_state(spark, tmp_path, monkeypatch):
+    """The batch dies after its records are stored; the restarted query must not store them again."""
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    feed = Feed(spark, tmp_path, ATTEMPT, lambda df: df, handler=appender.append_handler(log, state))
+    feed.send(attempt_rows(spark, 0, 40))
+
+    def broken(_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as patch:
+        patch.setattr(appender, "producer_state", broken)
+        with pytest.raises(Exception):
+            feed.send(attempt_rows(spark, 40, 70))
+    assert log_table.read_log(spark, log).count() == 70
+    feed.send(attempt_rows(spark, 70, 90, repeat=[40, 69]))
+    stored = log_table.read_log(spark, log, STORED_LOG)
+    assert stored.count() == 90 and audit.offset_audit(stored).where("NOT contiguous").isEmpty()
+
+
 def test_tail_continues_where_it_stopped(spark, tmp_path):
     log = str(tmp_path / "log")
     records = append.log_records(attempt_rows(spark, 0, 100))

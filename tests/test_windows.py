@@ -75,6 +75,11 @@ def test_merging_partial_windows(spark):
     assert (row.window_start_ms, row.window_end_ms) == (0, 60_000)
 
 
+def test_rollup_needs_whole_windows(spark):
+    with pytest.raises(ValueError):
+        windows.window_rollup(None, 25_000)
+
+
 def test_rollup_equals_direct_aggregation(spark):
     df = spark.range(0, 5_000).select(
         F.concat(F.lit("device-"), (F.col("id") % 7).cast("string")).alias("device_id"),

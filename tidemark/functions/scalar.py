@@ -61,6 +61,13 @@ def window_line(device="device_id", start="window_start_ms", end="window_end_ms"
                     window_stats_text(count, avg, top))
 
 
+def window_report(device="device_id", start="window_start_ms", end="window_end_ms",
+                  count="count", avg="avg", top="max") -> Column:
+    """The aligned line for a console report."""
+    return F.format_string("[WINDOW] %-20s | count=%4d | avg=%5.1f°C | max=%5.1f°C",
+                           window_name(device, start, end), _col(count), _col(avg), _col(top))
+
+
 def latency_ms(start_ns="start_ns", end_ns="end_ns") -> Column:
     """Whole milliseconds between two nanosecond columns, truncated by integer division."""
     return F.expr(f"({end_ns} - {start_ns}) div 1000000")

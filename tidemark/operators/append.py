@@ -100,13 +100,15 @@ def accept_batch(attempts: DataFrame, state: DataFrame, direct_rows=None) -> Dat
     return _as_records(numbered)
 
 
-def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, direct_rows=None) -> None:
+def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, state=None, direct_rows=None) -> None:
     """Appends a batch of attempts to a stored log, new or existing.
 
     What producers sent before is read from the log itself, so running the same batch again stores nothing.
+    A caller that keeps the ``producer_state`` of the log up to date can pass it and save that scan.
     """
-    state = (producer_state(read_log(spark, path, STORED_LOG)) if path_exists(spark, path)
-             else spark.createDataFrame([], PRODUCER_STATE))
+    if state is None:
+        state = (producer_state(read_log(spark, path, STORED_LOG)) if path_exists(spark, path)
+                 else spark.createDataFrame([], PRODUCER_STATE))
     write_log(accept_batch(attempts, state, direct_rows), path, arranged=True)
 
 

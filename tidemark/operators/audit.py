@@ -3,11 +3,11 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.routing import key_partition
-from tidemark.plans.ordered import max_before
+from tidemark.plans.ordered import max_before, same_keys
 from tidemark.schemas import LIVENESS_TIMEOUT_MS, MAX_FAILED_WRITES
 
-# Offsets covered by one bitmap of the built-in bitmap functions.
-BITMAP_BITS = 32_768
+# Most blocks of offsets that are sent to the driver and broadcast: two numbers each.
+MAX_DAMAGED_BLOCKS = 100_000
 
 
 def offset_bitmaps(log: DataFrame) -> DataFrame:
@@ -60,9 +60,26 @@ def replica_summary(left: DataFrame, right: DataFrame) -> DataFrame:
     return (replica_diff(left, right).groupBy("partition", "status").agg(F.count("*").alias("offsets")))
 
 
-def lost_records(produced: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Produced records whose (partition, offset) was never consumed."""
-    return produced.join(consumed.select("partition", "offset"), ["partition", "offset"], "left_anti")
+def lost_records(produced: DataFrame, consumed: DataFrame, max_blocks=MAX_DAMAGED_BLOCKS) -> DataFrame:
+    """Produced records whose (partition, offset) was never consumed.
+
+    Blocks of offsets whose bitmaps agree on both sides hold no loss and are left out before the join, so a
+    large log with few losses is scanned, not shuffled. Beyond ``max_blocks`` damaged blocks everything is joined.
+    """
+    block = ["partition", "bucket"]
+    there, here = offset_bitmaps(produced).alias("p"), offset_bitmaps(consumed).alias("c")
+    damaged = (there.join(here, same_keys(block, "p", "c"), "left")
+               .where(~F.col("p.bits").eqNullSafe(F.col("c.bits"))).select("p.partition", "p.bucket"))
+    found = damaged.limit(max_blocks + 1).collect()
+    seen = consumed.select("partition", "offset")
+    if len(found) <= max_blocks:
+        blocks = F.broadcast(produced.sparkSession.createDataFrame(found, damaged.schema))
+
+        def narrowed(rows):
+            marked = rows.withColumn("bucket", F.bitmap_bucket_number("offset"))
+            return marked.join(blocks, block, "left_semi").drop("bucket")
+        produced, seen = narrowed(produced), narrowed(seen)
+    return produced.join(seen, ["partition", "offset"], "left_anti")
 
 
 def reconcile_loss(produced: DataFrame, consumed: DataFrame) -> DataFrame:

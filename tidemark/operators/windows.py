@@ -27,8 +27,10 @@ def window_agg(events: DataFrame, size_ms=WINDOW_MS) -> DataFrame:
             .select(*RESULT))
 
 
-def window_rollup(windows: DataFrame, size_ms) -> DataFrame:
-    """Merges small windows into larger ones without going back to the events."""
+def window_rollup(windows: DataFrame, size_ms, from_ms=WINDOW_MS) -> DataFrame:
+    """Merges windows of ``from_ms`` into larger ones of ``size_ms`` without going back to the events."""
+    if size_ms % from_ms:
+        raise ValueError(f"windows of {from_ms} ms do not fill windows of {size_ms} ms")
     return (windows
             .groupBy("device_id", window_start("window_start_ms", size_ms).alias("window_start_ms"))
             .agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.max("max").alias("max"))

@@ -189,7 +189,7 @@ def windows_active(spark, sf_dir):
 
 def window_rollup(spark, sf_dir):
     small = windows.window_agg(tables.shipments(spark, sf_dir), WEEK_MS)
-    return rounded(windows.window_rollup(small, 4 * WEEK_MS))
+    return rounded(windows.window_rollup(small, 4 * WEEK_MS, WEEK_MS))
 
 
 def run_counters(spark, sf_dir):
