@@ -1,5 +1,6 @@
 """Retries, offsets and acknowledgements, in both the direct and the sliced form."""
 
+import os
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from tidemark.operators import append, audit
 from tidemark.plans import ordered
 from tidemark.plans.ordered import max_before, number_rows, split_hot
 from tidemark.schemas import ATTEMPT, STORED_LOG
+from tidemark.session import scratch_root
 from tidemark.sources import log_table
 
 FORMS = [None, 0, 3]  # all direct, all sliced, and a mix: groups above three rows are hot
@@ -108,6 +110,17 @@ def test_hot_group_in_one_millisecond(spark):
     assert direct.exceptAll(by_slice).isEmpty() and by_slice.exceptAll(direct).isEmpty()
 
 
+def test_appending_leaves_no_scratch_behind(spark, tmp_path):
+    def held():
+        folder = f"{scratch_root(spark)}/tidemark"
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = held()
+    append.append_to_log(spark, attempts(spark, [(0, "p", 0), (0, "p", 1)]), str(tmp_path / "log"), direct_rows=0)
+    assert held() == before
+    append.log_records(attempts(spark, [(0, "p", 0)]), 0)
+    assert len(held() - before) == 2      # a lazy frame keeps what it reads
+
+
 def test_hot_keys_on_the_driver_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_HOT", 3)
     df = spark.range(0, 1_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("g"), "id")

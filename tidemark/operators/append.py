@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.plans.ordered import group_sizes, max_before, number_rows, sum_before
 from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
-from tidemark.session import path_exists
+from tidemark.session import path_exists, scratch_scope
 from tidemark.sources.log_table import read_log, write_log
 
 STREAM = ["partition", "producer_id"]
@@ -109,7 +109,8 @@ def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, state=Non
     if state is None:
         state = (producer_state(read_log(spark, path, STORED_LOG)) if path_exists(spark, path)
                  else spark.createDataFrame([], PRODUCER_STATE))
-    write_log(accept_batch(attempts, state, direct_rows), path, arranged=True)
+    with scratch_scope(spark):
+        write_log(accept_batch(attempts, state, direct_rows), path, arranged=True)
 
 
 def producer_state(log: DataFrame) -> DataFrame:

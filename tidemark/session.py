@@ -1,7 +1,9 @@
 """Session settings and the shared scratch folder."""
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +45,43 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once and read back: a stable cut of the lineage that outlives lost executors and stays columnar."""
     path = scratch_path(df.sparkSession, label)
+    for paths in _open_scopes()[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+_scopes = threading.local()
+
+
+def _open_scopes() -> list:
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    return _scopes.stack
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes what ``materialize`` wrote inside the block.
+
+    For code that stores its result before the block ends; a frame that is used later still needs the files.
+    """
+    paths: list = []
+    _open_scopes().append(paths)
+    try:
+        yield
+    finally:
+        _open_scopes().pop()
+        for path in paths:
+            system, target = _file_system(spark, path)
+            system.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)

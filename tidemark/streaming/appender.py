@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.append import STREAM, accept_batch, producer_state
 from tidemark.schemas import PRODUCER_STATE, STORED_LOG
-from tidemark.session import path_exists
+from tidemark.session import path_exists, scratch_scope
 from tidemark.sources.log_table import write_log
 
 
@@ -34,7 +34,8 @@ def append_handler(log_path: str, state_path: str, direct_rows=None):
         state = load_state(spark, state_path, batch_id)
         batch_path = f"{log_path}/batch_id={batch_id}"
         if not path_exists(spark, f"{batch_path}/_SUCCESS"):
-            write_log(accept_batch(frame, state, direct_rows), batch_path, mode="overwrite", arranged=True)
+            with scratch_scope(spark):
+                write_log(accept_batch(frame, state, direct_rows), batch_path, mode="overwrite", arranged=True)
         written = spark.read.schema(STORED_LOG).parquet(batch_path)
         merged = (state.unionByName(producer_state(written))
                   .groupBy(*STREAM).agg(F.max("last_seq").alias("last_seq"),
