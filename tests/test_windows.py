@@ -1,6 +1,7 @@
 """Windows, lateness, completion and counters."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows
@@ -110,3 +111,35 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert len(seen) == 1
 
 
+
+
+def sequential(events, asof, size, grace):
+    """What one aggregator would hold after taking the events one by one and flushing at ``asof``."""
+    live, late = {}, 0
+    for device, value, at, arrival in events:
+        start = at - at % size
+        if start + size + grace < arrival:
+            late += 1
+            continue
+        n, total, top = live.get((device, start), (0, 0.0, value))
+        live[(device, start)] = (n + 1, total + value, max(top, value))
+    done = {k: v for k, v in live.items() if k[1] + size + grace <= asof}
+    return late, done, {k: v for k, v in live.items() if k not in done}
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 64).map(float), st.integers(-50, 300),
+                          st.integers(0, 300)), min_size=1, max_size=30),
+       st.integers(0, 400), st.sampled_from([(10, 5), (7, 0), (50, 100)]))
+def test_any_events_equal_the_sequential_model(spark, events, asof, shape):
+    size, grace = shape
+    late, done, live = sequential(events, asof, size, grace)
+    df = spark.createDataFrame(events, ARRIVAL)
+    kept = windows.late_accept(df, size, grace)
+
+    def found(result):
+        return {(r.device_id, r.window_start_ms): (r["count"], r["sum"], r["max"]) for r in result.collect()}
+    assert found(windows.windows_completed(kept, asof, size, grace)) == done
+    assert found(windows.windows_active(kept, asof, size, grace)) == live
+    counters = windows.run_counters(df, asof, size, grace).first()
+    assert tuple(counters) == (len(events) - late, late, len(live), len(done))
