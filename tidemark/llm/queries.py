@@ -1,15 +1,23 @@
 """The registered queries of the operators: whole tables, production parameters, full results."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, decontaminate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op6_decontaminate(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+                        "longest_match")
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
@@ -19,5 +27,5 @@ def op9_bpe(spark, sf_dir):
 
 
 def registered() -> dict:
-    named = (op9_bpe,)
+    named = (op6_decontaminate, op9_bpe,)
     return {f.__name__: f for f in named}

@@ -22,7 +22,14 @@ def alnum_words(text: bytes | None) -> list:
 
 
 def fields(**kinds) -> T.StructType:
-    return T.StructType([T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items()])
+    return T.StructType([T.StructField(name, _kind(kind)) for name, kind in kinds.items()])
+
+
+def _kind(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_kind(text[6:-1]))
+    return {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+            "boolean": T.BooleanType(), "binary": T.BinaryType()}[text]
 
 
 def others(df: DataFrame, taken) -> list:
@@ -31,23 +38,25 @@ def others(df: DataFrame, taken) -> list:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None) -> DataFrame:
-    """Adds what ``compute`` (a list of UTF-8 texts or None to one list of values per field) finds for each row.
+def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None, more=(), chunk=CHUNK) -> DataFrame:
+    """Adds what ``compute`` finds for each row: it takes a list of UTF-8 texts (or None), and a list for each
+    column of ``more``, and gives one list of values per added field.
 
-    Rows pass in Arrow batches, a few texts at a time. ``keep``: the input columns to return, else all; a column
+    Rows pass in Arrow batches, ``chunk`` texts at a time. ``keep``: the input columns to return, else all; a column
     named like an added one is replaced.
     """
-    keep = others(df.select(*(keep if keep is not None else df.columns)), added.names)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
+    keep = others(df.select(*[f"`{c}`" for c in (keep if keep is not None else df.columns)]), added.names)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"),
+                       *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
+    schema = T.StructType([*source.schema.fields[:len(keep)], *added.fields])
     kinds = [_arrow(f.dataType) for f in added.fields]
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(lo, CHUNK)
-                values = compute(part.column(part.num_columns - 1).to_pylist())
-                arrays = [*part.columns[:-1], *[pa.array(v, k) for v, k in zip(values, kinds)]]
+            for lo in range(0, batch.num_rows, chunk):
+                columns = batch.slice(lo, chunk).columns
+                values = compute(*[c.to_pylist() for c in columns[len(keep):]])
+                arrays = [*columns[:len(keep)], *[pa.array(v, k) for v, k in zip(values, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
