@@ -3,13 +3,35 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate
+from tidemark.llm import bpe, decontaminate, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def trusted(spark, sf_dir, learnt_from=None) -> DataFrame:
+    """Ids of the documents labelled good."""
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    return (labels if learnt_from is None else labels.where(learnt_from)).select("doc_id")
+
+
+def _remainder(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_quality_rules(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.ratios(docs, trusted(spark, sf_dir)), keep=["doc_id"])
+
+
+def op2_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_classifier.train(docs.where(_remainder(3) != 1), trusted(spark, sf_dir, _remainder(3) != 1))
+    scored = quality_classifier.classify(docs, model, keep=["doc_id"])
+    return scored.withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+
+
 def op6_decontaminate(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"])
@@ -27,5 +49,5 @@ def op9_bpe(spark, sf_dir):
 
 
 def registered() -> dict:
-    named = (op6_decontaminate, op9_bpe,)
+    named = (op1_quality_rules, op2_quality_classifier, op6_decontaminate, op9_bpe,)
     return {f.__name__: f for f in named}
