@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.rows import join_small, others
 
 BUCKETS = 10_000
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
 
