@@ -197,16 +197,19 @@ def find(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_te
     excluded) and ``contaminated``; columns so named are replaced."""
     context = docs.sparkSession.sparkContext
     keep = others(docs.select(*(keep if keep is not None else docs.columns)), FOUND.names)
-    result = None
-    for blocks in _passes(_blocks(items, item, item_text)):
+    rows, source, more = docs, text, ()
+    passes = _passes(_blocks(items, item, item_text))
+    blocks = next(passes)
+    while blocks is not None:
+        following = next(passes, None)
         compute = _scanner(context.broadcast(blocks), uuid.uuid4().hex, window, coverage)
         chunk = CHUNK if len(blocks) == 1 else 8 * CHUNK  # each further block is built anew for each chunk
-        if result is None:
-            rows, more = docs.withColumn("__text", F.col(text)), ()
-        else:  # a further pass: what was found so far joins what is found now
-            rows, more = materialize(result, "decontaminate"), ("item_ids", "longest_match", "hit_spans")
-        result = extend(rows, FOUND, compute, "__text", [*keep, "__text"], more, chunk)
-    return result.drop("__text")
+        if following is None:
+            return extend(rows, FOUND, compute, source, keep, more, chunk)
+        # Another pass: the text goes along, and what is found then joins what is found now.
+        rows = rows.select(*rows.columns, F.col(source).alias("__again")) if source != "__again" else rows
+        rows = materialize(extend(rows, FOUND, compute, source, [*keep, "__again"], more, chunk), "decontaminate")
+        source, more, blocks = "__again", ("item_ids", "longest_match", "hit_spans"), following
 
 
 def _scanner(shared, name, window, coverage):
@@ -250,10 +253,11 @@ def clean(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_t
     The columns are those of ``docs``; where a span was cut and there is an ``n_chars``, it follows the text.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{text}`").alias("__own"))
-    found = find(packed, items, "__own", item, item_text, window, coverage).where("NOT contaminated")
+    own = f"__row.`{text}`"
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    found = find(packed, items, own, item, item_text, window, coverage).where("NOT contaminated")
     kept = found.where("n_hit = 0").select("__row.*")
-    cut = extend(found.where("n_hit > 0"), fields(__cut="string"), _cut, "__own", ["__row"], ["hit_spans"])
+    cut = extend(found.where("n_hit > 0"), fields(__cut="string"), _cut, own, ["__row"], ["hit_spans"])
     new = F.col("__cut")
     columns = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c)
                if c == "n_chars" else F.col(f"__row.`{c}`") for c in names]

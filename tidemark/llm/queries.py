@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, quality_classifier, quality_rules
+from tidemark.llm import bpe, decontaminate, near_dedup, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_decontaminate(spark, sf_dir):
                         "longest_match")
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.group(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2)
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
@@ -49,5 +53,5 @@ def op9_bpe(spark, sf_dir):
 
 
 def registered() -> dict:
-    named = (op1_quality_rules, op2_quality_classifier, op6_decontaminate, op9_bpe,)
+    named = (op1_quality_rules, op2_quality_classifier, op6_decontaminate, op8_near_dedup, op9_bpe,)
     return {f.__name__: f for f in named}
