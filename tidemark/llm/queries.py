@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, near_dedup, quality_classifier, quality_rules
+from tidemark.llm import bpe, decontaminate, lm_score, near_dedup, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op9_bpe(spark, sf_dir):
     return bpe_digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_lm_score(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm_score.score(docs, docs.where(_remainder(7) != 2), keep=["doc_id"])
+    return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+
+
 def registered() -> dict:
-    named = (op1_quality_rules, op2_quality_classifier, op6_decontaminate, op8_near_dedup, op9_bpe,)
+    named = (op1_quality_rules, op2_quality_classifier, op6_decontaminate, op8_near_dedup, op9_bpe, op10_lm_score)
     return {f.__name__: f for f in named}

@@ -1,9 +1,11 @@
 """Running a text function over whole tables, and joins against small tables of checked size."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK = 512  # rows whose texts are Python objects at one time
+CHUNK_BYTES = 4 << 20
 SMALL_BYTES = 32 << 20  # a side up to this size may be broadcast
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, other bytes kept
@@ -53,8 +55,8 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, chunk):
-                columns = batch.slice(lo, chunk).columns
+            for part in chunks(batch, len(keep), chunk):
+                columns = part.columns
                 values = compute(*[c.to_pylist() for c in columns[len(keep):]])
                 arrays = [*columns[:len(keep)], *[pa.array(v, k) for v, k in zip(values, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -62,6 +64,19 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     return source.mapInArrow(run, schema)
 
 
+def chunks(batch, column: int, rows=CHUNK):
+    """The batch in slices of at most ``rows`` rows and, beyond single long texts, ``CHUNK_BYTES`` of a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = held = 0
+    for end, size in enumerate(sizes):
+        if end > begin and (end - begin >= rows or held + size > CHUNK_BYTES):
+            yield batch.slice(begin, end - begin)
+            begin, held = end, 0
+        held += size
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def _arrow(kind: T.DataType):
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))
