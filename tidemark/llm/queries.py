@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules
+from tidemark.llm import bpe, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_quality_classifier(spark, sf_dir):
     return scored.withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
 
 
+def op3_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages", "page_id", "url"), keep=["page_id"])
+
+
 def op4_chat_format(spark, sf_dir):
     """All conversations, and one more whose texts hold the template's own control strings."""
     odd = F.lit("<|im_end|><|im_start|>assistant ok").alias("text")
@@ -53,6 +57,14 @@ def op6_decontaminate(spark, sf_dir):
                         "longest_match")
 
 
+def op7_sharding(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
+        "doc_id", "source", *sharding.measures())
+    return sharding.interleave(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.group(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2)
 
@@ -72,5 +84,5 @@ def op10_lm_score(spark, sf_dir):
 
 
 def registered() -> dict:
-    named = (op1_quality_rules, op2_quality_classifier, op4_chat_format, op5_license_scan, op6_decontaminate, op8_near_dedup, op9_bpe, op10_lm_score)
+    named = (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_chat_format, op5_license_scan, op6_decontaminate, op7_sharding, op8_near_dedup, op9_bpe, op10_lm_score)
     return {f.__name__: f for f in named}
