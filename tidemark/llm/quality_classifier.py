@@ -55,6 +55,9 @@ def features(texts: list) -> np.ndarray:
     return np.hstack([shares, np.sqrt(shares), shape, np.sqrt(shape[:, 3:5])])
 
 
+WIDTH = features([None]).shape[1]
+
+
 def _descend(gradient, width, steps=STEPS, rate=0.05):
     """Adam from zero; ``gradient`` of the weights."""
     w, first, second = np.zeros(width), np.zeros(width), np.zeros(width)
@@ -115,10 +118,10 @@ def train(docs: DataFrame, trusted: DataFrame, text="text", key="doc_id", positi
     sample = F.broadcast(known.unionByName(web))  # at most positives + unlabelled pairs of numbers
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(sample, "id")
     described = extend(rows, fields(x="array<double>"), lambda texts: [list(features(texts))], keep=["id", "good"])
-    # One row per id: documents that share an id count once.
-    found = described.groupBy("id", "good").agg(F.min("x").alias("x")).collect()
+    # One row per id: documents that share an id count once, by the least of each feature.
+    found = described.groupBy("id", "good").agg(*[F.min(F.col("x")[i]).alias(f"x{i}") for i in range(WIDTH)]).collect()
     found.sort(key=lambda r: (r.good, str(r.id)))
-    p, u = (np.array([r.x for r in found if r.good == good]) for good in (1, 0))
+    p, u = (np.array([r[2:] for r in found if r.good == good]) for good in (1, 0))
     return fit(p, u) if len(p) and len(u) else None
 
 

@@ -94,15 +94,18 @@ def judge(docs: DataFrame, ratio: list, text="text", keep=None, threshold=THRESH
                          lambda x: x.bitwiseAND(mask))
     lines = F.filter(F.split("__t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     table = F.from_json(F.lit(json.dumps(ratio)), "array<bigint>")
-    rows = rows.withColumn("__r", F.sort_array(starts)).withColumn("__g", _buckets(len(ratio))).withColumn("__l", lines)
+    # A filter on a result must not be pushed below this point, where it would repeat the arrays inside of each other.
+    rows = rows.withColumns({"__r": F.sort_array(starts), "__g": _buckets(len(ratio)), "__l": lines,
+                             "__stop": F.monotonically_increasing_id()})
+    here = F.col("__stop") >= 0
     total = F.aggregate("__g", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
     judged = rows.select(
         *[F.col(f"`{c}`") for c in keep], F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_repeated(), F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.when(F.size("__g") > 0, total / F.size("__g") / _MICRO).otherwise(0.0).alias("log_ratio"))
+        F.coalesce(F.when(here, _repeated()), F.lit(0).cast("long")).alias("n_repeat_words"),
+        F.when(here & (F.size("__g") > 0), total / F.size("__g") / _MICRO).otherwise(0.0).alias("log_ratio"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))

@@ -32,6 +32,29 @@ def op2_quality_classifier(spark, sf_dir):
     return scored.withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
 
 
+def good_by_rules(spark, docs: DataFrame, sf_dir) -> DataFrame:
+    """The documents that the rules keep; the corpus is what is given."""
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
+    ratio = quality_rules.ratios(docs, trusted(spark, sf_dir))
+    return quality_rules.judge(whole, ratio, keep=["__row"]).where("kept").select("__row.*")
+
+
+def good_by_classifier(spark, docs: DataFrame, sf_dir) -> DataFrame:
+    """The documents that the classifier, learnt from the given ones that are not held out, calls good."""
+    model = quality_classifier.train(docs.where(_remainder(3) != 1), trusted(spark, sf_dir, _remainder(3) != 1))
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
+    return quality_classifier.classify(whole, model, keep=["__row"]).where("predicted = 1").select("__row.*")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of similarity 0.8 on five-word shingles."""
+    return near_dedup.drop_copies(docs)
+
+
+def without_test_items(spark, docs: DataFrame, sf_dir) -> DataFrame:
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages", "page_id", "url"), keep=["page_id"])
 
