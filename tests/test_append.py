@@ -8,13 +8,12 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import append, audit
-from tidemark.plans import ordered
-from tidemark.plans.ordered import max_before, number_rows, split_hot
-from tidemark.schemas import ATTEMPT, STORED_LOG
+from tidemark.plans.ordered import max_before, number_rows
+from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
 from tidemark.session import scratch_root
 from tidemark.sources import log_table
 
-FORMS = [None, 0, 3]  # all direct, all sliced, and a mix: groups above three rows are hot
+FORMS = [False, True]  # range-sorted slices, and one window per group
 
 
 def attempts(spark, rows):
@@ -104,9 +103,7 @@ def test_hot_group_in_one_millisecond(spark):
                   F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("producer_id"),
                   (F.col("id") * 7919 % 3_001).alias("seq"), F.lit(0).alias("attempt"),
                   F.lit(5).cast("long").alias("arrival_ms"), F.col("id").alias("tie")))
-    cold, hot = split_hot(df, ["partition", "producer_id"], 100)
-    assert (cold.count(), hot.count()) == (2_000, 1_000)
-    direct, by_slice = append.append_acks(df), append.append_acks(df, 100)
+    direct, by_slice = append.append_acks(df, True), append.append_acks(df)
     assert direct.exceptAll(by_slice).isEmpty() and by_slice.exceptAll(direct).isEmpty()
 
 
@@ -115,22 +112,38 @@ def test_appending_leaves_no_scratch_behind(spark, tmp_path):
         folder = f"{scratch_root(spark)}/tidemark"
         return set(os.listdir(folder)) if os.path.isdir(folder) else set()
     before = held()
-    append.append_to_log(spark, attempts(spark, [(0, "p", 0), (0, "p", 1)]), str(tmp_path / "log"), direct_rows=0)
+    append.append_to_log(spark, attempts(spark, [(0, "p", 0), (0, "p", 1)]), str(tmp_path / "log"), 0)
     assert held() == before
-    append.log_records(attempts(spark, [(0, "p", 0)]), 0)
+    append.log_records(attempts(spark, [(0, "p", 0)]))
     assert len(held() - before) == 2      # a lazy frame keeps what it reads
 
 
-def test_hot_keys_on_the_driver_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_HOT", 3)
+def test_many_groups_that_span_slices(spark):
     df = spark.range(0, 1_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("g"), "id")
-    cold, hot = split_hot(df, ["g"], 0)
-    assert [r.g for r in hot.select("g").distinct().collect()] == [-1]
-    assert cold.count() + hot.count() == 1_000
-    got = number_rows(df, ["g"], ["id"], "n", 0).exceptAll(number_rows(df, ["g"], ["id"], "n"))
+    got = number_rows(df, ["g"], ["id"], "n").exceptAll(number_rows(df, ["g"], ["id"], "n", True))
     assert got.isEmpty()
 
 
+def test_attempts_without_a_number(spark):
+    rows = [(0, "k", "v", "p", None, None, 1, 1), (0, "k", "v", "p", 4, -3, 2, 2), (0, "k", "v", "p", None, 0, 3, 3)]
+    df = spark.createDataFrame(rows, ATTEMPT)
+    assert [(r.tie, r.accepted) for r in append.append_acks(df).orderBy("tie").collect()] == [(1, True), (2, True), (3, False)]
+    stored = append.accept_batch(df, spark.createDataFrame([], PRODUCER_STATE))
+    assert sorted((r.offset, r.seq) for r in stored.collect()) == [(0, None), (1, 4)]
+
+
+def test_a_writer_that_dies_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = attempts(spark, [(0, "p", s) for s in range(100)])
+    half = append.log_records(df).where("offset >= 50")
+    log_table.write_log(half, f"{path}/_staged_0")
+    assert append.append_to_log(spark, df, path, 0) and not append.append_to_log(spark, df, path, 0)
+    row = audit.offset_audit(log_table.read_log(spark, path, STORED_LOG)).first()
+    assert (row.records, row.contiguous) == (100, True)
+    with pytest.raises(ValueError):
+        append.append_to_log(spark, df, path, 2)
+
+
 @pytest.mark.parametrize("form", FORMS)
 def test_null_keys_form_a_group(spark, form):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 3), ("a", 1, 1), (None, 3, 4), (None, 4, 9)], "g string, o int, v long")
@@ -151,7 +164,7 @@ def test_results_do_not_depend_on_partitioning(spark):
     try:
         for n in (1, 4, 16):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            for form in (None, 0):
+            for form in FORMS:
                 assert acks(attempts(spark, rows).repartition(n), form) == model(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
@@ -162,8 +175,8 @@ def test_appending_to_an_existing_log(spark, tmp_path, form):
     rng = random.Random(11)
     rows = [(rng.randrange(2), rng.choice("ab"), rng.randrange(80)) for _ in range(200)]
     df, path = attempts(spark, rows), str(tmp_path / "log")
-    for part in (df.where("tie < 120"), df.where("tie >= 120"), df):   # the last one repeats everything
-        append.append_to_log(spark, part, path, direct_rows=form)
+    for n, part in enumerate((df.where("tie < 120"), df.where("tie >= 120"), df)):   # the last one repeats everything
+        append.append_to_log(spark, part, path, n, form)
     key = ["partition", "offset", "producer_id", "seq", "timestamp"]
     stored = log_table.read_log(spark, path, STORED_LOG).select(*key)
     want = append.log_records(df).select(*key)

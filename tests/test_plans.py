@@ -39,6 +39,11 @@ def test_completed_windows_filter_reaches_the_scan(spark, stored):
     assert "ReadSchema: struct<device_id:string,temperature:double,event_ms:bigint>" in plan
 
 
+def test_registered_bounds_reach_the_scan(spark):
+    for name, sign in (("windows_completed", "LessThan(ts,"), ("windows_active", "GreaterThanOrEqual(ts,")):
+        assert sign in physical(queries.registered()[name](spark, SF)), name
+
+
 def test_offset_audit_shuffles_bitmaps_only(spark):
     log = spark.read.schema("partition int, offset long, value string").parquet(queries.stored_log(spark, SF))
     plan = physical(audit.offset_audit(log))

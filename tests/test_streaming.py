@@ -89,10 +89,10 @@ def attempt_rows(spark, first, last, repeat=()):
     return spark.createDataFrame(rows, ATTEMPT)
 
 
-@pytest.mark.parametrize("form", [None, 0])
+@pytest.mark.parametrize("form", [False, True])
 def test_appending_across_batches_equals_one_batch(spark, tmp_path, form):
-    log, state = str(tmp_path / "log"), str(tmp_path / "state")
-    feed = Feed(spark, tmp_path, ATTEMPT, lambda df: df, handler=appender.append_handler(log, state, form))
+    log = str(tmp_path / "log")
+    feed = Feed(spark, tmp_path, ATTEMPT, lambda df: df, handler=appender.append_handler(log, form))
     parts = [attempt_rows(spark, 0, 80), attempt_rows(spark, 80, 140, repeat=range(75, 85)),
              attempt_rows(spark, 140, 200, repeat=[3, 139])]
     for part in parts:
@@ -105,8 +105,8 @@ def test_appending_across_batches_equals_one_batch(spark, tmp_path, form):
 
 
 def test_repeating_a_batch_changes_nothing(spark, tmp_path):
-    log, state = str(tmp_path / "log"), str(tmp_path / "state")
-    handle = appender.append_handler(log, state)
+    log = str(tmp_path / "log")
+    handle = appender.append_handler(log, query="by hand")
     handle(attempt_rows(spark, 0, 50), 0)
     handle(attempt_rows(spark, 50, 90), 1)
     before = sorted(map(tuple, log_table.read_log(spark, log).collect()))
@@ -114,27 +114,46 @@ def test_repeating_a_batch_changes_nothing(spark, tmp_path):
     assert sorted(map(tuple, log_table.read_log(spark, log).collect())) == before
     handle(attempt_rows(spark, 90, 100, repeat=[89]), 2)
     assert log_table.read_log(spark, log).count() == 100
-    assert appender.load_state(spark, state, 3).agg(F.max("last_seq")).first()[0] == 99
+    assert log_table.last_state(spark, log, 3).agg(F.max("last_seq")).first()[0] == 99
 
 
-def test_failure_between_log_and_state(spark, tmp_path, monkeypatch):
-    """The batch dies after its records are stored; the restarted query must not store them again."""
-    log, state = str(tmp_path / "log"), str(tmp_path / "state")
-    feed = Feed(spark, tmp_path, ATTEMPT, lambda df: df, handler=appender.append_handler(log, state))
+def test_failure_before_a_batch_is_published(spark, tmp_path, monkeypatch):
+    """The batch dies after its records are written; readers do not see it, and the restarted query stores it once."""
+    log = str(tmp_path / "log")
+    feed = Feed(spark, tmp_path, ATTEMPT, lambda df: df, handler=appender.append_handler(log))
     feed.send(attempt_rows(spark, 0, 40))
 
     def broken(_):
         raise RuntimeError("lost")
     with monkeypatch.context() as patch:
-        patch.setattr(appender, "producer_state", broken)
+        patch.setattr(append, "producer_state", broken)
         with pytest.raises(Exception):
             feed.send(attempt_rows(spark, 40, 70))
-    assert log_table.read_log(spark, log).count() == 70
+    assert log_table.read_log(spark, log).count() == 40
     feed.send(attempt_rows(spark, 70, 90, repeat=[40, 69]))
     stored = log_table.read_log(spark, log, STORED_LOG)
     assert stored.count() == 90 and audit.offset_audit(stored).where("NOT contiguous").isEmpty()
 
 
+def test_a_second_query_is_refused(spark, tmp_path):
+    log = str(tmp_path / "log")
+    appender.append_handler(log, query="a")(attempt_rows(spark, 0, 10), 0)
+    with pytest.raises(ValueError):
+        appender.append_handler(log, query="b")(attempt_rows(spark, 10, 17), 0)
+    with pytest.raises(ValueError):
+        appender.append_handler(log)(attempt_rows(spark, 10, 17), 0)
+    assert log_table.read_log(spark, log).count() == 10
+
+
+def test_counts_over_the_life_of_a_query(spark, tmp_path):
+    out = str(tmp_path / "counts")
+    feed = Feed(spark, tmp_path, SENSOR_EVENT_ARRIVAL, lambda df: stream.count_stream(df, grace_ms=1_000),
+                handler=stream.keep_last(out), mode="complete")
+    feed.send([("d", 1.0, 50_000, 50_000), ("d", 1.0, 1_000, 50_000)])
+    feed.send([("d", 1.0, 60_000, 60_000), ("d", 1.0, 1_000, None), ("d", 1.0, 1_000, 90_000)])
+    assert [tuple(r) for r in spark.read.schema("processed long, late long").parquet(out).select("processed", "late").collect()] == [(2, 3)]
+
+
 def test_tail_continues_where_it_stopped(spark, tmp_path):
     log = str(tmp_path / "log")
     records = append.log_records(attempt_rows(spark, 0, 100))
@@ -165,12 +184,20 @@ def test_strict_stream_fails_on_poison(spark, tmp_path):
         feed.send([("poison",)])
 
 
+@pytest.mark.parametrize("text", ["junk", "{}", '{"deviceId":"d"}', '{"deviceId":"d","temperature":1.0}', None])
+def test_strict_decode_fails_on_every_unusable_payload(spark, text):
+    good = '{"deviceId":"d","temperature":1.5,"timestamp":7}'
+    assert stream.strict_events(spark.createDataFrame([(good,)], "value string")).collect()[0].event_ms == 7
+    with pytest.raises(Exception, match="unreadable event"):
+        stream.strict_events(spark.createDataFrame([(good,), (text,)], "value string")).collect()
+
+
 def test_whole_path_from_attempts_to_windows(spark, tmp_path):
-    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    log = str(tmp_path / "log")
     text = F.format_string('{"deviceId":"device-%d","temperature":%d.0,"timestamp":%d}',
                            F.col("tie") % 3, F.col("tie") % 10, F.col("tie") * 500)
     sent = attempt_rows(spark, 0, 120, repeat=range(0, 120, 7)).withColumn("value", text)
-    Feed(spark, tmp_path / "a", ATTEMPT, lambda df: df, handler=appender.append_handler(log, state)).send(sent)
+    Feed(spark, tmp_path / "a", ATTEMPT, lambda df: df, handler=appender.append_handler(log)).send(sent)
     out = str(tmp_path / "w")
     result = stream.window_stream(decoded_events(log_table.tail(spark, log)), 10_000, 5_000)
     stream.start(result, str(tmp_path / "c"), path=out, drain=True).awaitTermination()

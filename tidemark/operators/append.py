@@ -2,115 +2,107 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.ordered import group_sizes, max_before, number_rows, sum_before
-from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
-from tidemark.session import path_exists, scratch_scope
-from tidemark.sources.log_table import read_log, write_log
+from tidemark.plans.ordered import max_before, number_rows, same_keys, sum_before
+from tidemark.schemas import ATTEMPT, STORED_LOG
+from tidemark.session import scratch_scope
+from tidemark.sources import log_table
 
 STREAM = ["partition", "producer_id"]
 ARRIVAL = ["arrival_ms", "attempt", "tie"]
 
 
-def with_acceptance(attempts: DataFrame, direct_rows=None, sizes=None) -> DataFrame:
+def with_acceptance(attempts: DataFrame, direct=False) -> DataFrame:
     """Adds ``high_water`` (largest earlier sequence of the producer in the partition) and ``accepted``.
 
     An attempt is a duplicate when its sequence is not above the high water, even if that number was never
-    seen before. The high water over all earlier attempts equals the one over the accepted ones.
+    seen before. The high water over all earlier attempts equals the one over the accepted ones. An attempt
+    without a sequence cannot be told from a retry: it is accepted only as its producer's first.
     """
-    marked = max_before(attempts, STREAM, ARRIVAL, "seq", "high_water", direct_rows, sizes)
-    return marked.withColumn("accepted", F.col("high_water").isNull() | (F.col("seq") > F.col("high_water")))
+    marked = max_before(attempts, STREAM, ARRIVAL, "seq", "high_water", direct)
+    newer = F.col("high_water").isNull() | (F.col("seq") > F.col("high_water"))
+    return marked.withColumn("accepted", F.coalesce(newer, F.lit(False)))
 
 
-def idempotent_dedup(attempts: DataFrame, direct_rows=None) -> DataFrame:
-    return with_acceptance(attempts, direct_rows).where("accepted").select(*attempts.columns)
+def idempotent_dedup(attempts: DataFrame, direct=False) -> DataFrame:
+    return with_acceptance(attempts, direct).where("accepted").select(*attempts.columns)
 
 
-def with_offsets(accepted: DataFrame, direct_rows=None, sizes=None) -> DataFrame:
+def with_offsets(accepted: DataFrame, direct=False) -> DataFrame:
     """Adds the dense zero-based ``offset`` of each record in its partition, in arrival order."""
-    return number_rows(accepted, ["partition"], ARRIVAL, "offset", direct_rows, sizes)
+    return number_rows(accepted, ["partition"], ARRIVAL, "offset", direct)
 
 
-def _with_sizes(attempts: DataFrame, build):
-    """``build(sizes per producer, sizes per partition)`` after one pass over the input for both.
-
-    The attempts per partition bound its records, so numbering needs no run of the dedup to be planned.
-    """
-    sizes = group_sizes(attempts, STREAM).persist()
-    try:
-        return build(sizes, sizes.groupBy("partition").agg(F.sum("_n").alias("_n")))
-    finally:
-        sizes.unpersist()
-
-
-def log_records(attempts: DataFrame, direct_rows=None) -> DataFrame:
+def log_records(attempts: DataFrame, direct=False) -> DataFrame:
     """Attempts to stored records: retries dropped, offsets assigned, arrival time as the record's timestamp."""
-    def build(per_producer, per_partition):
-        kept = with_acceptance(attempts, direct_rows, per_producer).where("accepted")
-        return with_offsets(kept, direct_rows, per_partition)
-    return _as_records(_with_sizes(attempts, build))
+    return _as_records(with_offsets(with_acceptance(attempts, direct).where("accepted"), direct))
 
 
 def _as_records(numbered: DataFrame) -> DataFrame:
     return numbered.withColumnRenamed("arrival_ms", "timestamp").select(*STORED_LOG.names)
 
 
-def append_plain(attempts: DataFrame, direct_rows=None) -> DataFrame:
+def append_plain(attempts: DataFrame, direct=False) -> DataFrame:
     """Appends every attempt, retries included."""
-    return _as_records(with_offsets(attempts, direct_rows))
+    return _as_records(with_offsets(attempts, direct))
 
 
-def append_acks(attempts: DataFrame, direct_rows=None) -> DataFrame:
+def append_acks(attempts: DataFrame, direct=False) -> DataFrame:
     """Every attempt with ``accepted`` and ``ack_offset``.
 
     A duplicate is answered with the producer's latest accepted offset in the partition. Offsets of a producer
     only grow, so that is the largest one before the duplicate. One pass in three orderings, no join.
     """
-    def build(per_producer, per_partition):
-        marked = with_acceptance(attempts, direct_rows, per_producer)
-        counted = sum_before(marked.withColumn("_one", F.col("accepted").cast("long")), ["partition"], ARRIVAL,
-                             "_one", "_stored", direct_rows, per_partition)
-        offset = F.when(F.col("accepted"), F.coalesce("_stored", F.lit(0)))
-        return max_before(counted.withColumn("_offset", offset), STREAM, ARRIVAL, "_offset", "_latest",
-                          direct_rows, per_producer)
-    return _with_sizes(attempts, build).select(
-        *attempts.columns, "accepted", F.coalesce("_offset", "_latest").alias("ack_offset"))
+    marked = with_acceptance(attempts, direct)
+    counted = sum_before(marked.withColumn("_one", F.col("accepted").cast("long")), ["partition"], ARRIVAL,
+                         "_one", "_stored", direct)
+    offset = F.when(F.col("accepted"), F.coalesce("_stored", F.lit(0)))
+    latest = max_before(counted.withColumn("_offset", offset), STREAM, ARRIVAL, "_offset", "_latest", direct)
+    return latest.select(*attempts.columns, "accepted", F.coalesce("_offset", "_latest").alias("ack_offset"))
 
 
 def _remembered(state: DataFrame) -> DataFrame:
     """State rows in the shape of attempts that arrived before anything else."""
     known = {"partition": F.col("partition"), "producer_id": F.col("producer_id"), "seq": F.col("last_seq"),
-             "attempt": F.lit(-1), "arrival_ms": F.lit(-(2 ** 62)), "tie": F.lit(-1)}
+             "arrival_ms": F.lit(-(2 ** 62)), "tie": F.lit(-1)}
     return state.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTEMPT])
 
 
-def accept_batch(attempts: DataFrame, state: DataFrame, direct_rows=None) -> DataFrame:
+def accept_batch(attempts: DataFrame, state: DataFrame, direct=False) -> DataFrame:
     """Records of a batch that follows what ``state`` (see ``producer_state``) remembers of earlier ones.
 
-    Retries of records stored earlier are dropped too, and offsets continue where each partition ended.
+    Retries of records stored earlier are dropped too, and offsets continue where each partition ended. Of the
+    state, only the producers of the batch join its rows.
     """
-    together = attempts.select(*ATTEMPT.names).unionByName(_remembered(state))
-
-    def build(per_producer, per_partition):
-        kept = with_acceptance(together, direct_rows, per_producer).where("accepted AND attempt >= 0")
-        return with_offsets(kept, direct_rows, per_partition)
-    # One row per log partition.
+    fresh = attempts.select(*ATTEMPT.names)
+    here = fresh.select(*STREAM).distinct()
+    touched = state.alias("s").join(here.alias("h"), same_keys(STREAM, "s", "h"), "left_semi")
+    together = (fresh.withColumn("_fresh", F.lit(True))
+                .unionByName(_remembered(touched).withColumn("_fresh", F.lit(False))))
+    kept = with_acceptance(together, direct).where("accepted AND _fresh")
+    # One row per log partition; joined, and broadcast only if Spark finds it small.
     ends = state.groupBy("partition").agg((F.max("last_offset") + 1).alias("_base"))
-    numbered = (_with_sizes(together, build).join(F.broadcast(ends), "partition", "left")
-                .withColumn("offset", F.col("offset") + F.coalesce("_base", F.lit(0))))
-    return _as_records(numbered)
+    numbered = with_offsets(kept, direct).alias("n").join(ends.alias("e"), same_keys(["partition"], "n", "e"), "left")
+    return _as_records(numbered.select("n.*", "_base").withColumn(
+        "offset", F.col("offset") + F.coalesce("_base", F.lit(0))))
 
 
-def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, state=None, direct_rows=None) -> None:
-    """Appends a batch of attempts to a stored log, new or existing.
+def append_to_log(spark: SparkSession, attempts: DataFrame, path: str, batch: int, direct=False) -> bool:
+    """Appends a batch of attempts to a stored log, new or existing; false if that batch is stored already.
 
-    What producers sent before is read from the log itself, so running the same batch again stores nothing.
-    A caller that keeps the ``producer_state`` of the log up to date can pass it and save that scan.
+    ``batch`` numbers the batches of a log from 0; they are appended in order. A batch is written apart, with the
+    producer state after it, and published by one rename (see ``log_table.publish``), so a writer that dies leaves
+    nothing that readers or later appends take for stored, and repeating a batch is safe.
     """
-    if state is None:
-        state = (producer_state(read_log(spark, path, STORED_LOG)) if path_exists(spark, path)
-                 else spark.createDataFrame([], PRODUCER_STATE))
+    if log_table.is_published(spark, path, batch):
+        return False
+    state = log_table.last_state(spark, path, batch)
     with scratch_scope(spark):
-        write_log(accept_batch(attempts, state, direct_rows), path, arranged=True)
+        def fill(folder):
+            log_table.write_log(accept_batch(attempts, state, direct), folder, mode="overwrite", arranged=True)
+            written = spark.read.schema(STORED_LOG).parquet(folder)
+            return producer_state(written).unionByName(state).groupBy(*STREAM).agg(
+                F.max("last_seq").alias("last_seq"), F.max("last_offset").alias("last_offset"))
+        return log_table.publish(spark, path, batch, fill)
 
 
 def producer_state(log: DataFrame) -> DataFrame:

@@ -6,9 +6,6 @@ from tidemark.functions.routing import key_partition
 from tidemark.plans.ordered import max_before, same_keys
 from tidemark.schemas import LIVENESS_TIMEOUT_MS, MAX_FAILED_WRITES
 
-# Most blocks of offsets that are sent to the driver and broadcast: two numbers each.
-MAX_DAMAGED_BLOCKS = 100_000
-
 
 def offset_bitmaps(log: DataFrame) -> DataFrame:
     """One bitmap per (partition, 32,768 consecutive offsets) and the number of rows behind it.
@@ -60,26 +57,24 @@ def replica_summary(left: DataFrame, right: DataFrame) -> DataFrame:
     return (replica_diff(left, right).groupBy("partition", "status").agg(F.count("*").alias("offsets")))
 
 
-def lost_records(produced: DataFrame, consumed: DataFrame, max_blocks=MAX_DAMAGED_BLOCKS) -> DataFrame:
-    """Produced records whose (partition, offset) was never consumed.
+def lost_records(produced: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Produced records whose (partition, offset) was never consumed; NULL keys are keys like any other.
 
-    Blocks of offsets whose bitmaps agree on both sides hold no loss and are left out before the join, so a
-    large log with few losses is scanned, not shuffled. Beyond ``max_blocks`` damaged blocks everything is joined.
+    Blocks of offsets whose bitmaps agree on both sides hold no loss and are left out before the join, so that a
+    large log with few losses is scanned and little of it is joined.
     """
-    block = ["partition", "bucket"]
+    block, key = ["partition", "bucket"], ["partition", "offset"]
     there, here = offset_bitmaps(produced).alias("p"), offset_bitmaps(consumed).alias("c")
-    damaged = (there.join(here, same_keys(block, "p", "c"), "left")
-               .where(~F.col("p.bits").eqNullSafe(F.col("c.bits"))).select("p.partition", "p.bucket"))
-    found = damaged.limit(max_blocks + 1).collect()
-    seen = consumed.select("partition", "offset")
-    if len(found) <= max_blocks:
-        blocks = F.broadcast(produced.sparkSession.createDataFrame(found, damaged.schema))
+    # Rows without an offset set no bit, so their blocks are always compared row by row.
+    differ = ~F.col("p.bits").eqNullSafe(F.col("c.bits")) | F.col("p.bucket").isNull()
+    damaged = there.join(here, same_keys(block, "p", "c"), "left").where(differ).select("p.partition", "p.bucket")
+
+    def narrowed(rows):
+        marked = rows.withColumn("bucket", F.bitmap_bucket_number("offset"))
+        return marked.alias("r").join(damaged.alias("d"), same_keys(block, "r", "d"), "left_semi").drop("bucket")
 
-        def narrowed(rows):
-            marked = rows.withColumn("bucket", F.bitmap_bucket_number("offset"))
-            return marked.join(blocks, block, "left_semi").drop("bucket")
-        produced, seen = narrowed(produced), narrowed(seen)
-    return produced.join(seen, ["partition", "offset"], "left_anti")
+    seen = narrowed(consumed.select(*key)).alias("s")
+    return narrowed(produced).alias("m").join(seen, same_keys(key, "m", "s"), "left_anti")
 
 
 def reconcile_loss(produced: DataFrame, consumed: DataFrame) -> DataFrame:
@@ -100,10 +95,10 @@ def device_liveness(roster: DataFrame, events: DataFrame, asof_ms, timeout_ms=LI
             .withColumn("alive", F.coalesce(silence <= timeout_ms, F.lit(False))))
 
 
-def order_audit(log: DataFrame, partitions: int, direct_rows=None) -> DataFrame:
+def order_audit(log: DataFrame, partitions: int, direct=False) -> DataFrame:
     """Per partition: records, records written after a later one of their producer, and misrouted records."""
     seen = max_before(log.select("partition", "offset", "key", "producer_id", "seq"),
-                      ["partition", "producer_id"], ["offset"], "seq", "_before", direct_rows)
+                      ["partition", "producer_id"], ["offset"], "seq", "_before", direct)
     return seen.groupBy("partition").agg(
         F.count("*").alias("records"),
         F.count_if(F.col("seq") <= F.col("_before")).alias("out_of_order"),

@@ -39,12 +39,18 @@ def window_rollup(windows: DataFrame, size_ms, from_ms=WINDOW_MS) -> DataFrame:
             .select(*RESULT))
 
 
+def _rejected(size_ms, grace_ms):
+    return F.coalesce(is_late(size_ms=size_ms, grace_ms=grace_ms), F.lit(True))
+
+
 def late_accept(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
-    return events.where(~is_late(size_ms=size_ms, grace_ms=grace_ms))
+    """Events that are not late; one without an event or an arrival time is none of them."""
+    return events.where(~_rejected(size_ms, grace_ms))
 
 
 def late_rejects(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
-    return events.where(is_late(size_ms=size_ms, grace_ms=grace_ms))
+    """All other events: late ones, and those whose times do not tell."""
+    return events.where(_rejected(size_ms, grace_ms))
 
 
 def windows_completed(events: DataFrame, asof_ms, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
@@ -56,9 +62,14 @@ def windows_active(events: DataFrame, asof_ms, size_ms=WINDOW_MS, grace_ms=GRACE
     return window_agg(events.where(F.col("event_ms") >= completed_before(asof_ms, size_ms, grace_ms)), size_ms)
 
 
+def completed_bound(asof_ms: int, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> int:
+    """``completed_before`` of a known time, as a number."""
+    return (asof_ms - grace_ms) // size_ms * size_ms
+
+
 def run_counters(events: DataFrame, asof_ms, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
     """One row: events processed, late events, windows still active, windows flushed. One shuffle."""
-    late = is_late(size_ms=size_ms, grace_ms=grace_ms)
+    late = _rejected(size_ms, grace_ms)
     windows = (events
                .groupBy("device_id", window_start(size_ms=size_ms).alias("window_start_ms"))
                .agg(F.count_if(~late).alias("accepted"), F.count_if(late).alias("late")))
@@ -74,7 +85,7 @@ def window_conservation(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS)
     """One row: events consumed, events accepted, readings over all windows, and whether the last two agree."""
     accepted = late_accept(events, size_ms, grace_ms)
     seen = events.agg(F.count("*").alias("consumed"),
-                      F.count_if(~is_late(size_ms=size_ms, grace_ms=grace_ms)).alias("accepted"))
+                      F.count_if(~_rejected(size_ms, grace_ms)).alias("accepted"))
     readings = window_agg(accepted, size_ms).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("readings"))
     return (seen.withColumn("readings", readings.scalar())
             .withColumn("conserved", F.col("readings") == F.col("accepted")))

@@ -165,6 +165,8 @@ def sql() -> dict:
             FROM (SELECT device_id, ws, count_if(NOT late) AS a, count_if(late) AS l,
                          ws + {SIZE} + {GRACE} <= (SELECT max(arrival_ms) FROM late) AS done
                   FROM latew GROUP BY 1, 2)""", "latew"),
+        "stream_late_counts": _with("""
+            SELECT count_if(NOT late)::BIGINT AS processed, count_if(late)::BIGINT AS late FROM latew""", "latew"),
         "late_accept": _with(f"SELECT {_LATE} FROM latew WHERE NOT late", "latew"),
         "late_rejects": _with(f"SELECT {_LATE} FROM latew WHERE late", "latew"),
         "late_arrivals": _with("SELECT event_id, device_id, event_ms, arrival_ms FROM late", "late"),
@@ -238,6 +240,11 @@ def sql() -> dict:
             LEFT JOIN (SELECT "partition", count(*) AS consumed FROM consumed GROUP BY 1) c
                  ON c."partition" = p."partition" """, "log", "consumed"),
         "lost_records": _with("""SELECT "partition", "offset", key FROM log WHERE "offset" % 97 = 0""", "log"),
+        "lost_records_damaged": _with("""
+            SELECT "partition", "offset", key FROM log WHERE "offset" % 97 = 0
+            UNION ALL SELECT "partition", "offset", key FROM log WHERE "offset" % 97 = 0 AND "offset" % 89 = 0
+            UNION ALL SELECT "partition", NULL, key FROM log WHERE "offset" % 83 = 0 AND "partition" = 1""", "log"),
+        "log_append_repeated": _with(f"SELECT {_LOG} FROM log", "log"),
         "offset_audit": _audit("log"),
         "offset_audit_damaged": _audit("damaged"),
         "offset_duplicates": _with("""

@@ -1,16 +1,14 @@
 """Ordered computations over groups of any size.
 
-A window function sorts each group in one task. That is the cheapest plan while every group is small, and a
-dead end once one group holds a large share of the rows. Both forms live here and give equal results:
-
-* direct: one window over the group;
-* sliced: Spark range-sorts the rows by (group, order). The order is unique per row, so the range partitions
-  come out even however the groups are distributed, and a hot group simply spans many of them. Each row is
-  stamped with its position, the result is written once to the shared folder, and what a slice needs from the
-  slices before it is a table with at most one carried row per slice.
+A window function sorts each group in one task, which is a dead end once one group holds a large share of the
+rows. So the rows are range-sorted by (group, order), which is unique per row: the range partitions come out even
+however the groups are distributed, and a hot group simply spans many of them. Each row is stamped with its
+position, the result is written once to the shared folder, and what a slice needs from the slices before it is a
+table of at most one row per slice, since only the first group of a slice can have begun earlier.
 
 The written cut matters: the stamps depend on where Spark put the range bounds, so they must never be computed
-twice.
+twice. A caller who knows that all groups are small can ask for the plain window with ``direct``; it is never chosen
+by size.
 """
 
 from functools import reduce
@@ -19,11 +17,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import materialize
 
-# Largest group that is still sorted in one task.
-DIRECT_ROWS = 10_000_000
-# At most this many groups can be hot: a hot group holds more than 1/MAX_HOT of all rows.
-MAX_HOT = 10_000
-
 _SLICE_SHIFT = 33  # monotonically_increasing_id: slice number in the high bits, position in the low 33
 
 
@@ -33,47 +26,12 @@ def sliced(df: DataFrame, keys, label="sliced") -> DataFrame:
     return materialize(stamped, label).withColumn("_slice", F.shiftright("_pos", _SLICE_SHIFT))
 
 
-def group_sizes(df: DataFrame, group) -> DataFrame:
-    """Rows per group, from the group columns alone."""
-    return df.groupBy(*group).agg(F.count("*").alias("_n"))
-
-
-def split_hot(df: DataFrame, group, direct_rows=None, sizes=None):
-    """(rows of ordinary groups, rows of groups too large for one task); ``None`` for a side with no rows.
-
-    ``sizes`` may hold known sizes, or upper bounds of them, for all groups. At most ``MAX_HOT`` keys reach
-    the driver. An infinite ``direct_rows`` skips the check, for input whose size is bounded elsewhere.
-    """
-    limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    if limit == float("inf"):
-        return df, None
-    sizes = group_sizes(df, group) if sizes is None else sizes
-    total, largest, groups = sizes.agg(F.sum("_n"), F.max("_n"), F.count("*")).first()
-    if largest is None or largest <= limit:
-        return df, None
-    limit = max(limit, total // MAX_HOT)
-    hot = sizes.where(F.col("_n") > limit).select(*group).collect()
-    if not hot:
-        return df, None
-    if len(hot) == groups:
-        return None, df
-    keys = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*group).schema))
-    same = same_keys(group, "r", "h")
-    rows = df.alias("r")
-    return rows.join(keys.alias("h"), same, "left_anti"), rows.join(keys.alias("h"), same, "left_semi")
-
-
 def same_keys(columns, left, right):
     """Join condition on equal keys of two aliased frames; NULL keys are equal."""
     return reduce(lambda a, b: a & b,
                   [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def _both(parts, direct, by_slice):
-    done = [form(rows) for form, rows in zip((direct, by_slice), parts) if rows is not None]
-    return reduce(DataFrame.unionByName, done)
-
-
 # What a running value is made of: the aggregate over rows, and how two partial results become one.
 _RUNNING = {
     "max": (F.max, F.greatest),
@@ -81,67 +39,53 @@ _RUNNING = {
 }
 
 
-def _before_direct(df, group, order, value, into, how):
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(into, _RUNNING[how][0](value).over(window))
-
-
-def _before_sliced(df, group, order, value, into, how):
+def _before(df, group, order, value, into, how, direct):
     aggregate, combine = _RUNNING[how]
+    upto = Window.unboundedPreceding, -1
+    if direct:
+        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto)
+        return df.withColumn(into, aggregate(value).over(window))
     rows = sliced(df, [*group, *order], f"{how}-before")
     per_slice = rows.groupBy("_slice", *group).agg(aggregate(value).alias("_part"))
-    # At most one row per slice in each of these windows.
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per slice and group in each of these windows.
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(*upto)
     # Only the first group of a slice can have begun in an earlier one, so this keeps at most one row per slice.
     carried = (per_slice.withColumn("_carry", aggregate("_part").over(earlier))
                .where("_carry IS NOT NULL").select("_slice", *group, "_carry"))
     keys = ["_slice", *group]
-    here = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(*upto)
     local = rows.withColumn("_local", aggregate(value).over(here))
     return (local.alias("l").join(F.broadcast(carried).alias("c"), same_keys(keys, "l", "c"), "left")
             .select(*[F.col(f"l.{c}") for c in df.columns],
                     combine(F.col("_local"), F.col("_carry")).alias(into)))
 
 
-def _before(df, group, order, value, into, how, direct_rows, sizes):
-    return _both(split_hot(df, group, direct_rows, sizes),
-                 lambda rows: _before_direct(rows, group, order, value, into, how),
-                 lambda rows: _before_sliced(rows, group, order, value, into, how))
-
-
-def max_before(df: DataFrame, group, order, value, into, direct_rows=None, sizes=None) -> DataFrame:
+def max_before(df: DataFrame, group, order, value, into, direct=False) -> DataFrame:
     """Adds the largest ``value`` among the earlier rows of the same group, NULL where there is none.
 
-    ``order`` must be unique within a group. Groups above ``direct_rows`` go through the sliced form.
+    ``order`` must be unique within a group.
     """
-    return _before(df, group, order, value, into, "max", direct_rows, sizes)
+    return _before(df, group, order, value, into, "max", direct)
 
 
-def sum_before(df: DataFrame, group, order, value, into, direct_rows=None, sizes=None) -> DataFrame:
+def sum_before(df: DataFrame, group, order, value, into, direct=False) -> DataFrame:
     """The same with the sum of the earlier values."""
-    return _before(df, group, order, value, into, "sum", direct_rows, sizes)
+    return _before(df, group, order, value, into, "sum", direct)
 
 
-def _number_direct(df, group, order, into):
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(into, (F.row_number().over(window) - 1).cast("long"))
-
-
-def _number_sliced(df, group, order, into):
+def number_rows(df: DataFrame, group, order, into, direct=False) -> DataFrame:
+    """Adds dense numbers 0..n-1 per group in ``order`` (unique within the group)."""
+    if direct:
+        window = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumn(into, (F.row_number().over(window) - 1).cast("long"))
     rows = sliced(df, [*group, *order], "numbers")
-    spans = rows.groupBy("_slice", *group).agg(F.min("_pos").alias("_first"), F.count("*").alias("_rows"))
+    spans = rows.groupBy("_slice", *group).agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice plus one per group: groups here are hot, so both counts are bounded (see split_hot).
-    bases = spans.select("_slice", *group,
-                         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    carried = (spans.withColumn("_carry", F.sum("_rows").over(earlier))
+               .where("_carry IS NOT NULL").select("_slice", *group, "_carry"))
     keys = ["_slice", *group]
-    return (rows.alias("l").join(F.broadcast(bases).alias("b"), same_keys(keys, "l", "b"))
+    here = Window.partitionBy(*keys).orderBy("_pos")
+    local = rows.withColumn("_local", (F.row_number().over(here) - 1).cast("long"))
+    return (local.alias("l").join(F.broadcast(carried).alias("c"), same_keys(keys, "l", "c"), "left")
             .select(*[F.col(f"l.{c}") for c in df.columns],
-                    (F.col("_pos") + F.col("_base")).alias(into)))
-
-
-def number_rows(df: DataFrame, group, order, into, direct_rows=None, sizes=None) -> DataFrame:
-    """Adds dense numbers 0..n-1 per group in ``order`` (unique within the group)."""
-    return _both(split_hot(df, group, direct_rows, sizes),
-                 lambda rows: _number_direct(rows, group, order, into),
-                 lambda rows: _number_sliced(rows, group, order, into))
+                    (F.col("_local") + F.coalesce("_carry", F.lit(0))).alias(into)))

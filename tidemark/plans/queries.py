@@ -16,7 +16,6 @@ SIZE_MS = 6 * tables.HOUR_MS
 GRACE_MS = tables.HOUR_MS
 WEEK_MS = 7 * tables.DAY_MS
 RUN_SECONDS = 30 * 24 * 3600
-SLICED = 0  # direct_rows that sends every group through the sliced form
 
 _stored: dict = {}
 
@@ -177,14 +176,21 @@ def window_agg_accepted(spark, sf_dir):
     return rounded(windows.window_agg(accepted, SIZE_MS))
 
 
+def _asof(spark, sf_dir):
+    """The latest event time, as a number, so that bounds made of it can be pushed to the scan."""
+    return tables.sensor_events(spark, sf_dir).agg(F.max("event_ms")).first()[0] or 0
+
+
 def windows_completed(spark, sf_dir):
-    rows = tables.sensor_events(spark, sf_dir)
-    return rounded(windows.windows_completed(rows, _latest(rows), SIZE_MS, GRACE_MS))
+    asof = _asof(spark, sf_dir)
+    rows = tables.sensor_events(spark, sf_dir, before_ms=windows.completed_bound(asof, SIZE_MS, GRACE_MS))
+    return rounded(windows.windows_completed(rows, asof, SIZE_MS, GRACE_MS))
 
 
 def windows_active(spark, sf_dir):
-    rows = tables.sensor_events(spark, sf_dir)
-    return rounded(windows.windows_active(rows, _latest(rows), SIZE_MS, GRACE_MS))
+    asof = _asof(spark, sf_dir)
+    rows = tables.sensor_events(spark, sf_dir, from_ms=windows.completed_bound(asof, SIZE_MS, GRACE_MS))
+    return rounded(windows.windows_active(rows, asof, SIZE_MS, GRACE_MS))
 
 
 def window_rollup(spark, sf_dir):
@@ -212,7 +218,7 @@ def idempotent_dedup(spark, sf_dir):
 
 
 def idempotent_dedup_sliced(spark, sf_dir):
-    return append.idempotent_dedup(_attempts(spark, sf_dir), SLICED)
+    return append.idempotent_dedup(_attempts(spark, sf_dir))
 
 
 def log_offsets(spark, sf_dir):
@@ -220,7 +226,7 @@ def log_offsets(spark, sf_dir):
 
 
 def log_offsets_sliced(spark, sf_dir):
-    return append.log_records(_attempts(spark, sf_dir), SLICED)
+    return append.log_records(_attempts(spark, sf_dir))
 
 
 def append_plain(spark, sf_dir):
@@ -232,7 +238,7 @@ def append_acks(spark, sf_dir):
 
 
 def append_acks_sliced(spark, sf_dir):
-    return append.append_acks(_attempts(spark, sf_dir), SLICED)
+    return append.append_acks(_attempts(spark, sf_dir))
 
 
 def producer_state(spark, sf_dir):
@@ -341,7 +347,7 @@ def stream_window_agg(spark, sf_dir):
 
 def _append_stream(spark, sf_dir):
     """Feeds the attempts in three arrivals, one after the other, to the streaming appender."""
-    inbox, log, state, ckpt = (scratch_path(spark, n) for n in ("inbox", "log", "state", "ckpt"))
+    inbox, log, ckpt = (scratch_path(spark, n) for n in ("inbox", "log", "ckpt"))
     attempts = _attempts(spark, sf_dir)
     first, last = attempts.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
     step = (last - first) // 3 + 1
@@ -350,7 +356,7 @@ def _append_stream(spark, sf_dir):
         (attempts.where((F.col("arrival_ms") >= begin) & (F.col("arrival_ms") < begin + step))
          .write.mode("append").parquet(inbox))
         frame = spark.readStream.schema(ATTEMPT).parquet(inbox)
-        stream.start(frame, ckpt, handler=appender.append_handler(log, state), drain=True).awaitTermination()
+        stream.start(frame, ckpt, handler=appender.append_handler(log), drain=True).awaitTermination()
     return log
 
 
@@ -358,6 +364,37 @@ def stream_dedup(spark, sf_dir):
     return log_table.read_log(spark, _append_stream(spark, sf_dir), STORED_LOG)
 
 
+def stream_late_counts(spark, sf_dir):
+    """Processed and late events of the late variant, counted by a stream."""
+    out = scratch_path(spark, "counts")
+    events = tables.late_variant(tables.as_sensor_events(tables.event_stream(spark, sf_dir)))
+    counts = stream.count_stream(events, SIZE_MS, GRACE_MS)
+    stream.start(counts, scratch_path(spark, "ckpt"), handler=stream.keep_last(out), drain=True,
+                 mode="complete").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).select(*counts.columns)
+
+
+def log_append_repeated(spark, sf_dir):
+    """Two batches, the first sent twice, and what a writer that died has left of the second before it is sent."""
+    path, attempts = scratch_path(spark, "log-repeated"), _attempts(spark, sf_dir)
+    middle = attempts.agg(F.expr("percentile(arrival_ms, 0.5)")).first()[0] or 0
+    first, second = attempts.where(F.col("arrival_ms") < middle), attempts.where(F.col("arrival_ms") >= middle)
+    append.append_to_log(spark, first, path, 0)
+    append.append_to_log(spark, first, path, 0)
+    log_table.write_log(log_table.read_log(spark, path, STORED_LOG).where("offset % 2 = 0"), f"{path}/_staged_1")
+    append.append_to_log(spark, second, path, 1)
+    return log_table.read_log(spark, path, STORED_LOG)
+
+
+def lost_records_damaged(spark, sf_dir):
+    """Loss where offsets are missing, repeated or unknown on either side."""
+    log = _log(spark, sf_dir)
+    unknown = log.where("offset % 83 = 0").withColumn("offset", F.lit(None).cast("long"))
+    produced = log.unionByName(unknown).unionByName(log.where("offset % 89 = 0"))
+    consumed = _consumed(log).unionByName(unknown.where("partition <> 1"))
+    return audit.lost_records(produced, consumed).select("partition", "offset", "key")
+
+
 def stream_log_to_windows(spark, sf_dir):
     """Log table to windows: tail, decode, drop and count late rows, aggregate, store."""
     out = scratch_path(spark, "windows")
@@ -383,6 +420,6 @@ def registered() -> dict:
             throughput, throughput_by_bucket, reconcile_loss, lost_records, offset_audit,
             offset_audit_damaged, offset_duplicates, replica_diff, replica_summary, device_liveness,
             order_audit, key_placement, run_verdict,
-            stream_window_agg, stream_dedup, stream_log_to_windows):
+            stream_window_agg, stream_dedup, stream_log_to_windows, stream_late_counts, log_append_repeated, lost_records_damaged):
         named[function.__name__] = function
     return named

@@ -82,6 +82,29 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a folder in one step; false if the target is there already."""
+    system, target = _file_system(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(to)
+    return not system.exists(new) and system.rename(target, new)
+
+
+def folders(spark: SparkSession, path: str) -> list:
+    """Names of the folders inside of a folder; none if it is missing."""
+    system, target = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()] if system.exists(target) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     system, target = _file_system(spark, path)
     return system.exists(target)

@@ -1,8 +1,15 @@
-"""The stored log: a parquet table with one directory per partition; order is the ``offset`` column."""
+"""The stored log: a parquet table with one directory per partition; order is the ``offset`` column.
+
+A log that grows by batches has one folder per batch around these. A batch is written into a folder whose name
+begins with an underscore, which no reader lists, and published by renaming that folder: one step on a file system
+with atomic renames (HDFS, local); an object store needs a table format instead. The producer state after the batch
+lies inside, so records and state appear together.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.schemas import LOG, STORED_LOG
+from tidemark.schemas import LOG, PRODUCER_STATE, STORED_LOG
+from tidemark.session import folders, path_exists, remove, rename
 
 
 def write_log(records: DataFrame, path: str, mode="append", arranged=False) -> None:
@@ -19,17 +26,49 @@ def write_log(records: DataFrame, path: str, mode="append", arranged=False) -> N
      .write.partitionBy("partition").mode(mode).parquet(path))
 
 
+def _batch(path: str, batch: int) -> str:
+    return f"{path}/batch_id={batch}"
+
+
+def is_published(spark: SparkSession, path: str, batch: int) -> bool:
+    return path_exists(spark, _batch(path, batch))
+
+
+def last_state(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """Producer state before ``batch``; the batches before it must be there, and none after."""
+    names = [n for n in folders(spark, path) if n.startswith("batch_id=")]
+    known = sorted(int(n.partition("=")[2]) for n in names)
+    if batch not in known and known and known[-1] != batch - 1 or batch and not known:
+        raise ValueError(f"batch {batch} does not follow the batches in the log, of which the last is "
+                         f"{known[-1] if known else None}")
+    if not batch:
+        return spark.createDataFrame([], PRODUCER_STATE)
+    return spark.read.schema(PRODUCER_STATE).parquet(f"{_batch(path, batch - 1)}/_state")
+
+
+def publish(spark: SparkSession, path: str, batch: int, fill) -> bool:
+    """``fill(folder)`` writes the records and returns the state after them; then the folder becomes the batch."""
+    staged = f"{path}/_staged_{batch}"
+    remove(spark, staged)  # what a writer that died may have left
+    fill(staged).write.parquet(f"{staged}/_state")
+    return rename(spark, staged, _batch(path, batch))
+
+
 def read_log(spark: SparkSession, path: str, schema=LOG) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def fetch(spark: SparkSession, path: str, partition: int, from_offset: int, partitions: int) -> DataFrame:
-    """Records of one partition from an offset to the end. Below zero means zero; past the end is empty."""
+def fetch(spark: SparkSession, path: str, partition: int, from_offset: int, partitions: int,
+          ordered=False) -> DataFrame:
+    """Records of one partition from an offset to the end. Below zero means zero; past the end is empty.
+
+    ``ordered`` returns them in the order of their offsets.
+    """
     if not 0 <= partition < partitions:
         raise ValueError(f"this log has no partition {partition}")
     start = max(0, from_offset)
-    return (read_log(spark, path)
-            .where((F.col("partition") == partition) & (F.col("offset") >= start)))
+    rows = read_log(spark, path).where((F.col("partition") == partition) & (F.col("offset") >= start))
+    return rows.orderBy("offset") if ordered else rows
 
 
 def fan_in(*logs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from tidemark.functions.routing import key_partition
 from tidemark.functions.scalar import backdated
 from tidemark.plans.ordered import number_rows
 from tidemark.schemas import ATTEMPT
+from tidemark.session import is_folder
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -34,8 +35,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table read as a stream of files."""
-    return (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    """The same table, one file or a folder of files, read as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    if is_folder(spark, path):
+        return spark.readStream.schema(EVENTS).parquet(path)
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def as_sensor_events(rows: DataFrame) -> DataFrame:
@@ -45,13 +49,26 @@ def as_sensor_events(rows: DataFrame) -> DataFrame:
                        F.col("value").alias("temperature"), epoch_ms("ts").alias("event_ms"))
 
 
-def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_sensor_events(events(spark, sf_dir))
+def at_ms(ms):
+    """A time in epoch milliseconds as a zone-free timestamp in UTC, for comparison with a stored one."""
+    return (F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.lit(ms) / 1000)).cast("timestamp_ntz")
+
+
+def sensor_events(spark: SparkSession, sf_dir: str, from_ms=None, before_ms=None) -> DataFrame:
+    """Events as readings; the optional bounds on the event time reach the scan, where ``ts`` is stored."""
+    rows = events(spark, sf_dir)
+    rows = rows if from_ms is None else rows.where(F.col("ts") >= at_ms(from_ms))
+    return as_sensor_events(rows if before_ms is None else rows.where(F.col("ts") < at_ms(before_ms)))
 
 
 def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor events with an arrival time; every 33rd one is moved 1 to 8 hours into the past."""
-    rows = sensor_events(spark, sf_dir).withColumnRenamed("event_ms", "arrival_ms")
+    return late_variant(sensor_events(spark, sf_dir))
+
+
+def late_variant(readings: DataFrame) -> DataFrame:
+    """The same of any batch or streaming frame of sensor events."""
+    rows = readings.withColumnRenamed("event_ms", "arrival_ms")
     return rows.withColumn("event_ms", backdated("arrival_ms", "event_id", every=33, step_ms=HOUR_MS))
 
 
@@ -62,12 +79,12 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("l_quantity").alias("temperature"), epoch_ms("l_shipdate").alias("event_ms"))
 
 
-def append_attempts(spark: SparkSession, sf_dir: str, partitions=4, direct_rows=None) -> DataFrame:
+def append_attempts(spark: SparkSession, sf_dir: str, partitions=4, direct=False) -> DataFrame:
     """One first attempt per event, and for every 50th event a retry one second later with the same sequence.
 
     The event type plays the producer; its sequence counter runs over all partitions.
     """
-    numbered = number_rows(sensor_events(spark, sf_dir), ["event_type"], ["event_id"], "seq", direct_rows)
+    numbered = number_rows(sensor_events(spark, sf_dir), ["event_type"], ["event_id"], "seq", direct)
     first = numbered.select(
         key_partition("device_id", partitions).alias("partition"), F.col("device_id").alias("key"),
         event_to_json().alias("value"), F.col("event_type").alias("producer_id"), "seq",

@@ -1,44 +1,42 @@
 """Appending to the log from a stream of attempts: retries dropped and offsets assigned across micro-batches.
 
 Each micro-batch goes through the same operators as a batch job, so a hot producer or partition is split the
-same way. What has to be remembered is one small row per (partition, producer): its last sequence and offset.
-It is kept as a table in two slots that alternate by batch number, so a batch reads one slot and writes the
-other, and repeating a batch after a failure gives the same result.
+same way, and is published as one batch of the log, together with the state after it: one row per (partition,
+producer), its last sequence and offset. A batch repeated after a failure finds itself published and does nothing.
 
-The checkpoint of the query, the log and the state belong together: start a new query with new ones.
+The query's id is stored next to the log. A new query, whose batches begin at 0 again, is refused by a log that
+another one has filled, instead of being taken for a repetition.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.operators.append import STREAM, accept_batch, producer_state
-from tidemark.schemas import PRODUCER_STATE, STORED_LOG
-from tidemark.session import path_exists, scratch_scope
-from tidemark.sources.log_table import write_log
+from tidemark.operators.append import append_to_log
+from tidemark.session import folders, rename
 
+_QUERY = "sql.streaming.queryId"  # Spark sets it for the jobs of a query
 
-def _slot(state_path: str, batch_id: int) -> str:
-    return f"{state_path}/slot={batch_id % 2}"
 
+def _claim(spark, log_path: str, query: str) -> None:
+    """Makes the log the query's own, or refuses it."""
+    owners = [n.partition("-")[2] for n in folders(spark, log_path) if n.startswith("_query-")]
+    if owners and owners != [query]:
+        raise ValueError(f"the log {log_path} belongs to the streaming query {owners[0]}, not to {query}")
+    if not owners:
+        staged = f"{log_path}/_claim_{query}"
+        spark.createDataFrame([(query,)], "query string").write.mode("overwrite").parquet(staged)
+        rename(spark, staged, f"{log_path}/_query-{query}")
 
-def load_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
-    """Producer state as it was before ``batch_id``."""
-    if batch_id == 0:
-        return spark.createDataFrame([], PRODUCER_STATE)
-    return spark.read.schema(PRODUCER_STATE).parquet(_slot(state_path, batch_id - 1))
 
+def append_handler(log_path: str, direct=False, query=None):
+    """A ``foreachBatch`` handler that appends each micro-batch to the log exactly once.
 
-def append_handler(log_path: str, state_path: str, direct_rows=None):
-    """A ``foreachBatch`` handler that appends each micro-batch to the log exactly once."""
+    ``query`` names the writer where there is no streaming query, as in a replay by hand.
+    """
     def handle(frame: DataFrame, batch_id: int):
         spark = frame.sparkSession
-        state = load_state(spark, state_path, batch_id)
-        batch_path = f"{log_path}/batch_id={batch_id}"
-        if not path_exists(spark, f"{batch_path}/_SUCCESS"):
-            with scratch_scope(spark):
-                write_log(accept_batch(frame, state, direct_rows), batch_path, mode="overwrite", arranged=True)
-        written = spark.read.schema(STORED_LOG).parquet(batch_path)
-        merged = (state.unionByName(producer_state(written))
-                  .groupBy(*STREAM).agg(F.max("last_seq").alias("last_seq"),
-                                        F.max("last_offset").alias("last_offset")))
-        merged.write.mode("overwrite").parquet(_slot(state_path, batch_id))
+        own = spark.sparkContext.getLocalProperty(_QUERY) or query
+        if own is None:
+            raise ValueError("outside of a streaming query, the handler needs the name of the writer")
+        _claim(spark, log_path, own)
+        append_to_log(spark, frame, log_path, batch_id, direct)
     return handle

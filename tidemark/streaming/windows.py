@@ -2,10 +2,11 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.payload import decode, event_from_json
+from tidemark.functions.payload import decode
 from tidemark.functions.scalar import average, event_time, is_late
 from tidemark.operators.windows import RESULT, late_accept
 from tidemark.schemas import FLUSH_INTERVAL_MS, GRACE_MS, WINDOW_MS
+from tidemark.session import folders, remove, rename
 
 
 def window_stream(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
@@ -36,15 +37,36 @@ def counted(events: DataFrame, name="late", size_ms=WINDOW_MS, grace_ms=GRACE_MS
     return late_accept(seen, size_ms, grace_ms)
 
 
+def count_stream(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
+    """``processed, late``: exact counts over the whole life of a query, kept in its state (mode ``complete``)."""
+    late = ~F.coalesce(~is_late(size_ms=size_ms, grace_ms=grace_ms), F.lit(False))
+    return events.groupBy().agg(F.count_if(~late).alias("processed"), F.count_if(late).alias("late"))
+
+
+def keep_last(path: str):
+    """A handler that stores the result of the last batch; readers see a batch only once it is whole."""
+    def handle(frame: DataFrame, batch_id: int):
+        spark, staged = frame.sparkSession, f"{path}/_staged"
+        remove(spark, staged)
+        frame.write.parquet(staged)
+        remove(spark, f"{path}/batch_id={batch_id}")
+        rename(spark, staged, f"{path}/batch_id={batch_id}")
+        for name in folders(spark, path):
+            if name.startswith("batch_id=") and name != f"batch_id={batch_id}":
+                remove(spark, f"{path}/{name}")
+    return handle
+
+
 def stamp_arrival(events: DataFrame) -> DataFrame:
     """Adds ``arrival_ms``, the time the micro-batch began; a repeated batch gets the same time again."""
     return events.withColumn("arrival_ms", F.unix_millis(F.current_timestamp()))
 
 
 def run_report(query, name="late") -> dict:
-    """Counters of a windowed query: processed and late events, windows still active, windows flushed.
+    """Recent counters of a windowed query: processed and late events, windows still active, windows flushed.
 
-    Summed over the micro-batches the query still reports, see ``spark.sql.streaming.numRecentProgressUpdates``.
+    For a glance at a running query: summed over the micro-batches that it still reports (see
+    ``spark.sql.streaming.numRecentProgressUpdates``). ``count_stream`` counts over a query's whole life.
     """
     report = {"processed": 0, "late": 0, "active_windows": 0, "flushed_windows": 0}
     for progress in query.recentProgress:
@@ -58,7 +80,7 @@ def run_report(query, name="late") -> dict:
 
 
 def start(df: DataFrame, checkpoint: str, *, path=None, handler=None, drain=False,
-          interval_ms=FLUSH_INTERVAL_MS):
+          interval_ms=FLUSH_INTERVAL_MS, mode="append"):
     """Starts a query that appends to a parquet folder, or hands every batch to ``handler(frame, batch_id)``.
 
     It runs every ``interval_ms``, or with ``drain`` handles what is there and stops; windows that are still
@@ -66,7 +88,7 @@ def start(df: DataFrame, checkpoint: str, *, path=None, handler=None, drain=Fals
     """
     if (path is None) == (handler is None):
         raise ValueError("give either a path or a handler")
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = (writer.trigger(availableNow=True) if drain
               else writer.trigger(processingTime=f"{interval_ms} milliseconds"))
     return (writer.format("parquet").option("path", path).start() if handler is None
@@ -91,7 +113,9 @@ def split_unreadable(good_path: str, dead_path: str):
 
 
 def strict_events(df: DataFrame, value="value") -> DataFrame:
-    """Decodes a stream or table and fails the query at the first unreadable row."""
-    event = event_from_json(value, strict=True)
-    return df.select("*", event["deviceId"].alias("device_id"), event["temperature"].alias("temperature"),
-                     event["timestamp"].alias("event_ms"))
+    """Decodes a stream or table and fails the query at the first row that is malformed or lacks a field."""
+    marked = decode(df, value)
+    broken = F.raise_error(F.concat(F.lit("unreadable event: "), F.coalesce(F.col(value), F.lit("null"))))
+    checked = [F.when(F.col("readable"), F.col(c)).otherwise(broken.cast(marked.schema[c].dataType)).alias(c)
+               for c in ("device_id", "temperature", "event_ms")]
+    return marked.select(*df.columns, *checked)
