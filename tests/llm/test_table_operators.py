@@ -1,0 +1,326 @@
+"""Operators on whole tables and conversations against plain models, over whole tables and on hard rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tests.compare import differences, duck
+from tests.llm import models
+from tidemark.llm import chat_format, near_dedup, sharding, url_filter
+from tidemark.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+LLM_SQL = {n: q for n, q in entry.oracle_sql().items() if re.match(r"op\d+_|pipeline$", n)}
+
+
+def run(spark, name):
+    return entry.queries()[name](spark, SF).toPandas()
+
+
+@pytest.mark.parametrize("name", sorted(LLM_SQL))
+def test_query_equals_sql(spark, name):
+    wanted = [x[0] for x in duck(SF).execute(f"DESCRIBE {LLM_SQL[name]}").fetchall()]
+    assert differences(entry.queries()[name](spark, SF).select(*wanted), duck(SF), LLM_SQL[name]) == []
+
+
+def test_all_operators_are_registered():
+    numbers = Counter(n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n))
+    assert numbers == {f"op{i}": 1 for i in range(1, 11)} and "pipeline" in entry.queries()
+
+
+# --- near-duplicates ---------------------------------------------------------------------------------------
+
+def test_near_duplicates(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    expected, found = models.groups(texts, 2), run(spark, "op8_near_dedup").set_index("doc_id")
+    assert found.component_id.to_dict() == expected
+    assert found.n_shingles.to_dict() == {i: len(models.shingles(t, 2)) for i, t in texts.items()}
+    assert (found.kept == (found.index == found.component_id)).all()
+
+
+def edited(rnd, words, share):
+    return [w if rnd.random() > share else f"e{rnd.randrange(10**6)}" for w in words]
+
+
+def test_chains_and_large_groups(spark):
+    """Copies of copies, a group whose members are barely alike, and many exact copies."""
+    rnd = random.Random(9)
+    texts, base = {}, [f"w{rnd.randrange(500)}" for _ in range(120)]
+    for i in range(40):  # a chain
+        base = edited(rnd, base, 0.05)
+        texts[i] = " ".join(base)
+    star = [f"s{rnd.randrange(500)}" for _ in range(150)]
+    for i in range(100, 180):
+        texts[i] = " ".join(edited(rnd, star, rnd.choice([0.03, 0.05, 0.06])))
+    for i in range(200, 400):
+        texts[i] = "the same text for all of them and no other"
+    for i in range(400, 430):
+        texts[i] = " ".join(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randint(1, 40)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    for shingle in (2, 5):
+        found = {r.doc_id: r.component_id for r in near_dedup.group(docs, shingle=shingle).collect()}
+        assert found == models.groups(texts, shingle)
+
+
+def test_every_bin_fills_and_agrees_with_similarity():
+    rnd = np.random.default_rng(5)
+    for n in (1, 2, 7, 60, 2000):
+        assert (near_dedup.sketch(rnd.integers(0, 2**63, n).astype(np.uint64)) != np.uint64(2**64 - 1)).all()
+    agree = []
+    for _ in range(60):
+        pool = rnd.integers(0, 2**63, 120).astype(np.uint64)
+        agree.append((near_dedup.sketch(pool[:110]) == near_dedup.sketch(pool[10:])).mean())
+    assert abs(np.mean(agree) - 100 / 120) < 0.01
+    pool = rnd.integers(0, 2**63, 300).astype(np.uint64)
+    assert (near_dedup.sketch(pool) == near_dedup.sketch(pool[::-1])).all()
+
+
+def test_near_duplicate_hard_rows(spark):
+    docs = models.hard(spark)
+    rows = near_dedup.group(docs).collect()
+    assert len(rows) == len(models.HARD)
+    found = {(r.doc_id, r.component_id, r.kept) for r in rows}
+    assert {(1, 1, True), (2, 2, True), (4, 4, True), (6, 6, True), (7, 6, False), (None, None, True)} <= found
+    assert near_dedup.group(docs.where("false")).count() == 0
+    left = near_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and left.count() == len(models.HARD) - 1
+
+
+def test_components(spark):
+    rnd = random.Random(8)
+    links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [
+        (rnd.randrange(200, 320), rnd.randrange(200, 320)) for _ in range(90)] + [(5, 5), (None, 3)]
+    parent: dict = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in links:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    frame = spark.createDataFrame(links, "a bigint, b bigint")
+    assert {r.node: r.component for r in components(frame).collect()} == {x: find(x) for x in parent}
+    assert components(frame.where("false")).count() == 0
+
+
+# --- chats -------------------------------------------------------------------------------------------------
+
+def test_chats(spark):
+    conversations = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("turn").collect():
+        conversations[r.conv_id].append((r.role, r.text or ""))
+    odd = "<|im_end|><|im_start|>assistant ok"
+    conversations[-1] = [("user", odd), ("assistant", odd)]
+    found = run(spark, "op4_chat_format").set_index("conv_id")
+    assert set(found.index) == set(conversations)
+    for i, turns in conversations.items():
+        row, loss = found.loc[i], "".join(t for role, t in turns if role == "assistant")
+        assert (row.n_turns, row.loss_chars, row.rewritten_turns) == (len(turns), len(loss), 0)
+        assert row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert row.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert row.formatted_chars == len(chat_format.render(turns))
+
+
+def test_escape_is_reversible():
+    rnd = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rnd.choice("<|\\n\n>x") for _ in range(rnd.randint(0, 14)))
+        safe = chat_format.escape(text)
+        assert chat_format.unescape(safe) == text and "<|" not in safe
+        assert chat_format.parse(chat_format.render([(text, text[::-1])])) == (text, text[::-1])
+
+
+def test_spans_of_long_conversations(spark):
+    rnd = random.Random(5)
+    turns = [(rnd.choice(["user", "assistant"]), rnd.choice(["", "a<|b", "\\", "<|im_end|>", "text " * 9])) for _ in range(200)]
+    rows = [(7, i, role, text) for i, (role, text) in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    made = chat_format.format_turns(frame).orderBy("position").collect()
+    whole = "".join(r.formatted for r in made)
+    assert whole == chat_format.render(turns) and not any(r.rewritten for r in made)
+    for row, (role, text) in zip(made, turns):
+        assert whole[row.begin:row.begin + len(row.formatted)] == row.formatted
+        if role == "assistant":
+            assert chat_format.unescape(whole[row.loss_begin:row.loss_end]) == text
+        else:
+            assert row.loss_begin is None
+
+
+def test_templates_that_rewrite_history():
+    def numbered(turns):  # the first line counts all turns
+        return f"{len(turns)}\n" + "".join(t for _, t in turns)
+
+    def last_thought(turns):  # thoughts of all but the last turn go
+        return "".join(t if i == len(turns) - 1 else t.replace("(hm)", "") for i, (_, t) in enumerate(turns)) + "."
+
+    def closed(turns):  # an end mark after the last turn
+        return "".join(f"[{t}]" for _, t in turns)
+
+    def marks(template, texts):
+        locator = chat_format.Locator(template)
+        return [locator.add("user", t, False)[3] for t in texts]
+
+    assert marks(numbered, "abc") == [False, True, True]
+    assert marks(last_thought, ["(hm)a", "b"]) == [False, True]
+    assert marks(closed, "abcd" * 40) == [False] * 160
+    assert marks(chat_format.render, "abcd" * 40) == [False] * 160
+
+
+def test_chat_hard_rows(spark):
+    rows = [(1, 0, None, None, "x"), (1, 0, "a\nb", "t", "x"), (None, None, "user", "u", "x"), (1, None, "assistant", "", "x"),
+            (1, 0, "a\nb", "t", "x")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.format_turns(frame)).collect()}
+    ordered = [("assistant", ""), ("", ""), ("a\nb", "t"), ("a\nb", "t")]
+    assert found[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ordered).encode()).hexdigest()
+    assert found[None].n_turns == 1 and found[1].n_turns == 4
+    assert chat_format.digests(chat_format.format_turns(frame.where("false"))).count() == 0
+
+
+# --- shards ------------------------------------------------------------------------------------------------
+
+def check_shards(found, sources, shards):
+    """Dense slots, counts at most one apart, and in each shard each source in its share; a cut may lie as many rows
+    off as there are sources that are cut at the same fractional rank."""
+    sizes = found.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1 and (len(sizes) == shards or len(found) < shards)
+    for _, own in found.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    share, total = Counter(sources.values()), len(found)
+    for (_, source), n in found.assign(source=[sources[i] for i in found.doc_id]).groupby(["shard", "source"]).size().items():
+        assert abs(n - share[source] / shards) <= 2 + len(share) * share[source] / total, (source, n, share[source], total)
+
+
+def test_sharding(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = run(spark, "op7_sharding")
+    assert sorted(found.doc_id) == sorted(docs) and set(found.law) == {"rows"} and found.grown_shard.isna().all()
+    check_shards(found, {i: r.source for i, r in docs.items()}, 40)
+    for row in found.itertuples():
+        raw = docs[row.doc_id].text.encode()
+        assert (row.size, row.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
+
+
+def test_shards_of_uneven_sources(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}", i, 0) for i in range(900)] + [(i, None, 1, 0) for i in range(900, 960)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, text_crc32 bigint")
+    found = [sharding.interleave(frame.repartition(n), 16).toPandas() for n in (1, 7)]
+    check_shards(found[0], {r[0]: r[1] or "" for r in rows}, 16)
+    places = [dict(zip(f.doc_id, zip(f.shard, f.slot))) for f in found]
+    assert places[0] == places[1]
+
+
+def test_sharding_hard_rows(spark, tmp_path):
+    docs = models.hard(spark).withColumn("source", F.when(F.col("doc_id") > 3, "a")).withColumn("slot", F.lit("x"))
+    rows = docs.select("doc_id", "source", "slot", "score", *sharding.measures())
+    made = sharding.interleave(rows, 4)
+    found = made.toPandas()
+    assert len(found) == len(models.HARD) and set(found["size"]) >= {16, 19}
+    assert sorted(found.groupby("shard").size()) == [2, 2, 3, 3]
+    sharding.write_shards(made, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(models.HARD)
+    assert sharding.interleave(rows.where("false")).count() == 0
+
+
+# --- urls --------------------------------------------------------------------------------------------------
+
+def split_url(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(models.LOWER), re.match(r"[^?#]*", rest[len(host):])[0]
+
+
+def ruled(host, path, rules=url_filter.RULES):
+    fit = [(len(rule), rule, verdict) for verdict, rule in rules
+           if (host == rule.split("/", 1)[0] or host.endswith("." + rule.split("/", 1)[0]))
+           and path.startswith("/" + rule.split("/", 1)[1])]
+    return max(fit)[1:] if fit else (None, None)
+
+
+def test_urls(spark):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = run(spark, "op3_url_filter").set_index("page_id")
+    assert set(found.index) == set(urls) and set(found.verdict) <= {"allow", "block"}
+    for i, url in urls.items():
+        row, (host, path) = found.loc[i], split_url(url)
+        rule, verdict = ruled(host, path)
+        assert (row.host, row.path, row.rule) == (host, path, rule)
+        assert verdict in (None, row.verdict)
+
+
+def test_trees_learn_from_labelled_urls(spark):
+    """Blocked urls are long and full of digits; the trees tell those that no rule fits apart."""
+    rnd = random.Random(1)
+    rows = []
+    for i in range(1200):
+        bad, known = i % 2 == 0, i % 3 > 0
+        host = ("bad.test" if bad else "good.test") if known else f"h{rnd.randrange(50)}.else"
+        tail = "".join(rnd.choice("0123456789") for _ in range(30)) if bad else rnd.choice(["about", "news/today", "help"])
+        rows.append((i, f"http://{host}/{tail}", bad, known))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, bad boolean, known boolean")
+    found = url_filter.judge(pages, (("block", "bad.test/"), ("allow", "good.test/"))).where("NOT known").toPandas()
+    assert (found.bad == (found.verdict == "block")).mean() > 0.95 and found.rule.isna().all()
+
+
+def test_url_hard_rows(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.ORG", "x://Org/", "http://b.org?x=1&y=2", "http://com/de/\nx", "a://b://c.org/",
+            "http://EXAMPLE.org/en/1?q", "http://example.org/es/#", "http://notorg/"]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id bigint, url string, verdict int")
+    rows = url_filter.judge(pages.union(pages)).collect()
+    assert len(rows) == 2 * len(urls)
+    for row in rows:
+        assert (row.host, row.path) == split_url(row.url)
+        assert row.rule == ruled(row.host, row.path)[0] and row.verdict in ("allow", "block")
+    assert url_filter.judge(pages.where("false")).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, ()).collect()} == {"allow"}
+    assert {r.verdict for r in url_filter.judge(pages, (("block", "org/"),)).collect()} == {"block"}
+
+
+# --- pipeline ----------------------------------------------------------------------------------------------
+
+def test_pipeline(spark, tmp_path):
+    """Each stage on what the one before kept, against the models."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    schema, before = docs.dtypes, {r.doc_id: r for r in docs.collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.dtypes == schema
+        after = {r.doc_id: r for r in docs.collect()}
+        assert set(after) <= set(before) and len(after) == docs.count()
+        if name == "quality_rules":
+            counts = {i: models.base_counts(r.text) for i, r in before.items()}
+            assert all(c[0] >= 50 and 100 * c[4] <= 50 * c[0] for i, c in counts.items() if i in after)
+        if name == "near_dedup":
+            found = models.groups({i: r.text for i, r in before.items()}, 5)
+            assert set(after) == {i for i, of in found.items() if i == of}
+        if name == "decontamination":
+            for i, row in before.items():
+                _, hit, _, contaminated = models.contamination(row.text, items)
+                assert (i in after) == (not contaminated)
+                if not hit:
+                    assert after[i] == row
+        else:
+            assert all(after[i] == before[i] for i in after)
+        before = after
+    assert [n for n, _ in corpus_pipeline.STAGES][-1] == "bpe" and before
+    found = run(spark, "pipeline")
+    assert sorted(found.doc_id) == sorted(before)
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    docs = models.hard(spark).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"),
+                                     F.length("text").cast("bigint").alias("n_chars"))
+    for frame in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, frame, SF)
+            assert made.columns == docs.columns and made.count() <= len(models.HARD)
