@@ -23,7 +23,7 @@ from tokenizers.pre_tokenizers import Split
 
 from tidemark.llm.rows import extend, fields
 
-MEMORY_WORDS = 700_000  # encoded words kept by a worker
+MEMORY_WORDS = 200_000  # encoded words kept by a worker, and half as many pieces of words
 BATCH_BYTES = 2 << 20  # texts that are encoded together
 LONG_WORD = 64  # bytes; longer words are encoded but not kept
 MAX_SPEC_BYTES = 64 << 20  # largest tokenizer file that is broadcast
@@ -109,7 +109,7 @@ class Coder:
         self._learn_pieces({p for own in pieces.values() for p in own if p not in known})
         for i, own in pieces.items():
             self._of_word[words[i]] = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
-        if len(known) > MEMORY_WORDS:
+        if len(known) > MEMORY_WORDS // 2:
             known.clear()
 
     def _cut(self, text: bytes | None) -> list:
