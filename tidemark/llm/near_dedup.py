@@ -8,13 +8,15 @@ their similarity, concentrated as for independent hashes.
 
 * ``BANDS`` bands of ``ROWS`` bins each give buckets: a pair of similarity 0.8 misses all of them with a chance of
   1e-7.
-* One bit of each bin makes a 256-bit summary; pairs that differ in more than ``MAX_BITS`` bits, seven standard
+* One bit of each bin makes a 256-bit summary; pairs that differ in more than ``MAX_BITS`` bits, six standard
   deviations off the mean at similarity 0.8, or whose sizes alone rule out the similarity, are not verified.
 * Documents with equal sets are one class, of which the smallest id goes on.
 * In each bucket, every class is verified against the smallest one, on full sets, and verified links are joined to
-  components. Only buckets that still hold several components can hide a link; there, every class outside of the
-  component of the smallest is verified against the classes of other components. So the pairs of a large group of
-  copies are never formed, and no pair of different components is left out.
+  components. Only buckets that still hold several components can hide a link. There, in up to ``PIVOTS`` rounds,
+  every class meets one random class of the bucket if that is of another component; in a large group of copies, most
+  of whose pairs are alike, that joins nearly all. Last, in the buckets that are still open, every class outside of
+  the commonest component meets all classes of other components. So pairs inside of a component are never formed,
+  and no plausible pair of different components is left out.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a text of fewer words than a shingle has its whole
 sequence as one. Shingles are 64-bit hashes. Null and empty texts, and those without words, have empty sets and
@@ -35,9 +37,10 @@ SHINGLE = 5
 SIMILARITY = 80  # per cent
 COORDINATES = 256
 BANDS, ROWS = 40, 5
-MAX_BITS = 60
+MAX_BITS = 54
+PIVOTS = 2  # rounds at most
 
-_MEMORY = 400_000  # word hashes kept by a worker
+_MEMORY = 100_000  # word hashes kept by a worker
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _MULTIPLIERS = np.random.default_rng(8).integers(1, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,10 +151,16 @@ def group(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, similarit
     about = classes.select("id", "n", "bits")
     links = _links(shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(),
                    about, source, shingle, similarity)
-    found = components(links)
-    more = _links(_across(shared, about, found, similarity), about, source, shingle, similarity)
+    found, members = components(links), shared.select("bucket", "id")
+    for seed in range(PIVOTS):
+        members = _open(members, found)
+        more = _links(_to_pivots(members, seed), about, source, shingle, similarity)
+        if more.isEmpty():
+            break
+        found = _joined(found, more)
+    more = _links(_across(_open(members, found), classes.select("id", "n", "bits", "keys"), similarity), about, source, shingle, similarity)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = _joined(found, more)
     found = classes.select("digest", F.col("id").alias("node")).join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("of"))
     result = rows.join(found, "digest", "left").select(
@@ -169,20 +178,40 @@ def _links(pairs: DataFrame, about: DataFrame, source: DataFrame, shingle: int,
     return materialize(_verified(near, source, shingle, similarity), "near-links")
 
 
-def _across(shared: DataFrame, about: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
-    """Plausible pairs of different components in one bucket; those with a bucket's first class were verified."""
-    named = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links; the ones so far are stars already, so few rounds are needed."""
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``bucket, id, component`` of the buckets that hold several components; written."""
+    named = members.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
-    heads = named.where("id = first").select("bucket", F.col("component").alias("head"))
-    outside = named.join(heads, "bucket").where("component <> head")
-    outside = materialize(outside.join(about, "id").select(
-        "bucket", "first", "head", F.col("id").alias("a"), F.col("component").alias("c"), "n", "bits"), "near-outside")
-    open_buckets = outside.select("bucket").distinct()
-    inside = named.join(open_buckets, "bucket", "left_semi").where("id <> first").join(about, "id").select(
-        "bucket", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"),
-        F.col("bits").alias("bits2"))
-    met = outside.join(inside, "bucket").where(
-        (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("head")) | (F.col("a") < F.col("b"))) & _plausible(similarity))
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low < high")
+    return materialize(named.join(several.select("bucket"), "bucket", "left_semi"), "near-open")
+
+
+def _to_pivots(members: DataFrame, seed: int) -> DataFrame:
+    """Each class with its bucket's pivot, a random class, unless they are of one component."""
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("p"),
+                                                          F.col("component").alias("c"))).alias("pivot"))
+    met = members.join(pivots.select("bucket", "pivot.p", "pivot.c"), "bucket").where("component <> c")
+    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def _across(members: DataFrame, about: DataFrame, similarity: int) -> DataFrame:
+    """All plausible pairs of different components in one bucket, each formed in the first bucket that they share."""
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    heads = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most")).select(
+        "bucket", F.col("most.component").alias("head"))
+    described = members.join(about, "id").join(heads, "bucket")
+    outside = described.where("component <> head").withColumnsRenamed({"id": "a", "component": "c"})
+    inside = described.select("bucket", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"),
+                              F.col("bits").alias("bits2"), F.col("keys").alias("keys2"))
+    once = F.get(F.array_intersect("keys", "keys2"), F.lit(0)) == F.col("bucket")
+    either = (F.col("c2") == F.col("head")) | (F.col("a") < F.col("b"))
+    met = outside.join(inside, "bucket").where((F.col("c") != F.col("c2")) & _plausible(similarity) & either & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
