@@ -138,11 +138,11 @@ def levels(grams: DataFrame) -> DataFrame:
 
 
 def _key(kind: int, gram: np.ndarray):
-    return _mix(gram + _U(kind) * _M1)
+    return _mix(gram + _U(kind * int(_M1) % 2**64))
 
 
 def _bit(key, level, probe):
-    return _mix(key + (level * _U(PROBES) + _U(probe)) * _M2) & _U(2**SEGMENT_BITS - 1)
+    return _mix(key + _U((level * PROBES + probe) * int(_M2) % 2**64)) & _U(2**SEGMENT_BITS - 1)
 
 
 class Filter:
@@ -162,7 +162,7 @@ class Filter:
         while len(alive):
             level += 1
             for probe in range(PROBES):
-                at = base[alive] | _bit(key[alive], _U(level), probe)
+                at = base[alive] | _bit(key[alive], level, probe)
                 alive = alive[(self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
             found[alive] = level
         return found
@@ -195,7 +195,7 @@ def build(filled: DataFrame, max_bytes=MAX_BYTES):
         for level in range(1, int(top.max()) + 1):
             own = key[top >= level]
             for probe in range(PROBES):
-                bits[_bit(own, _U(level), probe)] = 1
+                bits[_bit(own, level, probe)] = 1
         return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
     kept = filled.where((F.col("kind") != PAIR) | (F.col("level") >= lowest)).select("kind", "gram", "level")
