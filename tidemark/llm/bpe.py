@@ -24,7 +24,7 @@ from tokenizers.pre_tokenizers import Split
 from tidemark.llm.rows import extend, fields
 
 MEMORY_WORDS = 200_000  # encoded words kept by a worker, and half as many pieces of words
-BATCH_BYTES = 2 << 20  # texts that are encoded together
+BATCH_BYTES = 256 << 10  # texts that are encoded together
 LONG_WORD = 64  # bytes; longer words are encoded but not kept
 MAX_SPEC_BYTES = 64 << 20  # largest tokenizer file that is broadcast
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 CHUNK = 512  # rows whose texts are Python objects at one time
 CHUNK_BYTES = 4 << 20
+ARROW_ROWS = 2_000  # whole texts that stand in one Arrow batch, on both sides
 SMALL_BYTES = 32 << 20  # a side up to this size may be broadcast
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, other bytes kept
@@ -44,13 +45,16 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     """Adds what ``compute`` finds for each row: it takes a list of UTF-8 texts (or None), and a list for each
     column of ``more``, and gives one list of values per added field.
 
-    Rows pass in Arrow batches, ``chunk`` texts at a time. ``keep``: the input columns to return, else all; a column
+    Rows pass in Arrow batches, which this lowers to ``ARROW_ROWS`` rows for the session, ``chunk`` texts at a time. ``keep``: the input columns to return, else all; a column
     named like an added one is replaced.
     """
     keep = others(df.select(*[f"`{c}`" for c in (keep if keep is not None else df.columns)]), added.names)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"),
                        *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
     schema = T.StructType([*source.schema.fields[:len(keep)], *added.fields])
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= ARROW_ROWS:
+        conf.set(rows, ARROW_ROWS)
     kinds = [_arrow(f.dataType) for f in added.fields]
 
     def run(batches):
