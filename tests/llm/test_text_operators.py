@@ -304,3 +304,17 @@ def test_filter_is_never_too_low(spark):
     assert lowest == 1 and over < 0.06 * len(rows)
     small, lowest = lm_score.build(filled, max_bytes=lm_score.MAX_BYTES >> 10)
     assert len(small) <= lm_score.MAX_BYTES >> 10 and lowest >= 1
+
+
+def test_scores_do_not_depend_on_the_place_of_the_filter(spark):
+    """A filter that is not broadcast holds all levels and gives the scores of one that is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(
+        models.hard(spark).select("doc_id", "text")).repartition(3)
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens"]
+    scored = lambda **limits: sorted(lm_score.score(docs, docs, keep=["doc_id"], **limits).select(names).collect(), key=str)
+    once = scored()
+    for other in (scored(max_bytes=65536), scored(max_bytes=0, max_words=0)):
+        assert len(once) == len(other) == docs.count()
+        for a, b in zip(once, other):
+            assert a[:3] == b[:3] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[3:], b[3:]))
+    assert lm_score.score(docs.where("false"), docs, max_bytes=0).count() == 0

@@ -1,4 +1,4 @@
-"""Language-model scores from a log-frequency Bloom filter that is broadcast to the workers.
+"""Language-model scores from a log-frequency Bloom filter.
 
 The training texts give counts of words and of neighbouring pairs, over all of them. A count ``c`` is quantised to a
 level, ``1 + floor(log c)`` to base ``BASE``, and the filter holds the n-gram once with each number up to its level;
@@ -9,8 +9,9 @@ pairs follow.
 A token's probability interpolates the two orders: of the mass of a context, its share less a discount goes to the
 pairs in proportion to their counts, all else to the smoothed word probability ``(c + 1) / (N + V + 1)``.
 
-The filter has 8 bits an entry and never more than ``MAX_BYTES``; if that is too small, whole levels of pairs, the
-rarest first, are left to the word probabilities. It is built in segments, each in a task of its own.
+The filter has 8 bits an entry, however many there are, and is built in segments, each in a task of its own. Up to
+``MAX_BYTES`` it is broadcast. Beyond, the texts are written in chunks, the n-grams of each chunk go to the segments that
+hold them, and their levels come back to the chunk; both ways probe the same bits, so scores do not depend on the way.
 
 ``base_score`` takes exact counts of words. Up to ``MAX_WORDS`` distinct words they are a broadcast of 16 bytes each;
 beyond, the words of all texts are joined with them. Words are told by 64-bit hashes.
@@ -20,13 +21,15 @@ alone. Without training texts N and V are 0, every count is 0 and every score is
 """
 
 import hashlib
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.rows import chunks, extend, fields, lower_words, others
+from tidemark.llm.rows import ARROW_ROWS, arrow_arrays, chunks, extend, fields, limit_batches, lower_words, others
 from tidemark.session import materialize
 
 BASE = 1.5
@@ -36,6 +39,8 @@ LEAST_PAIRS = 2
 PROBES = 4
 BITS_PER_ENTRY = 8
 SEGMENT_BITS = 19
+SPAN = 64  # most segments that a task holds when n-grams come to the filter
+ASKED = 2_048  # n-grams in one row on their way to the filter
 MAX_BYTES = 64 << 20
 MAX_WORDS = 6_000_000
 
@@ -146,18 +151,19 @@ def _bit(key, level, probe):
 
 
 class Filter:
-    """Probes; ``bits`` is the segments' bytes, one after the other."""
+    """Probes; ``bits`` is the bytes of segments that follow one another, by default of all, else from ``first``."""
 
-    def __init__(self, bits: bytes):
+    def __init__(self, bits, segments=None, first=0):
         self.bits = np.frombuffer(bits, np.uint8)
-        self.segments = len(bits) >> (SEGMENT_BITS - 3)
+        self.segments = len(bits) >> (SEGMENT_BITS - 3) if segments is None else segments
+        self.first = first
 
     def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
         key = _key(kind, grams)
         found = np.zeros(len(grams), np.int64)
         if not self.segments:
             return found
-        base = (key % _U(self.segments)) << _U(SEGMENT_BITS)
+        base = (key % _U(self.segments) - _U(self.first)) << _U(SEGMENT_BITS)
         alive, level = np.arange(len(grams)), 0
         while len(alive):
             level += 1
@@ -168,18 +174,20 @@ class Filter:
         return found
 
 
+class Spread:
+    """A filter too large for a broadcast: the number of its segments, and the written ``segment, bits``."""
+
+    def __init__(self, segments: int, rows: DataFrame):
+        self.segments, self.rows = segments, rows
+
+
 def build(filled: DataFrame, max_bytes=MAX_BYTES):
-    """(the filter's bytes, the lowest level of pairs in it); at most ``max_bytes`` reach the driver."""
+    """(the filter, the lowest level in it, which is 1 at every size); bytes up to ``max_bytes``, else a ``Spread``."""
     filled = materialize(filled, "lm-levels")
-    sizes = {(r.kind, r.level): r.n for r in filled.groupBy("kind", "level").agg(F.count("*").alias("n")).collect()}
-    lowest, most = 1, max([level for _, level in sizes], default=0)
-    entries = lambda: sum(level * n for (kind, level), n in sizes.items()
-                          if kind != PAIR or level >= lowest)
-    while lowest <= most and entries() * BITS_PER_ENTRY > max_bytes * 8:
-        lowest += 1
-    segments = min(-(-entries() * BITS_PER_ENTRY >> SEGMENT_BITS), max_bytes * 8 >> SEGMENT_BITS)
+    entries = filled.agg(F.sum("level")).first()[0] or 0
+    segments = -(-entries * BITS_PER_ENTRY >> SEGMENT_BITS)
     if not segments:
-        return b"", lowest
+        return b"", 1
     schema = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("gram", pa.int64()), ("level", pa.int32())])
 
     def placed(batches):
@@ -198,11 +206,13 @@ def build(filled: DataFrame, max_bytes=MAX_BYTES):
                 bits[_bit(own, level, probe)] = 1
         return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    kept = filled.where((F.col("kind") != PAIR) | (F.col("level") >= lowest)).select("kind", "gram", "level")
-    numbered = kept.mapInArrow(placed, fields(segment="int", kind="int", gram="bigint", level="int"))
+    numbered = filled.select("kind", "gram", "level").mapInArrow(
+        placed, fields(segment="int", kind="int", gram="bigint", level="int"))
     made = numbered.groupBy("segment").applyInArrow(filled_segment, fields(segment="int", bits="binary"))
+    if segments << (SEGMENT_BITS - 3) > max_bytes:
+        return Spread(segments, materialize(made, "lm-filter")), 1
     found = {r.segment: bytes(r.bits) for r in made.toLocalIterator()}
-    return b"".join(found.get(i, bytes(2 ** (SEGMENT_BITS - 3))) for i in range(segments)), lowest
+    return b"".join(found.get(i, bytes(2 ** (SEGMENT_BITS - 3))) for i in range(segments)), 1
 
 
 def _exact(words: DataFrame):
@@ -214,15 +224,17 @@ def _exact(words: DataFrame):
 
 
 class Model:
-    """What the workers need: totals, the filter, and exact counts of words if they are few enough."""
+    """What the workers need: totals, the filter if it is broadcast, and exact counts of words if they are few enough."""
 
-    def __init__(self, total, distinct, bits, lowest, exact):
-        self.total, self.distinct, self.lowest = total, distinct, lowest
+    def __init__(self, total, distinct, bits, exact):
+        self.total, self.distinct = total, distinct
         self.filter = Filter(bits)
         self.exact = exact and (np.frombuffer(exact[0], np.uint64), np.frombuffer(exact[1], np.int64))
 
-    def score(self, texts: list):
-        """(tokens, known tokens, base score, score) of each text; without exact counts the middle two are 0."""
+    def score(self, texts: list, found=None):
+        """(tokens, known tokens, base score, score) of each text; without exact counts the middle two are 0.
+        ``found`` has the levels of the texts' n-grams if the filter is not here."""
+        found = found or self.filter
         now, before, begins = tokens(texts)
         if not len(begins):
             return [], [], [], []
@@ -238,15 +250,15 @@ class Model:
             n = np.where(self.exact[0][at] == words, self.exact[1][at], 0)
             known = np.add.reduceat((n > 0)[where].astype(np.int64), begins)
             base = np.add.reduceat(np.log10((n + 1) / mass)[where], begins)
-        uses = _count_of(self.filter.level(WORD, words))
-        share = np.minimum(self.filter.level(SHARE, _context(words)), SHARES) / SHARES * (1 - DISCOUNT)
+        uses = _count_of(found.level(WORD, words))
+        share = np.minimum(found.level(SHARE, _context(words)), SHARES) / SHARES * (1 - DISCOUNT)
         ahead = np.roll(where, 1)
         share, context = share[ahead], np.maximum(uses[ahead], 1)
         seen = np.flatnonzero(share > 0)
         met = np.zeros(len(now))
         if len(seen):
             pairs, back = np.unique(_pair(before[seen], now[seen]), return_inverse=True)
-            level = self.filter.level(PAIR, pairs)
+            level = found.level(PAIR, pairs)
             met[seen] = _count_of(level, LEAST_PAIRS)[back]
         paired = np.minimum((1 - DISCOUNT) * met / context, share)
         chance = paired + (1 - share) * ((uses + 1) / mass)[where]
@@ -273,27 +285,130 @@ def score(docs: DataFrame, training: DataFrame, text="text", keep=None, max_byte
     grams = counts(training, text)
     words = grams.where(F.col("kind") == WORD)
     distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits, lowest = build(levels(grams), max_bytes)
+    built, _ = build(levels(grams), max_bytes)
+    spread = built if isinstance(built, Spread) else None
     exact = _exact(words) if 0 < distinct <= max_words else None
-    shared = spark.sparkContext.broadcast((total, distinct, bits, lowest, exact))
-    name = hashlib.blake2b(bits, digest_size=16).digest() + repr((total, distinct, lowest, bool(exact))).encode()
-    compute = lambda texts: list(_model(name, shared).score(texts))
+    shared = spark.sparkContext.broadcast((total, distinct, b"" if spread else built, exact))
+    name = uuid.uuid4().hex
+    compute = lambda texts, found=None: list(_model(name, shared).score(texts, found))
+
+    def extended(added, compute):
+        if spread:
+            return _looked_up(docs, spread, added, compute, text, keep)
+        return extend(docs, added, compute, text, keep)
+
     if exact or not total:
-        scored = extend(docs, SCORED, compute, text, keep)
+        scored = extended(SCORED, compute)
     else:
-        scored = _joined(docs, words, total + distinct + 1, compute, text, keep)
+        scored = _joined(docs, words, total + distinct + 1, compute, text, extended)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
+class Levels:
+    """Levels that the filter's tasks found for the n-grams of one chunk of texts."""
+
+    def __init__(self, kinds: list, grams: list, levels: list):
+        self.known = {}
+        for kind in set(kinds):
+            gram = np.frombuffer(b"".join(g for k, g in zip(kinds, grams) if k == kind), np.uint64)
+            level = np.frombuffer(b"".join(n for k, n in zip(kinds, levels) if k == kind), np.uint8)
+            order = np.argsort(gram)
+            self.known[kind] = gram[order], level[order]
+
+    def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
+        gram, level = self.known[kind]
+        return level[np.searchsorted(gram, grams)].astype(np.int64)
+
+
+def _grams(texts: list):
+    """All that scoring the texts asks the filter for: (kind, distinct n-grams)."""
+    now, before, _ = tokens(texts)
+    words = np.unique(now)
+    return (WORD, words), (SHARE, np.unique(_context(words))), (PAIR, np.unique(_pair(before, now)))
+
+
+def _looked_up(docs, spread: Spread, added, compute, text, keep):
+    """As ``extend``, for a filter that is not broadcast: ``compute`` takes the texts of a chunk and their ``Levels``."""
+    limit_batches(docs.sparkSession)
+    keep = others(docs.select(*[f"`{c}`" for c in keep]), added.names)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"))
+    segments, last = spread.segments, 2**31 - 1
+    span = max(1, min(SPAN, segments // 16))
+
+    def chunked(batches):
+        for batch in batches:
+            for part in chunks(batch, len(keep), ARROW_ROWS):
+                own = pa.array(np.full(part.num_rows, int.from_bytes(os.urandom(8)) >> 1))
+                yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*keep, "__text", "__chunk"])
+
+    # chunks are numbered at random, so they are written once and read twice
+    rows = materialize(source.mapInArrow(chunked, T.StructType([*source.schema.fields, *fields(__chunk="bigint")])), "lm-texts")
+
+    asked_fields = fields(place="int", segment="int", chunk="bigint", kind="int", body="binary")
+    names = asked_fields.names
+
+    def asked(batches):
+        for batch in batches:
+            chunk = batch.column(1).to_numpy()
+            for at in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
+                if not len(at):
+                    continue
+                for kind, grams in _grams(batch.column(0).slice(at[0], len(at)).to_pylist()):
+                    place = (_key(kind, grams) % _U(segments) // _U(span)).astype(np.int32)
+                    order = np.argsort(place, kind="stable")
+                    grams, place = grams[order], place[order]
+                    begins = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+                    cuts = [(lo, min(lo + ASKED, end)) for begin, end in zip(begins, begins[1:]) for lo in range(begin, end, ASKED)]
+                    n = len(cuts)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([place[lo] for lo, _ in cuts], pa.int32()), pa.array(np.full(n, last, np.int32)),
+                        pa.array(np.full(n, chunk[at[0]])), pa.array(np.full(n, kind, np.int32)),
+                        pa.array([grams[lo:hi].tobytes() for lo, hi in cuts], pa.binary())], names=names)
+
+    bits = spread.rows.select(F.floor(F.col("segment") / span).cast("int").alias("place"), "segment",
+                              F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("kind"),
+                              F.col("bits").alias("body"))
+    together = bits.unionByName(rows.select("__text", "__chunk").mapInArrow(asked, asked_fields))
+    size = 2 ** (SEGMENT_BITS - 3)
+
+    def answered(batches):
+        held, own = None, None
+        for batch in batches:
+            made = []
+            for place, segment, chunk, kind, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != held:
+                    held, own = place, bytearray(span * size)
+                if segment != last:
+                    at = (segment - place * span) * size
+                    own[at:at + size] = body
+                    continue
+                level = Filter(own, segments, place * span).level(kind, np.frombuffer(body, np.uint64))
+                made.append((chunk, kind, body, np.minimum(level, 255).astype(np.uint8).tobytes()))
+            if made:
+                chunk, kind, body, level = zip(*made)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary()),
+                                                  pa.array(level, pa.binary())], names=["chunk", "kind", "grams", "levels"])
+
+    found = together.repartition("place").sortWithinPartitions("place", "segment").mapInArrow(
+        answered, fields(chunk="bigint", kind="int", grams="binary", levels="binary"))
+    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
+
+    def finished(own, levels):
+        values = compute(own["__text"].to_pylist(), Levels(*[levels[c].to_pylist() for c in ("kind", "grams", "levels")]))
+        return pa.Table.from_arrays([*[own[c] for c in keep], *arrow_arrays(values, added)], names=schema.names)
+
+    return rows.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(finished, schema)
+
+
 def _digests(texts):
     return [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
 
 
-def _joined(docs, words, mass, compute, text, keep):
+def _joined(docs, words, mass, compute, text, extended):
     """The same with base scores from a join of the words of all distinct texts with their counts."""
     names = [f.name for f in SCORED.fields]
     added = fields(n_tokens="bigint", __known="bigint", __base="double", score="double", __digest="binary")
-    rows = extend(docs, added, lambda texts: [*compute(texts), _digests(texts)], text, keep)
+    rows = extended(added, lambda texts, found=None: [*compute(texts, found), _digests(texts)])
     schema = pa.schema([("digest", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches):

@@ -52,22 +52,31 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"),
                        *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
     schema = T.StructType([*source.schema.fields[:len(keep)], *added.fields])
-    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows)) <= ARROW_ROWS:
-        conf.set(rows, ARROW_ROWS)
-    kinds = [_arrow(f.dataType) for f in added.fields]
+    limit_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, len(keep), chunk):
                 columns = part.columns
                 values = compute(*[c.to_pylist() for c in columns[len(keep):]])
-                arrays = [*columns[:len(keep)], *[pa.array(v, k) for v, k in zip(values, kinds)]]
+                arrays = [*columns[:len(keep)], *arrow_arrays(values, added)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
+def limit_batches(spark) -> None:
+    """Lowers Arrow batches to ``ARROW_ROWS`` rows for the session."""
+    conf, rows = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= ARROW_ROWS:
+        conf.set(rows, ARROW_ROWS)
+
+
+def arrow_arrays(values, added: T.StructType) -> list:
+    """One Arrow array for each of the added fields."""
+    return [pa.array(v, _arrow(f.dataType)) for v, f in zip(values, added.fields)]
+
+
 def chunks(batch, column: int, rows=CHUNK):
     """The batch in slices of at most ``rows`` rows and, beyond single long texts, ``CHUNK_BYTES`` of a text column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
