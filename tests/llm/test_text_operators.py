@@ -318,3 +318,17 @@ def test_scores_do_not_depend_on_the_place_of_the_filter(spark):
         for a, b in zip(once, other):
             assert a[:3] == b[:3] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a[3:], b[3:]))
     assert lm_score.score(docs.where("false"), docs, max_bytes=0).count() == 0
+
+
+def test_pairs_met_once_count(spark):
+    """Against the formula; medians, since a single probe may err."""
+    training = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+    held = [(i, f"a{i} b{i} c{i}" if i % 2 else f"c{i} b{i} a{i}") for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.score for r in lm_score.score(frame(held), frame(training)).collect()}
+    ends = 1.5 ** 9 * 1.25  # what the level of 40 stands for
+    word, end = 0.3 * 2 / (160 + 121 + 1), 0.3 * (ends + 1) / (160 + 121 + 1)
+    seen = [0.7 / ends + word, 0.7 + word, 0.7 + word, 0.7 + end]
+    for rest, chances in ((1, seen), (0, [word, word, word, end])):
+        middle = np.median([found[i] for i in range(40) if i % 2 == rest])
+        assert math.isclose(middle, sum(map(math.log10, chances)), abs_tol=1e-9)

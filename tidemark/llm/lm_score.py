@@ -3,11 +3,11 @@
 The training texts give counts of words and of neighbouring pairs, over all of them. A count ``c`` is quantised to a
 level, ``1 + floor(log c)`` to base ``BASE``, and the filter holds the n-gram once with each number up to its level;
 so its count comes back by probing with 1, 2, ... until a probe fails, and an error can only raise it. The filter
-holds levels of words, of pairs met at least twice, and for each word the share of its uses, in sixteenths, that such
-pairs follow.
+holds levels of all words and of all pairs, also of those met once.
 
-A token's probability interpolates the two orders: of the mass of a context, its share less a discount goes to the
-pairs in proportion to their counts, all else to the smoothed word probability ``(c + 1) / (N + V + 1)``.
+A token's probability interpolates the two orders: of the mass of a context that was met, all but a discount goes to
+the pairs in proportion to their counts, all else to the smoothed word probability ``(c + 1) / (N + V + 1)``. As no
+pair is left out, the counts of a context's pairs add up to its own.
 
 The filter has 8 bits an entry, however many there are, and is built in segments, each in a task of its own. Up to
 ``MAX_BYTES`` it is broadcast. Beyond, the texts are written in chunks, the n-grams of each chunk go to the segments that
@@ -33,9 +33,7 @@ from tidemark.llm.rows import ARROW_ROWS, arrow_arrays, chunks, extend, fields,
 from tidemark.session import materialize
 
 BASE = 1.5
-SHARES = 16
 DISCOUNT = 0.3
-LEAST_PAIRS = 2
 PROBES = 4
 BITS_PER_ENTRY = 8
 SEGMENT_BITS = 19
@@ -44,7 +42,7 @@ ASKED = 2_048  # n-grams in one row on their way to the filter
 MAX_BYTES = 64 << 20
 MAX_WORDS = 6_000_000
 
-WORD, PAIR, SHARE = 1, 2, 3
+WORD, PAIR = 1, 2
 _END = xxhash.xxh64_intdigest(b" end")  # no word holds a space
 _MEMORY = 400_000
 _HELD = 2_000_000  # n-grams that a counting task holds before it sums them up
@@ -91,7 +89,7 @@ def _pair(before, now):
 
 
 def counts(docs: DataFrame, text="text") -> DataFrame:
-    """``kind, gram, n``: words, and pairs met at least ``LEAST_PAIRS`` times; written."""
+    """``kind, gram, n`` of words and pairs; written."""
     schema = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def summed(kind, held):
@@ -117,29 +115,21 @@ def counts(docs: DataFrame, text="text") -> DataFrame:
 
     texts = docs.select(F.col(text).cast("binary").alias("text"))
     found = texts.mapInArrow(run, fields(kind="int", gram="bigint", n="bigint"))
-    summed_up = found.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    return materialize(summed_up.where((F.col("kind") == WORD) | (F.col("n") >= LEAST_PAIRS)), "lm-counts")
+    return materialize(found.groupBy("kind", "gram").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def _level(n, least=1):
-    """Quantised count; ``least`` is the smallest count there is, and has level 1."""
-    return (F.floor(F.log(BASE, F.col(n) / least) + 1e-9) + 1).cast("int")
+def _level(n):
+    """Quantised count."""
+    return (F.floor(F.log(BASE, F.col(n)) + 1e-9) + 1).cast("int")
 
 
-def _count_of(level, least=1):
-    return np.where(level > 0, least * BASE ** (level - 1.0) * (1 + BASE) / 2 - (BASE - 1) / 2 * (level == 1), 0.0)
+def _count_of(level):
+    return np.where(level > 0, BASE ** (level - 1.0) * (1 + BASE) / 2 - (BASE - 1) / 2 * (level == 1), 0.0)
 
 
 def levels(grams: DataFrame) -> DataFrame:
     """``kind, gram, level`` of everything that goes into the filter."""
-    words, pairs = grams.where(F.col("kind") == WORD), grams.where(F.col("kind") == PAIR)
-    followed = pairs.groupBy(F.shiftrightunsigned("gram", 24).alias("context")).agg(F.sum("n").alias("kept"))
-    uses = words.groupBy(F.col("gram").bitwiseAND(F.lit(2**40 - 1)).alias("context")).agg(F.sum("n").alias("n"))
-    share = F.ceil(F.least(F.col("kept") / F.col("n"), F.lit(1.0)) * SHARES).cast("int")
-    shares = followed.join(uses, "context").select(F.lit(SHARE).alias("kind"), F.col("context").alias("gram"),
-                                                   share.alias("level"))
-    return (words.select("kind", "gram", _level("n").alias("level"))
-            .unionByName(pairs.select("kind", "gram", _level("n", LEAST_PAIRS).alias("level"))).unionByName(shares))
+    return grams.select("kind", "gram", _level("n").alias("level"))
 
 
 def _key(kind: int, gram: np.ndarray):
@@ -183,7 +173,6 @@ class Spread:
 
 def build(filled: DataFrame, max_bytes=MAX_BYTES):
     """(the filter, the lowest level in it, which is 1 at every size); bytes up to ``max_bytes``, else a ``Spread``."""
-    filled = materialize(filled, "lm-levels")
     entries = filled.agg(F.sum("level")).first()[0] or 0
     segments = -(-entries * BITS_PER_ENTRY >> SEGMENT_BITS)
     if not segments:
@@ -251,16 +240,14 @@ class Model:
             known = np.add.reduceat((n > 0)[where].astype(np.int64), begins)
             base = np.add.reduceat(np.log10((n + 1) / mass)[where], begins)
         uses = _count_of(found.level(WORD, words))
-        share = np.minimum(found.level(SHARE, _context(words)), SHARES) / SHARES * (1 - DISCOUNT)
-        ahead = np.roll(where, 1)
-        share, context = share[ahead], np.maximum(uses[ahead], 1)
-        seen = np.flatnonzero(share > 0)
+        context = uses[np.roll(where, 1)]
+        share = np.where(context > 0, 1 - DISCOUNT, 0.0)
+        seen = np.flatnonzero(context > 0)
         met = np.zeros(len(now))
         if len(seen):
             pairs, back = np.unique(_pair(before[seen], now[seen]), return_inverse=True)
-            level = found.level(PAIR, pairs)
-            met[seen] = _count_of(level, LEAST_PAIRS)[back]
-        paired = np.minimum((1 - DISCOUNT) * met / context, share)
+            met[seen] = _count_of(found.level(PAIR, pairs))[back]
+        paired = np.minimum((1 - DISCOUNT) * met / np.maximum(context, 1), share)
         chance = paired + (1 - share) * ((uses + 1) / mass)[where]
         return sizes, known, base, np.add.reduceat(np.log10(np.minimum(chance, 1)), begins)
 
@@ -323,8 +310,7 @@ class Levels:
 def _grams(texts: list):
     """All that scoring the texts asks the filter for: (kind, distinct n-grams)."""
     now, before, _ = tokens(texts)
-    words = np.unique(now)
-    return (WORD, words), (SHARE, np.unique(_context(words))), (PAIR, np.unique(_pair(before, now)))
+    return (WORD, np.unique(now)), (PAIR, np.unique(_pair(before, now)))
 
 
 def _looked_up(docs, spread: Spread, added, compute, text, keep):
