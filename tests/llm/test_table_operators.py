@@ -172,6 +172,35 @@ def test_templates_that_rewrite_history():
     assert marks(chat_format.render, "abcd" * 40) == [False] * 160
 
 
+@pytest.mark.parametrize("length", [40, 200])
+def test_templates_that_reach_far_back(spark, length):
+    """Every row against real renderings of whole prefixes."""
+    def moved(turns):  # the first turn goes into the last user turn
+        last = max((i for i, (role, _) in enumerate(turns) if role == "user"), default=0)
+        return "".join(f"[{turns[0][1]}|{t}]" if i == last else f"[{t}]" for i, (_, t) in enumerate(turns) if i)
+
+    def numbered(turns):
+        return "".join(f"{i}:{role}:{t}\n" for i, (role, t) in enumerate(turns))
+
+    def first_recalled(turns):  # turn 0 changes at turn 35
+        return "".join(t.upper() if i == 0 and len(turns) > 35 else t for i, (_, t) in enumerate(turns))
+
+    turns = [("system", "sys")] + [(("user", "assistant")[i % 2], f"t{i}.") for i in range(length - 1)]
+    frame = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    for template in (moved, numbered, first_recalled):
+        rows = chat_format.format_turns(frame, template).orderBy("position").collect()
+        assert len(rows) == length
+        for i, row in enumerate(rows):
+            before, now = template(turns[:i]) if i else "", template(turns[:i + 1])
+            begin = next((k for k, (a, b) in enumerate(zip(before, now)) if a != b), min(len(before), len(now)))
+            assert row.rewritten == (not now.startswith(before))
+            assert (row.begin, row.formatted) == (begin, now[begin:])
+            if turns[i][0] == "assistant":
+                assert now[row.loss_begin:row.loss_end] == turns[i][1]
+    declared = chat_format.format_turns(frame, chat_format.render).orderBy("position").collect()
+    assert declared == chat_format.format_turns(frame, chat_format.render, context_free=False).orderBy("position").collect()
+
+
 def test_chat_hard_rows(spark):
     rows = [(1, 0, None, None, "x"), (1, 0, "a\nb", "t", "x"), (None, None, "user", "u", "x"), (1, None, "assistant", "", "x"),
             (1, 0, "a\nb", "t", "x")]
