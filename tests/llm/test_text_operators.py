@@ -332,3 +332,10 @@ def test_pairs_met_once_count(spark):
     for rest, chances in ((1, seen), (0, [word, word, word, end])):
         middle = np.median([found[i] for i in range(40) if i % 2 == rest])
         assert math.isclose(middle, sum(map(math.log10, chances)), abs_tol=1e-9)
+
+
+def test_pairs_are_told_by_all_bits():
+    """Words that share the upper 24 bits, and contexts that share the lower 40, make pairs of their own."""
+    words, one = np.arange(1000, dtype=np.uint64), np.full(1000, 7, np.uint64)
+    made = [lm_score._pair(one, words), lm_score._pair(words << np.uint64(40), one), lm_score._pair(words + np.uint64(10**6), one)]
+    assert len(np.unique(np.concatenate(made))) == 3000

@@ -14,7 +14,7 @@ The filter has 8 bits an entry, however many there are, and is built in segments
 hold them, and their levels come back to the chunk; both ways probe the same bits, so scores do not depend on the way.
 
 ``base_score`` takes exact counts of words. Up to ``MAX_WORDS`` distinct words they are a broadcast of 16 bytes each;
-beyond, the words of all texts are joined with them. Words are told by 64-bit hashes.
+beyond, the words of all texts are joined with them. Words and pairs are told by 64-bit hashes.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end. Null and empty texts are an end
 alone. Without training texts N and V are 0, every count is 0 and every score is 0. Repeated rows count once each.
@@ -79,13 +79,9 @@ def tokens(texts: list):
     return now, before, ends - sizes
 
 
-def _context(word):
-    return word & _U(2**40 - 1)
-
-
 def _pair(before, now):
-    """40 bits of the context's hash and 24 of the word's."""
-    return (_context(before) << _U(24)) | (now >> _U(40))
+    """64 bits from all bits of both hashes."""
+    return _mix(_mix(before + _M1) ^ now)
 
 
 def counts(docs: DataFrame, text="text") -> DataFrame:
