@@ -299,6 +299,18 @@ def test_trees_learn_from_labelled_urls(spark):
     assert (found.bad == (found.verdict == "block")).mean() > 0.95 and found.rule.isna().all()
 
 
+def test_trees_learn_from_a_rare_verdict(spark):
+    """Of 2,000 labelled urls 3 are blocked, and a sample of 20 by the hash alone would hold none of them."""
+    rows = [(i, f"http://good.test/about/{i}", False) for i in range(1997)]
+    rows += [(i, f"http://bad.test/{'7' * 30}{i}?a=1&b=2", False) for i in range(1997, 2000)]
+    rows += [(2000, f"http://h.else/{'8' * 30}2000?a=1&b=2", True), (2001, "http://g.else/about/2001", True)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, other boolean")
+    judged = url_filter.judge(pages, (("block", "bad.test/"), ("allow", "good.test/")), sample=20).where("other")
+    found = {r.page_id: r for r in judged.collect()}
+    assert found[2000].block_score is not None and found[2001].block_score is not None
+    assert (found[2000].verdict, found[2001].verdict) == ("block", "allow")
+
+
 def test_url_hard_rows(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.ORG", "x://Org/", "http://b.org?x=1&y=2", "http://com/de/\nx", "a://b://c.org/",
             "http://EXAMPLE.org/en/1?q", "http://example.org/es/#", "http://notorg/"]

@@ -1,8 +1,8 @@
 """URL filters: rules first, and gradient-boosted trees on lexical features for the urls that no rule fits.
 
 A rule is a host and the start of a path; it fits the host and all its subdomains, and the longest one wins. The
-urls that a rule fits are the labelled ones: the trees learn from a bounded sample of them, the ``SAMPLE`` first by
-a seeded hash, and judge all others. Features: lengths, depth, ratio of digits, entropy of the letters, number of
+urls that a rule fits are the labelled ones: the trees learn from a bounded sample of them, of each verdict the
+``SAMPLE / 2`` first by a seeded hash, weighted by how many labelled urls of the verdict there are, and judge all others. Features: lengths, depth, ratio of digits, entropy of the letters, number of
 parameters, hyphens and labels of the host, and statistics of the host's last label among all labelled urls.
 
 Only DataFrame functions and Spark's own trees are used. Null urls, and those without ``://``, have an empty host
@@ -68,6 +68,17 @@ def _with_features(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
         "f_suffix_rate": (blocked + SMOOTHING * overall) / (seen + SMOOTHING), "f_suffix_seen": F.log1p(seen)})
 
 
+def _sample(labelled: DataFrame, found: dict, sample: int) -> DataFrame:
+    """At most half of ``sample`` of each of two verdicts; ``found`` is how many there are, and column ``weight`` brings
+    the verdicts back to these shares, with 1 as its mean."""
+    most = max(sample // 2, 1)
+    held = {label: min(n, most) for label, n in found.items()}
+    scale = sum(held.values()) / sum(found.values())
+    first, second = (labelled.where(F.col("label") == label).orderBy(F.xxhash64("__url", F.lit(SEED)), "__url").limit(most)
+                     .withColumn("weight", F.lit(scale * found[label] / held[label])) for label in sorted(found))
+    return first.unionByName(second)
+
+
 ADDED = ["host", "path", "rule", "verdict", "block_score"]
 
 
@@ -82,18 +93,18 @@ def judge(pages: DataFrame, rules=RULES, url="url", keep=None, sample=SAMPLE) ->
     labelled = rows.where("said IS NOT NULL").withColumn("label", (F.col("said") == "block").cast("double"))
     suffixes = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(
         F.count("*").alias("seen"), F.sum("label").alias("blocked"))
-    chosen = labelled.select("__url", "host", "path", "label").orderBy(F.xxhash64("__url", F.lit(SEED)), "__url").limit(sample)
-    found = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
+    found = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     verdict = F.col("said")
     if len(found) < 2:
         only = "block" if found.get(1.0) else "allow"
         judged = rows.withColumn("block_score", F.lit(None).cast("double"))
         verdict = F.coalesce(verdict, F.lit(only))
     else:
+        chosen = _sample(labelled.select("__url", "host", "path", "label"), found, sample)
         vectors = VectorAssembler(inputCols=_FEATURES, outputCol="features")
-        trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=SEED,
+        trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED,
                               checkpointInterval=-1)
-        model = trees.fit(vectors.transform(_with_features(chosen, suffixes)).select("features", "label"))
+        model = trees.fit(vectors.transform(_with_features(chosen, suffixes)).select("features", "label", "weight"))
         scored = model.transform(vectors.transform(_with_features(rows, suffixes)))
         judged = scored.withColumn("block_score", F.when(verdict.isNull(), vector_to_array("probability")[1]))
         verdict = F.coalesce(verdict, F.when(F.col("prediction") == 1, "block").otherwise("allow"))
