@@ -21,6 +21,46 @@ SELECT conv_id, count(*) AS n_turns,
 FROM spans GROUP BY conv_id
 """
 
+_MIX = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS mix_key FROM documents),
+sizes AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM docs GROUP BY source),
+weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sizes),
+totals AS (SELECT CAST(sum(source_size) AS BIGINT) AS total FROM sizes),
+shares AS (
+    SELECT 0 AS step, CAST(0.0 AS DOUBLE) AS each
+    UNION ALL
+    SELECT step + 1, (SELECT CAST(max(total) - coalesce(sum(3 * source_size) FILTER (weight * each > 3 * source_size), 0) AS DOUBLE)
+                             / sum(weight) FILTER (weight * each <= 3 * source_size) FROM weighed, totals)
+    FROM shares WHERE step < (SELECT count(*) + 1 FROM sizes)),
+last_share AS (SELECT each FROM shares ORDER BY step DESC LIMIT 1),
+sources AS (
+    SELECT *, CASE WHEN weight * each > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * each END AS target
+    FROM weighed, last_share),
+block AS (
+    SELECT coalesce(max(b), 1) AS block
+    FROM (SELECT CAST(unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS BIGINT) AS b)
+    WHERE b * 256 <= (SELECT min(target) FROM sources WHERE target > 0)),
+seats AS (
+    SELECT place, (unnest(range(3 * source_size // block)) + 0.5) / (target / block) AS quotient
+    FROM sources, block WHERE target > 0),
+won AS (
+    SELECT place, count(*) AS blocks
+    FROM (SELECT place, row_number() OVER (ORDER BY quotient, place) AS rank FROM seats), block, totals
+    WHERE rank <= (2 * total + block) // (2 * block) GROUP BY place),
+placed AS (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mix_key, doc_id, size
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM docs)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, coalesce(blocks, 0) * block - begin))
+            + greatest(0, least(size, coalesce(blocks, 0) * block - begin - source_size))
+            + greatest(0, least(size, coalesce(blocks, 0) * block - begin - 2 * source_size)) AS BIGINT) AS taken
+FROM placed JOIN sources ON placed.source IS NOT DISTINCT FROM sources.source LEFT JOIN won USING (place), block
+"""
+
 
 def sql() -> dict:
-    return {"op4_chat_format": _CHATS}
+    return {"op4_chat_format": _CHATS, "op13_mixing": _MIX}

@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, chat_format, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, sharding, url_filter
+from tidemark.llm import (bpe, chat_format, decontaminate, license_scan, lm_score, mixing, near_dedup, quality_classifier, quality_rules,
+                          sharding, token_alignment, url_filter, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -106,6 +107,22 @@ def op10_lm_score(spark, sf_dir):
     return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
 
 
+def op11_token_alignment(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.link_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+                                       keep=["doc_id"])
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), keep=["vec_id"])
+
+
+def op13_mixing(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", *mixing.measures())
+    return mixing.mix(rows, keep=["doc_id"]).drop("spans")
+
+
 def registered() -> dict:
-    named = (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_chat_format, op5_license_scan, op6_decontaminate, op7_sharding, op8_near_dedup, op9_bpe, op10_lm_score)
+    named = (op1_quality_rules, op2_quality_classifier, op3_url_filter, op4_chat_format, op5_license_scan, op6_decontaminate, op7_sharding,
+             op8_near_dedup, op9_bpe, op10_lm_score, op11_token_alignment, op12_whitening, op13_mixing)
     return {f.__name__: f for f in named}
