@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = Counter(n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n))
-    assert numbers == {f"op{i}": 1 for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert numbers == {f"op{i}": 1 for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 # --- near-duplicates ---------------------------------------------------------------------------------------

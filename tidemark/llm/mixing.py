@@ -35,6 +35,7 @@ BLOCKS = 256
 LARGEST_BLOCK = 4_096
 PROBES = 16  # divisors that one aggregate tries, for each shard
 FEW = 10_000  # blocks that are allocated one by one at the end, for each shard
+NEAR = 1e-9
 _TOGETHER = 64  # shards whose divisors are searched in one job
 _SOURCE_BYTES = 64
 
@@ -135,9 +136,9 @@ def _narrow(known: DataFrame, houses: list, low: list, high: list, shards) -> No
                 low[h] = high[h]
                 open_.remove(h)
                 continue
-            narrowed = min(beyond) < high[h] or low[h] in probes[h]
             high[h] = min(beyond)
-            if n[high[h]] - n[low[h]] <= FEW or not narrowed:
+            # Equal quotients are not told apart here: nearer than this, rounding would.
+            if n[high[h]] - n[low[h]] <= FEW or high[h] - low[h] <= NEAR * high[h]:
                 open_.remove(h)
 
 

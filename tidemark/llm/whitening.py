@@ -340,10 +340,15 @@ def whiten(rows: DataFrame, vector="embedding", keep=None, components=COMPONENTS
     keep = others(rows.select(*[f"`{c}`" for c in (keep if keep is not None else rows.columns)]), ADDED.names)
     only = rows.select(F.col(f"`{vector}`").cast("array<double>").alias("v"))
     model = fit(only, components)
-    source = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{vector}`").cast("array<double>").alias("__vector"))
+    given = [f"__c{i}" for i in range(len(keep))]  # names may hold dots
+    source = rows.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(f"`{vector}`").cast("array<double>").alias("__vector"))
     schema = T.StructType([*source.schema.fields[:-1], *ADDED.fields])
+
+    def named(found):
+        return found.select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *ADDED.names)
+
     if model is None or not len(model.values):
-        return rows.sparkSession.createDataFrame([], schema)
+        return named(rows.sparkSession.createDataFrame([], schema))
     error, size = identity_error(only, model), len(model.values)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     explained = model.values / model.trace
@@ -360,4 +365,4 @@ def whiten(rows: DataFrame, vector="embedding", keep=None, components=COMPONENTS
                     pa.array(own.whiten(x).ravel()), pa.array(np.tile(explained, every)), pa.array(np.full(every * size, error)),
                     pa.array(np.full(every * size, own.certified))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return named(source.mapInArrow(run, schema))
