@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import append, audit
+from tidemark.plans import ordered
 from tidemark.plans.ordered import max_before, number_rows
 from tidemark.schemas import ATTEMPT, PRODUCER_STATE, STORED_LOG
 from tidemark.session import scratch_root
@@ -115,7 +116,7 @@ def test_appending_leaves_no_scratch_behind(spark, tmp_path):
     append.append_to_log(spark, attempts(spark, [(0, "p", 0), (0, "p", 1)]), str(tmp_path / "log"), 0)
     assert held() == before
     append.log_records(attempts(spark, [(0, "p", 0)]))
-    assert len(held() - before) == 2      # a lazy frame keeps what it reads
+    assert len(held() - before) == 1      # a lazy frame keeps what it reads: the slices of its one sort
 
 
 def test_many_groups_that_span_slices(spark):
@@ -195,3 +196,41 @@ def test_state_and_end_offsets(spark):
     assert state == {(0, "p"): (3, 2), (0, "q"): (4, 1), (1, "p"): (2, 0)}
     assert {(r.partition, r.records, r.next_offset) for r in append.log_end_offsets(log).collect()} == {(0, 3, 3), (1, 1, 1)}
     assert {(r.partition, r.events_processed, r.next_offset) for r in append.consumer_progress(log, 1).collect()} == {(0, 2, 3)}
+
+
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+def test_rewritten_state_follows_the_batch(spark, tmp_path):
+    """A large log, then batches of one producer: only its bucket is written again, and all state is still there."""
+    path = str(tmp_path / "log")
+    append.append_to_log(spark, attempts(spark, [(i % 4, f"p{i}", 5) for i in range(20_000)]), path, 0)
+    whole = folder_bytes(f"{path}/batch_id=0/_state")
+    for batch in (1, 2):
+        rows = [(1, "p1", 5), (1, "p1", 5 + batch), (0, "p1", 9)]       # a retry, and two that are new or a producer of another partition
+        assert append.append_to_log(spark, attempts(spark, rows), path, batch)
+        assert folder_bytes(f"{path}/batch_id={batch}/_state") < whole / 50
+        assert sum(n.startswith("bucket=") for n in os.listdir(f"{path}/batch_id={batch}/_state")) <= 2
+    state = {(r.partition, r.producer_id): (r.last_seq, r.last_offset) for r in log_table.last_state(spark, path, 3).collect()}
+    assert len(state) == 20_001 and state[1, "p1"] == (7, 5_001) and state[0, "p1"] == (9, 5_000) and state[2, "p2"] == (5, 0)
+    row = audit.offset_audit(log_table.read_log(spark, path, STORED_LOG)).collect()
+    assert all(r.contiguous for r in row) and sum(r.records for r in row) == 20_003
+
+
+def test_a_batch_without_anything_new(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = attempts(spark, [(0, "p", 0), (0, "q", 1)])
+    for batch, part in enumerate((first, first, first.limit(0), attempts(spark, [(0, "q", 2)]))):
+        assert append.append_to_log(spark, part, path, batch)
+    stored = log_table.read_log(spark, path, STORED_LOG).collect()
+    assert sorted((r.offset, r.producer_id, r.seq) for r in stored) == [(0, "p", 0), (1, "q", 1), (2, "q", 2)]
+    assert log_table.last_state(spark, path, 4).count() == 2
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_what_slices_hand_on_is_broadcast_or_joined(spark, monkeypatch, limit):
+    monkeypatch.setattr(ordered, "MAX_CARRIED", limit)
+    rng = random.Random(21)
+    rows = [(rng.randrange(2), rng.choice(["hot"] * 9 + [f"p{i}" for i in range(40)]), rng.randrange(300)) for _ in range(900)]
+    assert acks(attempts(spark, rows).repartition(6), False) == model(rows)

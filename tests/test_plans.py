@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, metrics, windows
-from tidemark.plans import queries
-from tidemark.schemas import SENSOR_EVENT
+from tidemark.operators import append, audit, metrics, windows
+from tidemark.plans import ordered, queries
+from tidemark.schemas import ATTEMPT, SENSOR_EVENT
 from tidemark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,18 @@ def test_each_payload_is_parsed_once(spark):
     for name in ("event_from_json", "log_fan_in", "dead_letters"):
         plan = queries.registered()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1, name
+
+
+def test_acks_sort_narrow_rows_once(spark, tmp_path, monkeypatch):
+    """One range sort, of rows without payload, and the payload moves in one join."""
+    source = str(tmp_path / "attempts")
+    tables.append_attempts(spark, SF).write.parquet(source)
+    sorted_frames, cut = [], ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df, label: sorted_frames.append(df) or cut(df, label))
+    result = append.append_acks(spark.read.schema(ATTEMPT).parquet(source))
+    assert len(sorted_frames) == 1
+    sort = physical(sorted_frames[0])
+    assert sort.count("rangepartitioning") == 1 and "value" not in sort and "key:" not in sort
+    plan = physical(result)
+    assert "rangepartitioning" not in plan
+    assert sum("value:string" in line for line in plan.splitlines() if "ReadSchema" in line) == 1

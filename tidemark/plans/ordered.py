@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import materialize
 
+MAX_CARRIED = 500_000  # rows that are broadcast between slices, of a few numbers each
 _SLICE_SHIFT = 33  # monotonically_increasing_id: slice number in the high bits, position in the low 33
 
 
@@ -32,6 +33,14 @@ def same_keys(columns, left, right):
                   [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
+def join_carried(rows: DataFrame, carried: DataFrame, keys, known_rows: int, how="inner") -> DataFrame:
+    """Joins what slices hand on, at most ``known_rows`` rows: broadcast while few, else left to Spark."""
+    small = F.broadcast(carried) if known_rows <= MAX_CARRIED else carried
+    others = [c for c in carried.columns if c not in keys]
+    return (rows.alias("l").join(small.alias("c"), same_keys(keys, "l", "c"), how)
+            .select("l.*", *[F.col(f"c.{c}") for c in others]))
+
+
 # What a running value is made of: the aggregate over rows, and how two partial results become one.
 _RUNNING = {
     "max": (F.max, F.greatest),

@@ -44,7 +44,7 @@ def _attempts(spark, sf_dir) -> DataFrame:
 def stored_log(spark, sf_dir) -> str:
     """The log table built from the append attempts."""
     return _once(spark, sf_dir, "log", lambda to: log_table.write_log(
-        append.log_records(_attempts(spark, sf_dir)), to, arranged=True))
+        append.log_records(_attempts(spark, sf_dir)), to))
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -83,7 +83,7 @@ def log_fan_in(spark, sf_dir):
 def log_append(spark, sf_dir):
     """Writes a new log table and reads back what was stored."""
     path = scratch_path(spark, "log-append")
-    log_table.write_log(append.log_records(_attempts(spark, sf_dir)), path, arranged=True)
+    log_table.write_log(append.log_records(_attempts(spark, sf_dir)), path)
     return log_table.read_log(spark, path, STORED_LOG)
 
 

@@ -108,3 +108,17 @@ def remove(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     system, target = _file_system(spark, path)
     return system.exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written through Spark's file systems."""
+    system, target = _file_system(spark, path)
+    out = system.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
