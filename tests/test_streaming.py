@@ -1,5 +1,11 @@
 """Streams: emission, late rows, restarts, repeated batches, unreadable rows, agreement with batch."""
 
+import os
+import random
+import time
+from collections import Counter
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +209,108 @@ def test_whole_path_from_attempts_to_windows(spark, tmp_path):
     stream.start(result, str(tmp_path / "c"), path=out, drain=True).awaitTermination()
     counts = spark.read.schema(result.schema).parquet(out).groupBy("window_start_ms").agg(F.sum("count").alias("n"))
     assert {r.window_start_ms: r.n for r in counts.collect()} == {s: 20 for s in range(0, 50_000, 10_000)}
+
+
+def ledger_run(spark, tmp_path, batches, schema=SENSOR_EVENT_ARRIVAL, size_ms=10_000, grace_ms=5_000):
+    """Feeds batches one by one to the accounted windows; (emitted, open, report)."""
+    ledger = stream.Ledger(spark, str(tmp_path / "ledger"))
+    spark.streams.addListener(ledger)
+    try:
+        feed = Feed(spark, tmp_path, schema, lambda df: stream.window_stream(stream.accounted(df, "rows", size_ms, grace_ms), size_ms, grace_ms))
+        for rows in batches:
+            assert ledger.wait(feed.send(rows))
+    finally:
+        spark.streams.removeListener(ledger)
+    return feed.rows(), sorted(map(tuple, stream.open_windows(spark, feed.ckpt).collect())), stream.ledger_report(spark, ledger.path).first()
+
+
+def test_every_row_of_an_out_of_order_stream_is_accounted_for(spark, tmp_path):
+    rng = random.Random(13)
+    batches, marks, top = [], [], 0
+    for n in range(4):
+        rows = []
+        for i in range(120):
+            arrival = max(0, n - rng.choice([0, 0, 0, 1])) * 40_000 + rng.randrange(40_000)     # some are delivered late
+            event = None if rng.random() < .02 else max(0, arrival - rng.choice([0, 0, 0, 3_000, 9_000, 25_000]))
+            rows.append((rng.choice("abc"), float(i), event, arrival))
+        batches.append(rows)
+        marks.append(max(0, top - 5_000))
+        top = max([top, *[r[2] for r in rows if r[2] is not None]])
+    want = Counter()
+    for rows, mark in zip(batches, marks):
+        for _, _, event, arrival in rows:
+            end = None if event is None else event // 10_000 * 10_000 + 10_000
+            want["late" if end is None or end + 5_000 < arrival else "dropped" if end <= mark else "processed"] += 1
+    emitted, held, report = ledger_run(spark, tmp_path, batches)
+    assert {k: report[k] for k in ("processed", "late", "dropped")} == dict(want) and min(want.values()) > 0
+    assert report.input_rows == 480 and report.missing == 0
+    assert sum(r[3] for r in emitted) + sum(r[3] for r in held) == want["processed"]
+    assert all(r[2] <= top - 5_000 for r in emitted) and held and all(r[2] > top - 5_000 for r in held)
+    assert (report.active_windows, report.flushed_windows) == (len(held), len(emitted))
+
+
+def test_judged_rows_keep_their_values(spark, tmp_path):
+    schema = "device_id string, event_ms bigint, temperature double, n bigint, at timestamp, ok boolean, note string"
+    rows = [("a", 5, float("nan"), 2**62 + 1, datetime(2024, 3, 1, 2, 3, 4, 5), True, None),
+            (None, 7, None, None, None, None, "é 日本"), ("b", None, -0.1, -1, datetime(1960, 1, 1), False, "")]
+    feed = Feed(spark, tmp_path, schema, stream.judge)
+    feed.send(rows)
+    got = spark.read.schema(feed.result).parquet(feed.out).collect()
+    assert sorted(map(repr, (tuple(r)[:-1] for r in got))) == sorted(map(repr, rows))
+    assert {r.device_id: r.verdict for r in got} == {"a": "processed", None: "processed", "b": "late"}
+    with pytest.raises(TypeError):
+        stream.judge(spark.readStream.schema("device_id string, event_ms bigint, x array<int>").parquet(feed.inbox))
+
+
+def test_a_ledger_counts_more_batches_than_spark_reports(spark, tmp_path):
+    """105 micro-batches, of which Spark keeps 100; files of the ledger are merged on the way."""
+    inbox = str(tmp_path / "in")
+    spark.range(0, 1_050, 1, 105).select(F.lit("d").alias("device_id"), F.col("id").cast("double").alias("temperature"),
+                                         F.col("id").alias("event_ms"), (F.col("id") % 7 * 4_000).alias("arrival_ms")).write.parquet(inbox)
+    frame = spark.readStream.schema(SENSOR_EVENT_ARRIVAL).option("maxFilesPerTrigger", 1).parquet(inbox)
+    ledger = stream.Ledger(spark, str(tmp_path / "ledger"))
+    spark.streams.addListener(ledger)
+    try:
+        query = stream.start(stream.counted(frame, "rows"), str(tmp_path / "ckpt"), handler=lambda df, n: df.count(), drain=True)
+        query.awaitTermination()
+        assert ledger.wait(query)
+    finally:
+        spark.streams.removeListener(ledger)
+    report = stream.ledger_report(spark, ledger.path).first()
+    late = sum(i // 10_000 * 10_000 + 15_000 < i % 7 * 4_000 for i in range(1_050))
+    assert (report.input_rows, report.processed, report.late, report.missing) == (1_050, 1_050 - late, late, 0)
+    assert report.batches >= 105 and len(query.recentProgress) <= 100
+    assert len([n for n in os.listdir(ledger.path) if n.endswith(".json")]) < 20
+
+
+def test_a_repeated_batch_is_counted_once(spark, tmp_path):
+    ledger = stream.Ledger(spark, str(tmp_path))
+    row = {"query": "q", "batch_id": 0, "input_rows": 5, "processed": 3, "late": 2, "dropped": 0, "active_windows": 1, "flushed_windows": 0}
+    ledger._store([row], "q-0")
+    ledger._store([row], "q-0")
+    ledger._store([row, {**row, "batch_id": 2}], "q-0-to-2")
+    report = stream.ledger_report(spark, str(tmp_path)).first()
+    assert (report.processed, report.batches, report.missing) == (6, 2, 1)
+
+
+def test_flush_timer(spark, tmp_path):
+    """The timer emits windows without a drain: rows arrive while the query runs."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    def send(*rows):
+        spark.createDataFrame(rows, SENSOR_EVENT).coalesce(1).write.mode("append").parquet(inbox)
+    send(("d", 1.0, 1_000), ("d", 3.0, 2_000))
+    result = stream.window_stream(spark.readStream.schema(SENSOR_EVENT).parquet(inbox))
+    query = stream.start(result, str(tmp_path / "ckpt"), path=out)
+    try:
+        deadline, held = time.time() + 60, 0
+        sent = False
+        while time.time() < deadline and not held:
+            if not sent and query.lastProgress and query.lastProgress["batchId"] >= 0:
+                send(("e", 1.0, 16_000))
+                sent = True
+            held = spark.read.schema(result.schema).parquet(out).count() if os.path.isdir(f"{out}/_spark_metadata") else 0
+            time.sleep(0.5)
+        assert query.isActive and [tuple(r)[:4] for r in spark.read.schema(result.schema).parquet(out).collect()] == [("d", 0, 10_000, 2)]
+        assert stream.FLUSH_INTERVAL_MS == 2_000
+    finally:
+        query.stop()

@@ -14,6 +14,14 @@ BLOCKS = {
     "latew": f"""
         SELECT *, event_ms - event_ms % {SIZE} AS ws,
                event_ms - event_ms % {SIZE} + {SIZE} + {GRACE} < arrival_ms AS late FROM late""",
+    "fed": """
+        SELECT latew.*, least(2, (arrival_ms - low) // ((high - low) // 3 + 1) + (event_id % 7 = 0)::INTEGER) AS arrival
+        FROM latew CROSS JOIN (SELECT min(arrival_ms) AS low, max(arrival_ms) AS high FROM latew )""",
+    "verdicts": f"""
+        SELECT fed.*, CASE WHEN late THEN 'late' WHEN ws + {SIZE} <= mark THEN 'dropped' ELSE 'processed' END AS verdict
+        FROM fed JOIN (SELECT a.arrival, greatest(0, coalesce(max(b.event_ms) - {GRACE}, 0)) AS mark
+                       FROM (SELECT DISTINCT arrival FROM fed) a LEFT JOIN fed b ON b.arrival < a.arrival
+                       GROUP BY a.arrival) USING (arrival)""",
     "ship": """
         SELECT 'device-' || l_suppkey AS device_id, l_quantity AS temperature, epoch_us(l_shipdate) // 1000 AS event_ms
         FROM lineitem""",
@@ -166,7 +174,13 @@ def sql() -> dict:
                          ws + {SIZE} + {GRACE} <= (SELECT max(arrival_ms) FROM late) AS done
                   FROM latew GROUP BY 1, 2)""", "latew"),
         "stream_late_counts": _with("""
-            SELECT count_if(NOT late)::BIGINT AS processed, count_if(late)::BIGINT AS late FROM latew""", "latew"),
+            SELECT count_if(verdict = 'processed')::BIGINT AS processed, count_if(verdict = 'late')::BIGINT AS late,
+                   count_if(verdict = 'dropped')::BIGINT AS dropped FROM verdicts""", "verdicts"),
+        "stream_open_windows": _with(f"""
+            SELECT device_id, ws AS window_start_ms, ws + {SIZE} AS window_end_ms, count(*) AS count,
+                   round(sum(temperature), 2) AS sum, round(sum(temperature), 2) / count(*) AS avg, max(temperature) AS max,
+                   ws + {SIZE} > (SELECT max(event_ms) - {GRACE} FROM verdicts) AS open
+            FROM verdicts WHERE verdict = 'processed' GROUP BY device_id, ws""", "verdicts"),
         "late_accept": _with(f"SELECT {_LATE} FROM latew WHERE NOT late", "latew"),
         "late_rejects": _with(f"SELECT {_LATE} FROM latew WHERE late", "latew"),
         "late_arrivals": _with("SELECT event_id, device_id, event_ms, arrival_ms FROM late", "late"),

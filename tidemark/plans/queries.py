@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import payload, scalar
 from tidemark.functions.routing import key_hash, key_partition
 from tidemark.operators import append, audit, metrics, windows
-from tidemark.schemas import ATTEMPT, LOG, STORED_LOG
+from tidemark.schemas import ATTEMPT, LOG, RESULT_SCHEMA, STORED_LOG
 from tidemark.session import scratch_path
 from tidemark.sources import log_table, tables
 from tidemark.streaming import appender
@@ -364,14 +364,40 @@ def stream_dedup(spark, sf_dir):
     return log_table.read_log(spark, _append_stream(spark, sf_dir), STORED_LOG)
 
 
+def _accounted(spark, sf_dir) -> str:
+    """Runs the late variant through the windowed stream in three arrivals; every 7th event comes with the next arrival, so some
+    are behind the watermark. The folder returned holds what was emitted, the checkpoint and the ledger."""
+    def run(base):
+        rows = tables.late_events(spark, sf_dir)
+        first, last = rows.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+        step = ((last or 0) - (first or 0)) // 3 + 1
+        arrival = F.least(F.lit(2), F.expr(f"(arrival_ms - {first or 0}) div {step}") + (F.col("event_id") % 7 == 0).cast("int"))
+        ledger = stream.Ledger(spark, f"{base}/ledger")
+        spark.streams.addListener(ledger)
+        try:
+            for n in range(3):
+                rows.where(arrival == n).write.mode("append").parquet(f"{base}/in")
+                events = stream.accounted(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "rows", SIZE_MS, GRACE_MS)
+                query = stream.start(stream.window_stream(events, SIZE_MS, GRACE_MS), f"{base}/ckpt", path=f"{base}/out", drain=True)
+                query.awaitTermination()
+                if not ledger.wait(query):
+                    raise RuntimeError("the last reports of the query are not stored")
+        finally:
+            spark.streams.removeListener(ledger)
+    return _once(spark, sf_dir, "accounted", run)
+
+
 def stream_late_counts(spark, sf_dir):
-    """Processed and late events of the late variant, counted by a stream."""
-    out = scratch_path(spark, "counts")
-    events = tables.late_variant(tables.as_sensor_events(tables.event_stream(spark, sf_dir)))
-    counts = stream.count_stream(events, SIZE_MS, GRACE_MS)
-    stream.start(counts, scratch_path(spark, "ckpt"), handler=stream.keep_last(out), drain=True,
-                 mode="complete").awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out).select(*counts.columns)
+    """Every row that the stream read, as processed, late by its own arrival, or dropped behind the watermark."""
+    return stream.ledger_report(spark, f"{_accounted(spark, sf_dir)}/ledger").select("processed", "late", "dropped")
+
+
+def stream_open_windows(spark, sf_dir):
+    """The windows of that stream, emitted or still open in its state."""
+    base = _accounted(spark, sf_dir)
+    emitted = spark.read.schema(RESULT_SCHEMA).parquet(f"{base}/out").withColumn("open", F.lit(False))
+    held = stream.open_windows(spark, f"{base}/ckpt").withColumn("open", F.lit(True))
+    return rounded(emitted.unionByName(held))
 
 
 def log_append_repeated(spark, sf_dir):
@@ -420,6 +446,6 @@ def registered() -> dict:
             throughput, throughput_by_bucket, reconcile_loss, lost_records, offset_audit,
             offset_audit_damaged, offset_duplicates, replica_diff, replica_summary, device_liveness,
             order_audit, key_placement, run_verdict,
-            stream_window_agg, stream_dedup, stream_log_to_windows, stream_late_counts, log_append_repeated, lost_records_damaged):
+            stream_window_agg, stream_dedup, stream_log_to_windows, stream_late_counts, stream_open_windows, log_append_repeated, lost_records_damaged):
         named[function.__name__] = function
     return named

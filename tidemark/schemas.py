@@ -40,3 +40,7 @@ SAMPLE = _struct(("start_ns", LONG), ("end_ns", LONG), ("success", BOOLEAN))
 
 PRODUCER_STATE = _struct(("partition", INT), ("producer_id", STRING),
                          ("last_seq", LONG), ("last_offset", LONG))
+
+# A window and its result.
+RESULT_SCHEMA = _struct(("device_id", STRING), ("window_start_ms", LONG), ("window_end_ms", LONG), ("count", LONG),
+                        ("sum", DOUBLE), ("avg", DOUBLE), ("max", DOUBLE))

@@ -38,7 +38,7 @@ def is_published(spark: SparkSession, path: str, batch: int) -> bool:
     return path_exists(spark, _batch(path, batch))
 
 
-STATE_BUCKETS = 256
+STATE_BUCKETS = 64
 
 
 @dataclass(frozen=True)
