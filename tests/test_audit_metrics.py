@@ -1,12 +1,14 @@
 """Audits, percentiles and run summaries."""
 
+import bisect
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, metrics
+from tidemark.operators import audit, metrics, windows
+from tidemark.schemas import SENSOR_EVENT
 
 OFFSETS = "partition int, offset long"
 
@@ -169,3 +171,93 @@ def test_throughput(spark):
     assert (row.events, row.whole_per_sec) == (16_999, 1_133) and row.per_sec == pytest.approx(1133.2667, abs=1e-3)
     got = {r.bucket_start_ms: (r.events, r.whole_per_sec) for r in metrics.throughput_by_bucket(df, 10_000).collect()}
     assert got == {0: (10_000, 1_000), 10_000: (6_999, 699)}
+
+
+# --- ranks of wide values, sketches, digests ---------------------------------------------------------------
+
+@pytest.mark.parametrize("span", [10, 2**17, 2**40, 2**62])
+def test_radix_ranks_equal_sorted_ranks(spark, span):
+    rng = random.Random(span)
+    rows = [(rng.choice("aab") if i % 50 else None, rng.randrange(-span, span) if i % 9 else None) for i in range(700)]
+    rows += [("a", 7)] * 200 + [("one", -span)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    for by in ([], ["g"]):
+        want = {}
+        for g in {g for g, _ in rows} if by else {None}:
+            values = sorted(v for own, v in rows if v is not None and (own == g or not by))
+            if values:
+                want[g] = tuple(values[max(1, math.ceil(p / 100.0 * len(values))) - 1] for p in (50, 95, 99))
+        got = {r["g"] if by else None: (r.p50, r.p95, r.p99) for r in metrics.radix_rank(df, "v", by=by).collect()}
+        assert got == want
+
+
+def test_radix_ranks_of_nothing_and_of_extremes(spark):
+    none = spark.createDataFrame([(None,)], "v long")
+    assert tuple(metrics.radix_rank(none, "v").first()) == (0, 0, 0)
+    ends = spark.createDataFrame([(-2**63,), (2**63 - 1,), (0,)], "v long")
+    assert tuple(metrics.radix_rank(ends, "v").first()) == (0, 2**63 - 1, 2**63 - 1)
+
+
+def test_radix_tasks_hold_few_bins(spark):
+    """Values far apart: the bins of each level, not the distinct values, are what is shuffled."""
+    df = spark.range(0, 200_000, 1, 8).select((F.col("id") * 4_398_046_511_104).alias("v"))
+    row = metrics.radix_rank(df, "v").first()
+    assert row.p50 == 99_999 * 4_398_046_511_104
+    bins = df.groupBy(F.shiftright("v", 48)).count().count()
+    assert bins <= 2 ** metrics.BIN_BITS
+
+
+def test_sketches_survive_rollup(spark):
+    """Windows of hours merged to a day and to four days: rank errors stay within the bound; small windows are exact."""
+    rng = random.Random(2)
+    rows = [("d", rng.gauss(0, 1) ** 3, rng.randrange(4 * 86_400_000)) for _ in range(60_000)] + [("e", float(i), i) for i in range(99)]
+    events = spark.createDataFrame(rows + [("n", None, 5)], SENSOR_EVENT).repartition(6)
+    hours = windows.window_sketches(events, 3_600_000)
+    for size in (86_400_000, 4 * 86_400_000):
+        for r in windows.sketched_quantiles(windows.rollup_sketches(hours, size, 3_600_000)).collect():
+            own = sorted(v for d, v, t in rows if d == r.device_id and t // size * size == r.window_start_ms)
+            assert r["count"] == len(own)
+            for p in (50, 95, 99):
+                value = r[f"p{p}"]
+                if not own:
+                    assert value is None
+                elif len(own) <= windows.SKETCH_SIZE:
+                    assert value == own[math.ceil(p / 100 * len(own)) - 1]
+                else:
+                    low, high = bisect.bisect_left(own, value), bisect.bisect_right(own, value)
+                    error = max(low - p / 100 * len(own), p / 100 * len(own) - high, 0) / len(own)
+                    assert error <= 2.6 / windows.SKETCH_SIZE
+    with pytest.raises(ValueError):
+        windows.rollup_sketches(hours, 5, 3)
+
+
+def copy_of(spark, n, **changes):
+    rows = [(p, o, f"k{o}", changes.get("value", {}).get((p, o), f"v{o}"), o) for p in range(2) for o in range(n)
+            if (p, o) not in changes.get("gone", ())] + list(changes.get("more", ()))
+    return spark.createDataFrame(rows, "partition int, offset long, key string, value string, timestamp long").repartition(4)
+
+
+def test_damage_equals_the_full_comparison(spark):
+    left = copy_of(spark, 500, more=[(0, 3, "k3", "v3", 3), (1, None, "k", None, 1)])
+    right = copy_of(spark, 500, value={(1, 9): "changed", (1, 10): None}, gone={(0, 7)}, more=[(1, 700, "k", "v", 1), (0, None, "a", "b", 2)])
+    want = sorted(map(repr, audit.replica_diff(left, right).where("status <> 'same'").collect()))
+    assert sorted(map(repr, audit.replica_damage(left, right).collect())) == want and len(want) == 7
+    summary = {(r.partition, r.status): r.offsets for r in audit.replica_summary(left, right).collect()}
+    assert summary == {(r.partition, r.status): r.n for r in audit.replica_diff(left, right).groupBy("partition", "status")
+                       .agg(F.count("*").alias("n")).collect()}
+    assert audit.replica_damage(left, left.where("NOT (partition = 0 AND offset = 3)").unionByName(
+        left.where("partition = 0 AND offset = 3"))).count() == 0
+
+
+def test_payload_that_is_compared_follows_the_damage(spark):
+    """Of 10 blocks one is damaged: only its rows reach the comparison."""
+    def log(changed):
+        offset = F.col("id")
+        return spark.range(0, 10 * 32_768, 1, 6).select(
+            F.lit(0).alias("partition"), offset.alias("offset"), offset.cast("string").alias("key"),
+            F.when(offset == changed, "x").otherwise(F.repeat(F.lit("payload "), 4)).alias("value"), offset.alias("timestamp"))
+    left, right = log(-1), log(100_000)
+    blocks = audit.block_digests(left, right)
+    assert blocks.where("NOT clean").count() == 1
+    assert [x.count() for x in audit._in_damaged(left, right, blocks)] == [32_768, 32_768]
+    assert [tuple(r) for r in audit.replica_damage(left, right).collect()] == [(0, 100_000, "differs")]

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import latency_ms, window_start
-from tidemark.plans.ordered import same_keys
+from tidemark.plans.ordered import join_carried, same_keys
 from tidemark.schemas import PERCENTILES
+from tidemark.session import materialize
 
 # Values are ranked in bins of this many consecutive integers.
 BIN_BITS = 16
@@ -52,6 +53,50 @@ def nearest_rank(df: DataFrame, value: str, percents=PERCENTILES, by=()) -> Data
     return reached.agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(picks, names)])
 
 
+def radix_rank(df: DataFrame, value: str, percents=PERCENTILES, by=()) -> DataFrame:
+    """The same for values of any range, nanoseconds for instance: radix selection, ``BIN_BITS`` bits a level from the top.
+
+    A level counts how many values of a group fall into each bin of the prefix that holds the wanted rank, partially aggregated
+    before the shuffle, and ranks those bins: no task holds more than 2**BIN_BITS of them for a group and prefix, however the
+    values lie. The first level is the highest at which the values of the table differ. Without ``by`` the result is one row, 0
+    where there are no values; a group without values has no row.
+    """
+    by, last = list(by), 64 // BIN_BITS - 1
+    keys, names = by or ["_all"], [f"p{p:g}" for p in percents]
+    rows = (df if by else df.withColumn("_all", F.lit(0))).select(*keys, F.col(value).cast("long").alias("_v")).where("_v IS NOT NULL")
+    low, high = rows.agg(F.min("_v"), F.max("_v")).first()
+    level = max((i for i in range(last + 1) if low is not None and low >> BIN_BITS * i != high >> BIN_BITS * i), default=0)
+    upto = Window.unboundedPreceding, 0
+    # Every value begins in the one prefix above the first level.
+    bins = rows.groupBy(*keys, F.shiftright("_v", BIN_BITS * level).alias("_bin")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    ranked = (bins.withColumn("_upto", F.sum("_n").over(group.orderBy("_bin").rowsBetween(*upto)))
+              .withColumn("_total", F.sum("_n").over(group))
+              .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
+              .withColumn("_rank", F.greatest(F.ceil(F.col("_p") / 100.0 * F.col("_total")), F.lit(1))))
+    targets = materialize(_reached(ranked, keys), "ranks")
+    while level:
+        level -= 1
+        known = targets.count()  # a row per group and percentile
+        inside = join_carried(rows.withColumn("_prefix", F.shiftright("_v", BIN_BITS * (level + 1))),
+                              targets.select(*keys, "_prefix").distinct(), [*keys, "_prefix"], known)
+        bins = inside.groupBy(*keys, "_prefix", F.shiftright("_v", BIN_BITS * level).alias("_bin")).agg(F.count("*").alias("_n"))
+        joined = join_carried(bins, targets, [*keys, "_prefix"], known)
+        order = Window.partitionBy(*keys, "_prefix", "_p").orderBy("_bin").rowsBetween(*upto)
+        targets = materialize(_reached(joined.withColumn("_upto", F.sum("_n").over(order)), keys), "ranks")
+    picks = [F.min(F.when(F.col("_p") == float(p), F.col("_prefix"))) for p in percents]
+    if by:
+        return targets.groupBy(*by).agg(*[c.alias(n) for c, n in zip(picks, names)])
+    return targets.agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(picks, names)])
+
+
+def _reached(ranked: DataFrame, keys) -> DataFrame:
+    """The bin of each wanted rank, as the prefix of the next level, and the rank that is left inside of it."""
+    before = F.col("_upto") - F.col("_n")
+    return (ranked.where((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+            .select(*keys, "_p", F.col("_bin").alias("_prefix"), (F.col("_rank") - before).alias("_rank")))
+
+
 def approx_percentiles(df: DataFrame, value: str, percents=PERCENTILES, by=(), accuracy=10_000) -> DataFrame:
     """One-pass approximation with bounded memory, for data where an exact rank is not needed."""
     return df.groupBy(*by).agg(*[F.percentile_approx(value, p / 100.0, accuracy).alias(f"p{p:g}")

@@ -173,6 +173,21 @@ def sql() -> dict:
             FROM (SELECT device_id, ws, count_if(NOT late) AS a, count_if(late) AS l,
                          ws + {SIZE} + {GRACE} <= (SELECT max(arrival_ms) FROM late) AS done
                   FROM latew GROUP BY 1, 2)""", "latew"),
+        "latency_percentiles_ns": """
+            SELECT event_type, """ + ", ".join(
+            f"min(CASE WHEN rn = greatest(1, ceil({p} / 100.0 * n)) THEN ns END) AS p{p}" for p in (50, 95, 99)) + """
+            FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ns) AS rn,
+                         count(*) OVER (PARTITION BY event_type) AS n
+                  FROM (SELECT event_type, round(value * 100)::BIGINT * 10000000 + user_id * 997 AS ns FROM events))
+            GROUP BY event_type""",
+        "window_quantiles": _with(f"""
+            SELECT device_id, ws AS window_start_ms, ws + {4 * WEEK} AS window_end_ms, count(*) AS count, """ + ", ".join(
+            f"min(CASE WHEN rn >= {p} / 100.0 * n THEN temperature END) AS p{p}" for p in (50, 95, 99)) + f"""
+            FROM (SELECT *, row_number() OVER (PARTITION BY device_id, ws ORDER BY temperature) AS rn,
+                         count(*) OVER (PARTITION BY device_id, ws) AS n
+                  FROM (SELECT *, event_ms - event_ms % {4 * WEEK} AS ws FROM ship ))
+            GROUP BY device_id, ws""", "ship"),
+        "replica_damage": _with("""SELECT * FROM diff WHERE status <> 'same'""", "diff"),
         "stream_late_counts": _with("""
             SELECT count_if(verdict = 'processed')::BIGINT AS processed, count_if(verdict = 'late')::BIGINT AS late,
                    count_if(verdict = 'dropped')::BIGINT AS dropped FROM verdicts""", "verdicts"),

@@ -198,6 +198,12 @@ def window_rollup(spark, sf_dir):
     return rounded(windows.window_rollup(small, 4 * WEEK_MS, WEEK_MS))
 
 
+def window_quantiles(spark, sf_dir):
+    """Percentiles of four weeks, merged from the sketches of single weeks."""
+    small = windows.window_sketches(tables.shipments(spark, sf_dir), WEEK_MS)
+    return windows.sketched_quantiles(windows.rollup_sketches(small, 4 * WEEK_MS, WEEK_MS))
+
+
 def run_counters(spark, sf_dir):
     rows = tables.late_events(spark, sf_dir)
     return windows.run_counters(rows, _latest(rows, "arrival_ms"), SIZE_MS, GRACE_MS)
@@ -264,6 +270,15 @@ def latency_percentiles_all(spark, sf_dir):
     return metrics.nearest_rank(metrics.with_latency(tables.samples(spark, sf_dir)), "latency_ms")
 
 
+def _nanoseconds(spark, sf_dir):
+    return tables.samples(spark, sf_dir).withColumn("latency_ns", F.col("end_ns") - F.col("start_ns") + F.col("user_id") * 997)
+
+
+def latency_percentiles_ns(spark, sf_dir):
+    """Exact percentiles of nanoseconds, whose range is far beyond one level of bins."""
+    return metrics.radix_rank(_nanoseconds(spark, sf_dir), "latency_ns", by=["event_type"])
+
+
 def latency_summary(spark, sf_dir):
     return metrics.latency_summary(tables.samples(spark, sf_dir))
 
@@ -317,6 +332,11 @@ def replica_summary(spark, sf_dir):
     return audit.replica_summary(_replica(log), log)
 
 
+def replica_damage(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return audit.replica_damage(log, _replica(log))
+
+
 def device_liveness(spark, sf_dir):
     rows = tables.sensor_events(spark, sf_dir)
     return audit.device_liveness(tables.roster(spark, sf_dir), rows, _latest(rows), SIZE_MS)
@@ -445,7 +465,7 @@ def registered() -> dict:
             latency_percentiles, latency_percentiles_all, latency_summary, latency_summary_by_user,
             throughput, throughput_by_bucket, reconcile_loss, lost_records, offset_audit,
             offset_audit_damaged, offset_duplicates, replica_diff, replica_summary, device_liveness,
-            order_audit, key_placement, run_verdict,
+            order_audit, key_placement, run_verdict, latency_percentiles_ns, window_quantiles, replica_damage,
             stream_window_agg, stream_dedup, stream_log_to_windows, stream_late_counts, stream_open_windows, log_append_repeated, lost_records_damaged):
         named[function.__name__] = function
     return named
