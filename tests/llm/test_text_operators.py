@@ -52,13 +52,15 @@ def test_quality_rules(spark, texts, good):
         raw.update(grams(text))
         target.update(grams(text) if i in good else [])
     raws, targets, n = sum(raw.values()), sum(target.values()), quality_rules.BUCKETS
+    own = sorted(math.floor(found.loc[i].log_ratio / quality_rules.STEP) for i in texts if i in good and not found.loc[i].base_failed)
+    least = quality_rules.STEP * (2 * own[math.ceil(len(own) / 100) - 1] - own[math.ceil(len(own) / 2) - 1])
     for i, text in texts.items():
         row, base = found.loc[i], models.base_counts(text)
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == base
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
         ratio = np.mean([math.log((target[g] + 1) / (targets + n) * (raws + n) / (raw[g] + 1)) for g in grams(text)])
         assert abs(row.log_ratio - ratio) < 1e-6
-        assert row.base_failed == failed and row.kept == (not failed and row.log_ratio >= quality_rules.THRESHOLD)
+        assert row.base_failed == failed and row.kept == (not failed and row.log_ratio >= least)
 
 
 def test_quality_rules_on_hard_rows(spark):
@@ -74,7 +76,10 @@ def test_quality_rules_on_hard_rows(spark):
     assert quality_rules.judge(docs, ratio).where("log_ratio > 100").count() == 0  # a filter that could be pushed down
 
 
-def test_windows_that_interleave(spark):
+@pytest.mark.parametrize("short", [False, True])
+def test_windows_that_interleave(spark, monkeypatch, short):
+    if short:  # hashes of one bit: everything rests on the words
+        monkeypatch.setattr(quality_rules, "hashed", lambda *w: F.xxhash64(*w).bitwiseAND(F.lit(1).cast("long")))
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice("ab c d".split()) for _ in range(rnd.randint(0, 60)))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -82,6 +87,19 @@ def test_windows_that_interleave(spark):
         assert row.n_repeat_words == models.base_counts(row.text)[4]
 
 
+def test_threshold_without_trusted_texts(spark):
+    docs = models.hard(spark)
+    assert quality_rules.threshold(docs, docs.select("doc_id").where("false"), [0] * 8) == 0.0
+
+
+def test_names_with_dots(spark):
+    docs = models.hard(spark).withColumn("x.y", F.lit("kept"))
+    items = spark.createDataFrame([("i", "tie tie tie")], "item_id string, text string")
+    rows = decontaminate.find(docs, items).collect()
+    assert {r["x.y"] for r in rows} == {"kept"} and sum(r.contaminated for r in rows) == 4
+    assert "x.y" in decontaminate.clean(docs, items).columns
+
+
 def test_classifier(spark, texts):
     found = run(spark, "op2_quality_classifier")
     assert sorted(found.doc_id) == sorted(texts) and found.score.between(0, 1).all()

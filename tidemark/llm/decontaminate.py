@@ -196,7 +196,7 @@ def find(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_te
     """Adds ``n_words``, ``n_hit``, ``item_ids`` (sorted), ``longest_match``, ``hit_spans`` (word positions, the end
     excluded) and ``contaminated``; columns so named are replaced."""
     context = docs.sparkSession.sparkContext
-    keep = others(docs.select(*(keep if keep is not None else docs.columns)), FOUND.names)
+    keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), FOUND.names)
     rows, source, more = docs, text, ()
     passes = _passes(_blocks(items, item, item_text))
     blocks = next(passes)
@@ -207,7 +207,7 @@ def find(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_te
         if following is None:
             return extend(rows, FOUND, compute, source, keep, more, chunk)
         # Another pass: the text goes along, and what is found then joins what is found now.
-        rows = rows.select(*rows.columns, F.col(source).alias("__again")) if source != "__again" else rows
+        rows = rows.select("*", F.col(source).alias("__again")) if source != "__again" else rows
         rows = materialize(extend(rows, FOUND, compute, source, [*keep, "__again"], more, chunk), "decontaminate")
         source, more, blocks = "__again", ("item_ids", "longest_match", "hit_spans"), following
 

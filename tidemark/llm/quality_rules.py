@@ -3,13 +3,13 @@
 Every word and every pair of neighbouring words falls by a hash into one of ``BUCKETS`` buckets. The texts of the
 trusted target and all texts of the corpus each give a multinomial over the buckets (add-one smoothing); both count
 whole tables. The score of a text is the mean over its n-grams of ``ln(target / raw)``, so length does not matter,
-and a text is kept if no base rule fails and its score reaches ``THRESHOLD``. Ratios are rounded to millionths
+and a text is kept if no base rule fails and its score reaches a threshold taken from the trusted texts' own scores. Ratios are rounded to millionths
 and summed as integers, so the verdict does not depend on the order of addition.
 
 Only DataFrame functions are used. Words are ``[^\\x20\\x09-\\x0D]+``, their case counts. Null and empty texts have
 no words and fail the base rules; their ratio is 0. Without a trusted target all ratios are 0. Repeated rows count
-once each in the corpus and get equal verdicts. Equal 3-word windows of a text are told by 64-bit hashes, of which
-as many bits are dropped as its number of words has: a chance of about 1e-11 for a text of 600 words to be miscounted.
+once each in the corpus and get equal verdicts. Equal 3-word windows of a text are brought together by hashes and told by
+their words.
 """
 
 import json
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.rows import join_small, others
 
 BUCKETS = 10_000
-THRESHOLD = -0.12
+STEP = 0.0001  # of ratios, when the threshold is taken
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
 
@@ -65,6 +65,10 @@ def _ratios(counts, buckets):
     return made
 
 
+def hashed(*words):
+    return F.xxhash64(*words)
+
+
 def _repeated():
     """Words in 3-word windows that the text holds more than once, from the sorted starts in ``__r``."""
     steps = F.transform("__r", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__r", k + 1) - p, F.lit(3))))
@@ -74,24 +78,39 @@ def _repeated():
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]
 
 
-def judge(docs: DataFrame, ratio: list, text="text", keep=None, threshold=THRESHOLD) -> DataFrame:
+def threshold(docs: DataFrame, trusted: DataFrame, ratio: list, text="text", key="doc_id") -> float:
+    """The lowest ratio that is kept, from the trusted documents that pass the base rules: as far below their lowest per cent as
+    that is below their median. All of them count, in steps of ``STEP``, so no more than the steps in use reach the driver; 0
+    without any."""
+    ids = trusted.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct()
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("__text"))
+    judged = judge(join_small(rows, ids, "id", "left_semi"), ratio, "__text", ["id"], 0.0).where("NOT base_failed")
+    steps = judged.groupBy(F.floor(F.col("log_ratio") / STEP).alias("at")).agg(F.count("*").alias("n")).collect()
+    total, upto, low = sum(r.n for r in steps), 0, None
+    for r in sorted(steps):
+        upto += r.n
+        if low is None and 100 * upto >= total:
+            low = r.at
+        if 2 * upto >= total:
+            return STEP * (2 * low - r.at)
+    return 0.0
+
+
+def judge(docs: DataFrame, ratio: list, text="text", keep=None, threshold=0.0) -> DataFrame:
     """Adds the base counts, ``base_failed``, ``log_ratio`` (mean per n-gram) and ``kept``; columns so named are
     replaced. ``ratio`` is what ``ratios`` returned."""
     keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), ADDED)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], content.alias("__t"), _words(content).alias("__w"))
-    # Low bits hold where a window starts, the others its hash: sorting brings equal windows together, in order.
-    bits = F.length(F.bin(F.size("__w").cast("long"))).cast("int")
-    windows = F.when(F.size("__w") > 2, F.transform(
-        F.sequence(F.lit(0), F.size("__w") - 3),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)),
-                                  F.col("__b")).bitwiseOR(i.cast("long"))))
-    rows = rows.withColumn("__b", bits).withColumn("__s", F.sort_array(windows))
-    same = lambda x, y: F.coalesce(F.call_function("shiftright", x, F.col("__b"))
-                                   == F.call_function("shiftright", y, F.col("__b")), F.lit(False))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__b")) - 1
-    starts = F.transform(F.filter("__s", lambda x, k: same(x, F.get("__s", k - 1)) | same(x, F.get("__s", k + 1))),
-                         lambda x: x.bitwiseAND(mask))
+    def window(i):
+        words = [F.get("__w", i + k) for k in range(3)]
+        return F.struct(hashed(*words).alias("h"), *[w.alias(n) for n, w in zip("abc", words)], i.alias("p"))
+
+    # Sorted by hash, and words where hashes are equal: the same windows stand together, in order.
+    windows = F.when(F.size("__w") > 2, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), window))
+    rows = rows.withColumn("__s", F.sort_array(windows))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    starts = F.transform(F.filter("__s", lambda x, k: same(x, F.get("__s", k - 1)) | same(x, F.get("__s", k + 1))), lambda x: x["p"])
     lines = F.filter(F.split("__t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     table = F.from_json(F.lit(json.dumps(ratio)), "array<bigint>")
     # A filter on a result must not be pushed below this point, where it would repeat the arrays inside of each other.

@@ -23,7 +23,9 @@ def _remainder(modulus: int):
 
 def op1_quality_rules(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return quality_rules.judge(docs, quality_rules.ratios(docs, trusted(spark, sf_dir)), keep=["doc_id"])
+    good = trusted(spark, sf_dir)
+    ratio = quality_rules.ratios(docs, good)
+    return quality_rules.judge(docs, ratio, keep=["doc_id"], threshold=quality_rules.threshold(docs, good, ratio))
 
 
 def op2_quality_classifier(spark, sf_dir):
@@ -36,8 +38,10 @@ def op2_quality_classifier(spark, sf_dir):
 def good_by_rules(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """The documents that the rules keep; the corpus is what is given."""
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
-    ratio = quality_rules.ratios(docs, trusted(spark, sf_dir))
-    return quality_rules.judge(whole, ratio, keep=["__row"]).where("kept").select("__row.*")
+    good = trusted(spark, sf_dir)
+    ratio = quality_rules.ratios(docs, good)
+    least = quality_rules.threshold(docs, good, ratio)
+    return quality_rules.judge(whole, ratio, keep=["__row"], threshold=least).where("kept").select("__row.*")
 
 
 def good_by_classifier(spark, docs: DataFrame, sf_dir) -> DataFrame:

@@ -1,5 +1,7 @@
 """Running a text function over whole tables, and joins against small tables of checked size."""
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -49,20 +51,32 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     named like an added one is replaced.
     """
     keep = others(df.select(*[f"`{c}`" for c in (keep if keep is not None else df.columns)]), added.names)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"),
+    given = [f"__k{i}" for i in range(len(keep))]  # names may hold dots, which functions over batches cannot take
+    source = df.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(text).cast("binary").alias("__text"),
                        *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
     schema = T.StructType([*source.schema.fields[:len(keep)], *added.fields])
     limit_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for part in chunks(batch, len(keep), chunk):
-                columns = part.columns
-                values = compute(*[c.to_pylist() for c in columns[len(keep):]])
-                arrays = [*columns[:len(keep)], *arrow_arrays(values, added)]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return source.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for part in chunks(batch, len(keep), chunk):
+                    columns = part.columns
+                    values = compute(*[c.to_pylist() for c in columns[len(keep):]])
+                    arrays = [*columns[:len(keep)], *arrow_arrays(values, added)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        finally:
+            hand_back()
+
+    return source.mapInArrow(run, schema).select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *[f"`{c}`" for c in added.names])
+
+
+def hand_back() -> None:
+    """Gives memory that a task has freed back to the system: workers serve many tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def limit_batches(spark) -> None:
