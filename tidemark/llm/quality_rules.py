@@ -102,13 +102,24 @@ def judge(docs: DataFrame, ratio: list, text="text", keep=None, threshold=0.0) -
     keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), ADDED)
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], content.alias("__t"), _words(content).alias("__w"))
+    three = lambda i: [F.get("__w", i + k) for k in range(3)]
+    # Low bits hold where a window starts, the others bits of its hash: sorting numbers finds those that may be repeated.
+    packed = F.when(F.size("__w") > 2, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: F.call_function(
+        "shiftleft", hashed(*three(i)), F.col("__b")).bitwiseOR(i.cast("long"))))
+    rows = rows.withColumn("__b", F.length(F.bin(F.size("__w").cast("long"))).cast("int")).withColumn("__p", F.sort_array(packed))
+    near = lambda x, y: F.coalesce(F.call_function("shiftright", x, F.col("__b"))
+                                   == F.call_function("shiftright", y, F.col("__b")), F.lit(False))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__b")) - 1
+    maybe = F.transform(F.filter("__p", lambda x, k: near(x, F.get("__p", k - 1)) | near(x, F.get("__p", k + 1))),
+                        lambda x: x.bitwiseAND(mask).cast("int"))
+    rows = rows.withColumn("__m", maybe)
+
     def window(i):
-        words = [F.get("__w", i + k) for k in range(3)]
+        words = three(i)
         return F.struct(hashed(*words).alias("h"), *[w.alias(n) for n, w in zip("abc", words)], i.alias("p"))
 
-    # Sorted by hash, and words where hashes are equal: the same windows stand together, in order.
-    windows = F.when(F.size("__w") > 2, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), window))
-    rows = rows.withColumn("__s", F.sort_array(windows))
+    # Of those, sorted by hash, and words where hashes are equal: the same windows stand together, in order.
+    rows = rows.withColumn("__s", F.sort_array(F.transform("__m", window)))
     same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
     starts = F.transform(F.filter("__s", lambda x, k: same(x, F.get("__s", k - 1)) | same(x, F.get("__s", k + 1))), lambda x: x["p"])
     lines = F.filter(F.split("__t", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
