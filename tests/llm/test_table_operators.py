@@ -91,7 +91,46 @@ def test_near_duplicate_hard_rows(spark):
     assert {(1, 1, True), (2, 2, True), (4, 4, True), (6, 6, True), (7, 6, False), (None, None, True)} <= found
     assert near_dedup.group(docs.where("false")).count() == 0
     left = near_dedup.drop_copies(docs)
-    assert left.columns == docs.columns and left.count() == len(models.HARD) - 1
+    assert left.columns == docs.columns
+    words = lambda text: [w for w in re.split("[\\x20\\x09-\\x0D]+", text or "") if w]
+    worded = [r for r in left.collect() if words(r.text)]
+    assert len({r.text for r in worded}) == len(worded) == len({" ".join(words(r.text)).lower() for r in docs.collect() if words(r.text)})
+    assert left.count() - len(worded) == sum(not words(r.text) for r in docs.collect())
+
+
+def test_one_row_of_each_group_stays(spark):
+    same = "one text that stands in many rows of the table, again and again"
+    rows = [(5, same, "a"), (5, same, "b"), (None, same, "c"), (None, same, "d"), (6, same, "e"), (7, "another text with words enough to stand", "f"),
+            (7, "another text with words enough to stand", "g"), (None, "nameless alone, met once only in all of this table", "h"),
+            (None, None, "i"), (8, "", "j"), (8, " \t", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `x.y` string").repartition(4)
+    left = near_dedup.drop_copies(docs)
+    assert left.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert found == sorted([(5, same), (7, rows[5][1]), (None, rows[7][1]), (None, None), (8, ""), (8, " \t")], key=str)
+    assert near_dedup.drop_copies(docs.where("false")).count() == near_dedup.drop_copies(docs.where("text IS NULL")).count() - 1 == 0
+
+
+def test_open_buckets(spark):
+    """Many texts around the similarity: links as in the plain model, with few pairs met on the way."""
+    rnd = random.Random(80)
+    star = [f"s{i}" for i in range(120)]
+    texts = {i: " ".join(edited(rnd, star, rnd.choice([0.02, 0.05, 0.06, 0.07, 0.08]))) for i in range(700)}
+    texts |= {1000 + i: texts[i].replace(" ", "  ", 3) + " tail" for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in near_dedup.group(docs, shingle=2).collect()}
+    assert found == models.groups(texts, 2)
+    # no links found before: the whole group is one open bucket
+    sets = docs.select(F.lit(1).alias("bucket"), F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+    source = docs.select(F.col("doc_id").alias("id"), "text")
+    certain, candidates = near_dedup._around(sets, source, 2, 80)
+    assert candidates.count() <= 20 * len(texts)
+    links = {tuple(r) for r in certain.unionByName(near_dedup._verified(candidates, source, 2, 80)).select("a", "b").collect()}
+    full = {i: models.shingles(t, 2) for i, t in texts.items()}
+    linked = {(a, b) for a in full for b in full if a < b and 100 * len(full[a] & full[b]) >= 80 * len(full[a] | full[b])}
+    assert links <= linked
+    around = {i for pair in certain.collect() for i in pair}
+    assert {(a, b) for a, b in linked if not {a, b} <= around} <= links
 
 
 def test_components(spark):

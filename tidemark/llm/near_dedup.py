@@ -8,15 +8,17 @@ their similarity, concentrated as for independent hashes.
 
 * ``BANDS`` bands of ``ROWS`` bins each give buckets: a pair of similarity 0.8 misses all of them with a chance of
   1e-7.
-* One bit of each bin makes a 256-bit summary; pairs that differ in more than ``MAX_BITS`` bits, six standard
-  deviations off the mean at similarity 0.8, or whose sizes alone rule out the similarity, are not verified.
+* One bit of each bin makes a 256-bit summary; pairs with a smallest class or pivot that differ in more than ``MAX_BITS``
+  bits, six standard deviations off the mean at similarity 0.8, or whose sizes alone rule out the similarity, are not
+  verified then.
 * Documents with equal sets are one class, of which the smallest id goes on.
 * In each bucket, every class is verified against the smallest one, on full sets, and verified links are joined to
   components. Only buckets that still hold several components can hide a link. There, in up to ``PIVOTS`` rounds,
   every class meets one random class of the bucket if that is of another component; in a large group of copies, most
-  of whose pairs are alike, that joins nearly all. Last, in the buckets that are still open, every class outside of
-  the commonest component meets all classes of other components. So pairs inside of a component are never formed,
-  and no plausible pair of different components is left out.
+  of whose pairs are alike, that joins nearly all. Last, in the buckets that are still open, classes are told by their
+  differences from the usual set; an exact prefix filter on the rarest differences finds the candidates, which are
+  verified. No pair of different components that could be linked is left out, and none is formed that shares no
+  rare difference.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a text of fewer words than a shingle has its whole
 sequence as one. Shingles are 64-bit hashes. Null and empty texts, and those without words, have empty sets and
@@ -119,17 +121,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) ->
     """The pairs ``a, b`` of classes whose full sets are similar enough; ``docs`` has ``id, text``."""
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(),
                       "near-ids")
-    texts = join_small(docs, ids, "id", "left_semi")
     # Rows that share an id: the set of any of them stands for it, the same in every run.
-    sets = extend(texts, fields(elements="array<bigint>"),
-                  lambda found: [[shingles(t, size).view(np.int64) for t in found]], keep=["id"])
-    sets = materialize(sets, "near-sets")
+    sets = materialize(_sets(docs, ids, size), "near-sets")
     sides = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return sides.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``id, elements``: full sets of the rows with these ids."""
+    return extend(join_small(docs, ids, "id", "left_semi"), fields(elements="array<bigint>"),
+                  lambda found: [[shingles(t, size).view(np.int64) for t in found]], keep=["id"])
+
+
 def _plausible(similarity: int):
     """On columns ``n, bits`` and ``n2, bits2``: could the sets be similar enough?"""
     apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(COORDINATES // 64)), F.lit(0))
@@ -158,9 +163,12 @@ def group(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, similarit
         if more.isEmpty():
             break
         found = _joined(found, more)
-    more = _links(_across(_open(members, found), classes.select("id", "n", "bits", "keys"), similarity), about, source, shingle, similarity)
-    if not more.isEmpty():
-        found = _joined(found, more)
+    members = _open(members, found)
+    if not members.isEmpty():
+        certain, candidates = _around(members, source, shingle, similarity)
+        more = certain.unionByName(_verified(candidates, source, shingle, similarity))
+        if not more.isEmpty():
+            found = _joined(found, more)
     found = classes.select("digest", F.col("id").alias("node")).join(found, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("of"))
     result = rows.join(found, "digest", "left").select(
@@ -200,22 +208,104 @@ def _to_pivots(members: DataFrame, seed: int) -> DataFrame:
     return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def _across(members: DataFrame, about: DataFrame, similarity: int) -> DataFrame:
-    """All plausible pairs of different components in one bucket, each formed in the first bucket that they share."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    heads = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most")).select(
-        "bucket", F.col("most.component").alias("head"))
-    described = members.join(about, "id").join(heads, "bucket")
-    outside = described.where("component <> head").withColumnsRenamed({"id": "a", "component": "c"})
-    inside = described.select("bucket", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"),
-                              F.col("bits").alias("bits2"), F.col("keys").alias("keys2"))
-    once = F.get(F.array_intersect("keys", "keys2"), F.lit(0)) == F.col("bucket")
-    either = (F.col("c2") == F.col("head")) | (F.col("a") < F.col("b"))
-    met = outside.join(inside, "bucket").where((F.col("c") != F.col("c2")) & _plausible(similarity) & either & once)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _around(members: DataFrame, source: DataFrame, shingle: int, similarity: int):
+    """(links, candidates): pairs ``a, b`` of different components in one bucket, certain ones and those to verify.
+
+    Buckets with the same random class of their commonest component make a group. Its centre is the set of what more
+    than half of its classes hold, and a class is told by its ``d`` differences from the centre. With
+    ``far = (100 + similarity) d - (100 - similarity) n`` two classes
+
+    * are linked for certain if their ``far`` add up to 0 or less: one link to the class of the least ``far`` stands for
+      all of these;
+    * else are linked if and only if they share at least ``(far + far') / (2 (100 + similarity))`` differences, one or more.
+      By the prefix principle they then share one of their rarest, in one order of all; how many count follows
+      from ``far`` and the least ``far`` of the partner's stratum.
+
+    So copies that differ from the centre in places of their own never meet, and no link is left out.
+    """
+    weight, slack = 100 + similarity, 100 - similarity
+    sizes = members.groupBy("bucket", "component").agg(
+        F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", F.lit(PIVOTS)).alias("h"), "id")).alias("least"))
+    pivots = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "least")).alias("most")).select(
+        "bucket", F.col("most.least.id").alias("p"))
+    near = materialize(members.join(pivots, "bucket").select("p", "id", "component").distinct(), "near-around")
+    sets = materialize(_sets(source, near.select("id").distinct(), shingle), "near-sets")
+    apart = near.join(sets.withColumnRenamed("elements", "x"), "id").join(
+        sets.select(F.col("id").alias("p"), F.col("elements").alias("y")), "p").select(
+        "p", "id", "component", F.size("x").cast("long").alias("n"), _difference("x", "y").alias("e"))
+    apart = materialize(apart, "near-apart")
+    # from the pivot to the centre: what more than half of the group has otherwise
+    usual = apart.select("p", F.explode("e").alias("e")).groupBy("p", "e").agg(F.count("*").alias("times")).join(
+        near.groupBy("p").agg(F.count("*").alias("size")), "p").where("2 * times > size")
+    usual = usual.groupBy("p").agg(F.collect_list("e").alias("u"))
+    apart = apart.join(usual, "p", "left").withColumn("e", F.when(F.col("u").isNull(), F.col("e")).otherwise(_difference("e", "u")))
+    far = weight * F.size("e").cast("long") - slack * F.col("n")
+    finer = F.floor(4 * F.log2(1 + F.col("far") / (4 * weight))).cast("int") + 1
+    apart = apart.drop("u").withColumn("far", far).withColumn("k", F.when(F.col("far") <= 0, 0).otherwise(finer))
+    apart = materialize(apart, "near-told")
+
+    least = apart.groupBy("p").agg(F.min(F.struct("far", "id", "component")).alias("o"))
+    certain = apart.join(least, "p").where("far + o.far <= 0 AND id <> o.id AND component <> o.component").select(
+        F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+
+    each = apart.select("p", "id", F.explode("e").alias("e"))
+    shared = each.groupBy("p", "e").agg(F.count("*").alias("times")).where("times > 1")
+    found = each.join(shared, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("times", "e")))["e"].alias("found"))
+    strata = apart.groupBy("p", "k").agg(F.min("far").alias("least")).groupBy("p").agg(F.collect_list(F.struct("k", "least")).alias("strata"))
+    ranked = apart.withColumn("d", F.size("e")).drop("e").join(found, ["p", "id"]).join(strata, "p").select(
+        "p", "id", "component", "far", "d", "k", "found", F.explode("strata").alias("other")).where("k > 0 OR other.k > 0")
+    common = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("other.least")) / (2 * weight)))
+    # differences of one class alone come first in the order: they take places, but meet nothing
+    places = F.greatest(F.lit(0), F.size("found") - common + 1).cast("int")
+    ranked = ranked.select("p", "id", "component", "far", "k", F.col("other.k").alias("l"), F.size("found").alias("rest"),
+                           F.posexplode(F.slice("found", F.lit(1), places)).alias("place", "e"))
+    ranked = materialize(ranked.withColumn("rest", F.col("rest") - F.col("place")).drop("place"), "near-ranked")
+    partners = ranked.select("p", "e", F.col("k").alias("l"), F.col("l").alias("k"), F.col("id").alias("b"), F.col("component").alias("c"),
+                             F.col("far").alias("far2"), F.col("rest").alias("rest2"))
+    enough = 2 * weight * F.least("rest", "rest2") >= F.col("far") + F.col("far2")  # true of the first that a linked pair shares
+    met = ranked.where("k <= l").join(partners, ["p", "e", "k", "l"]).where("component <> c AND (k < l OR id < b)").where(enough)
+    return certain, materialize(met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "near-candidates")
+
+
+def _difference(one: str, other: str):
+    """What only one of two arrays holds."""
+    return F.concat(F.array_except(one, other), F.array_except(other, one))
 
 
 def drop_copies(docs: DataFrame, text="text", key="doc_id", shingle=SHINGLE, similarity=SIMILARITY) -> DataFrame:
-    """The documents without those that are not the smallest id of their group."""
-    gone = materialize(group(docs, text, key, shingle, similarity).where("NOT kept").select(key).distinct(), "near-gone")
-    return join_small(docs, gone, key, "left_anti")
+    """One row of each group: that of its smallest id.
+
+    Of rows that repeat with an id one stays, chosen by a hash of its text. Rows without an id are documents of their own,
+    grouped with all others, and go before one with an id does. Rows without words are grouped with nothing and all stay.
+    Ids are whole numbers below 2^62.
+    """
+    keys = docs.select(F.col(f"`{key}`").alias("k"), _worded(F.col(f"`{text}`")).alias("worded")).where("worded").groupBy("k").agg(
+        F.count("*").alias("rows")).agg(F.max("k"), F.max("rows"), F.max(F.col("k").isNull()))
+    top, rows, nameless = keys.first()
+    if rows is None:
+        return docs
+    if rows == 1 and not nameless:
+        gone = group(docs, text, key, shingle, similarity).where(~F.col("kept")).select(F.col(key))
+        return _without(docs, gone, key)
+    # rows are numbered once and read many times
+    whole = materialize(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"),
+                                    F.monotonically_increasing_id().alias("__place")), "near-numbered")
+    given = F.col("__row").getField(key)
+    marked = whole.withColumn("__text", F.col("__row").getField(text))
+    marked = marked.withColumn("__key", F.when(_worded(F.col("__text")), F.coalesce(given, F.col("__place") + F.lit((top or 0) + 1))))
+    first = F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__place").alias("first"))).alias("least")
+    several = marked.where("__key IS NOT NULL").groupBy("__key").agg(first, F.count("*").alias("rows")).where("rows > 1")
+    several = materialize(several.select("__key", "least.first"), "near-doubled")
+    spare = materialize(join_small(marked, several, "__key").where("__place <> first").select("__place"), "near-spare")
+    single = join_small(marked, spare, "__place", "left_anti")
+    gone = group(single, "__text", "__key", shingle, similarity).where("NOT kept").select("__key")
+    return _without(single, gone, "__key").select("__row.*")
+
+
+def _worded(text):
+    """Does a text hold a word?"""
+    return F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return join_small(docs, materialize(gone.distinct(), "near-gone"), key, "left_anti")
