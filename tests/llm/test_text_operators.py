@@ -308,20 +308,37 @@ def test_joined_counts_give_the_same(spark):
     assert lm_score.score(docs.where("false"), docs).count() == 0
 
 
-def test_filter_is_never_too_low(spark):
+def test_filter_is_never_too_low():
     rnd = random.Random(2)
     rows = [(k, rnd.getrandbits(39), rnd.randint(1, 12)) for k in (1, 2, 3) for _ in range(700)]
-    filled = spark.createDataFrame(rows, "kind int, gram bigint, level int")
-    bits, lowest = lm_score.build(filled)
+    kind, gram, level = (np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.uint64, np.int64)))
+    bits = lm_score.fill(kind.astype(np.uint64), gram, level)
     found = lm_score.Filter(bits)
     over = 0
     for kind, gram, level in rows:
         got = found.level(kind, np.array([gram], np.uint64))[0]
         assert got >= level
         over += got > level
-    assert lowest == 1 and over < 0.06 * len(rows)
-    small, lowest = lm_score.build(filled, max_bytes=lm_score.MAX_BYTES >> 10)
-    assert len(small) <= lm_score.MAX_BYTES >> 10 and lowest >= 1
+    assert over < 0.06 * len(rows) and len(bits) <= lm_score.MAX_BYTES >> 10
+    foreign = np.random.default_rng(3).integers(2**40, 2**63, 400_000).astype(np.uint64)
+    assert (found.level(lm_score.PAIR, foreign) > 0).mean() < 2e-4
+
+
+def test_chances_add_up(spark, texts):
+    """The chances of all words after one context, whatever its count, add up to 1 but for the steps of quantised counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bits = lm_score.place_bits(docs)
+    made = lm_score.gather(docs, bits)
+    found, (gram, n) = lm_score.Filter(*lm_score._whole(made, bits)), lm_score._exact(made)
+    gram, n = np.frombuffer(gram, np.uint64), np.frombuffer(n, np.int64)
+    level = found.level(lm_score.WORD, gram)
+    uses, mass = lm_score._count_of(level), n.sum() + len(n) + 1
+    for least in (8, 35, 163, 651, 5000):
+        for at in np.argsort(np.abs(n - least))[:3]:
+            met = np.minimum(found.level(lm_score.PAIR, lm_score._pair(np.full(len(gram), gram[at]), gram)), np.minimum(level, level[at]))
+            paired = np.minimum((1 - lm_score.DISCOUNT) * lm_score._count_of(met) / uses[at], 1 - lm_score.DISCOUNT)
+            chances = (paired + lm_score.DISCOUNT * (uses + 1) / mass).sum()
+            assert 0.5 < chances <= 1.25, (n[at], chances)
 
 
 def test_scores_do_not_depend_on_the_place_of_the_filter(spark):

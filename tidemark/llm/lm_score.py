@@ -9,9 +9,12 @@ A token's probability interpolates the two orders: of the mass of a context that
 the pairs in proportion to their counts, all else to the smoothed word probability ``(c + 1) / (N + V + 1)``. As no
 pair is left out, the counts of a context's pairs add up to its own.
 
-The filter has 8 bits an entry, however many there are, and is built in segments, each in a task of its own. Up to
-``MAX_BYTES`` it is broadcast. Beyond, the texts are written in chunks, the n-grams of each chunk go to the segments that
-hold them, and their levels come back to the chunk; both ways probe the same bits, so scores do not depend on the way.
+N-grams are placed by the upper bits of their hashes, about ``PLACE_BYTES`` of training text to a place, and go there in
+one shuffle, sorted and packed. The place's task adds up their counts and fills the place's part of the filter, ``BITS_PER_ENTRY``
+bits an entry however many there are. Up to ``MAX_BYTES`` the filter is broadcast. Beyond, the texts are written in chunks,
+the n-grams of each chunk go to their places, and levels alone, one byte each in the order asked, come back to the
+chunk; both ways probe the same bits, so scores do not depend on the way. A foreign n-gram is found with a chance of about
+4e-5, and no pair counts for more than either of its words.
 
 ``base_score`` takes exact counts of words. Up to ``MAX_WORDS`` distinct words they are a broadcast of 16 bytes each;
 beyond, the words of all texts are joined with them. Words and pairs are told by 64-bit hashes.
@@ -34,11 +37,11 @@ from tidemark.session import materialize
 
 BASE = 1.5
 DISCOUNT = 0.3
-PROBES = 4
-BITS_PER_ENTRY = 8
+PROBES = 8
+BITS_PER_ENTRY = 24
 SEGMENT_BITS = 19
-SPAN = 64  # most segments that a task holds when n-grams come to the filter
-ASKED = 2_048  # n-grams in one row on their way to the filter
+PLACE_BYTES = 16 << 20
+PACKED = 2_048  # n-grams in one row on their way to a place
 MAX_BYTES = 64 << 20
 MAX_WORDS = 6_000_000
 
@@ -84,73 +87,153 @@ def _pair(before, now):
     return _mix(_mix(before + _M1) ^ now)
 
 
-def counts(docs: DataFrame, text="text") -> DataFrame:
-    """``kind, gram, n`` of words and pairs; written."""
-    schema = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+def _place(gram, bits: int):
+    """The upper ``bits`` bits."""
+    return (gram >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
+
+
+def _packed(numbers) -> bytes:
+    """Eight planes of bytes: those that are all zero vanish in a compressed shuffle."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(body: bytes):
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _pieces(gram, bits: int):
+    """(place, begin, end, packed differences) of at most ``PACKED`` of the sorted n-grams, all of one place."""
+    place = _place(gram, bits)
+    begins = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place)).tolist()
+    for begin, end in zip(begins, begins[1:]):
+        for lo in range(begin, end, PACKED):
+            hi = min(lo + PACKED, end)
+            yield int(place[lo]), lo, hi, _packed(np.diff(gram[lo:hi], prepend=_U(0)))
+
+
+def _grams_of(body: bytes):
+    return np.cumsum(_unpacked(body), dtype=np.uint64)
+
+
+def place_bits(docs: DataFrame, text="text") -> int:
+    """Bits that tell places, from the size of the training texts."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(0, (-(-size // PLACE_BYTES) - 1).bit_length())
+
+
+MADE = fields(place="int", segment="int", segments="int", bits="binary", grams="binary", counts="binary", total="bigint", distinct="bigint")
+
+
+def gather(docs: DataFrame, bits: int, text="text") -> DataFrame:
+    """One row for each segment of the filter; a place's first one also holds exact counts of its words. Written."""
+    schema = pa.schema([("place", pa.int32()), ("kind", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def summed(kind, held):
         gram, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind, np.int32)),
-                                           pa.array(gram.view(np.int64)), pa.array(n)], schema=schema)
+        found = [(place, kind, body, _packed(n[lo:hi])) for place, lo, hi, body in _pieces(gram, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     def run(batches):
-        words, pairs, size = [], [], 0
+        held, size = ([], []), 0
         for batch in batches:
             for part in chunks(batch, 0):
                 now, before, _ = tokens(part.column(0).to_pylist())
-                words.append(now)
-                pairs.append(_pair(before, now))
+                held[0].append(now)
+                held[1].append(_pair(before, now))
                 size += len(now)
                 if size >= _HELD:
-                    yield summed(WORD, words)
-                    yield summed(PAIR, pairs)
-                    words, pairs, size = [], [], 0
+                    yield summed(WORD, held[0])
+                    yield summed(PAIR, held[1])
+                    held, size = ([], []), 0
         if size:
-            yield summed(WORD, words)
-            yield summed(PAIR, pairs)
+            yield summed(WORD, held[0])
+            yield summed(PAIR, held[1])
+
+    def total(held):
+        if not held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        gram, n = np.concatenate([_grams_of(g) for g, _ in held]), np.concatenate([_unpacked(c).view(np.int64) for _, c in held])
+        order = np.argsort(gram, kind="stable")
+        gram, n = gram[order], n[order]
+        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        return gram[begins], np.add.reduceat(n, begins)
+
+    def finished(place, held):
+        (words, times), (pairs, met) = total(held[WORD]), total(held[PAIR])
+        found = fill(np.repeat([WORD, PAIR], [len(words), len(pairs)]), np.append(words, pairs), _level(np.append(times, met)))
+        width = 2 ** (SEGMENT_BITS - 3)
+        for segment in range(len(found) // width):
+            first = segment == 0
+            yield (place, segment, len(found) // width, found[segment * width:(segment + 1) * width], words.tobytes() if first else None,
+                   times.tobytes() if first else None, int(times.sum()) if first else 0, len(words) if first else 0)
+
+    made_schema = pa.schema([(f.name, a) for f, a in zip(MADE.fields, [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.int64()] * 2)])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), made_schema)], schema=made_schema)
+
+    def build(batches):
+        place, held = None, {WORD: [], PAIR: []}
+        for batch in batches:
+            for at, kind, grams, times in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != place:
+                    if place is not None:
+                        yield batch_of(list(finished(place, held)))
+                    place, held = at, {WORD: [], PAIR: []}
+                held[kind].append((grams, times))
+        if place is not None:
+            yield batch_of(list(finished(place, held)))
 
+    limit_batches(docs.sparkSession)
     texts = docs.select(F.col(text).cast("binary").alias("text"))
-    found = texts.mapInArrow(run, fields(kind="int", gram="bigint", n="bigint"))
-    return materialize(found.groupBy("kind", "gram").agg(F.sum("n").alias("n")), "lm-counts")
+    sent = texts.mapInArrow(run, fields(place="int", kind="int", grams="binary", counts="binary"))
+    return materialize(sent.repartition("place").sortWithinPartitions("place").mapInArrow(build, MADE), "lm-filter")
 
 
 def _level(n):
     """Quantised count."""
-    return (F.floor(F.log(BASE, F.col(n)) + 1e-9) + 1).cast("int")
+    return (np.floor(np.log(n) / np.log(BASE) + 1e-9) + 1).astype(np.int64)
 
 
 def _count_of(level):
     return np.where(level > 0, BASE ** (level - 1.0) * (1 + BASE) / 2 - (BASE - 1) / 2 * (level == 1), 0.0)
 
 
-def levels(grams: DataFrame) -> DataFrame:
-    """``kind, gram, level`` of everything that goes into the filter."""
-    return grams.select("kind", "gram", _level("n").alias("level"))
-
-
-def _key(kind: int, gram: np.ndarray):
-    return _mix(gram + _U(kind * int(_M1) % 2**64))
+def _key(kind, gram: np.ndarray):
+    return _mix(gram + np.atleast_1d(np.asarray(kind, np.uint64)) * _M1)
 
 
 def _bit(key, level, probe):
     return _mix(key + _U((level * PROBES + probe) * int(_M2) % 2**64)) & _U(2**SEGMENT_BITS - 1)
 
 
+def fill(kind, gram, level) -> bytes:
+    """The filter's bits for n-grams of one place, in whole segments."""
+    segments = -(-int(level.sum()) * BITS_PER_ENTRY >> SEGMENT_BITS)
+    bits = np.zeros(segments << SEGMENT_BITS, np.uint8)
+    key = _key(kind, gram)
+    base = (key % _U(max(1, segments))) << _U(SEGMENT_BITS)
+    for own in range(1, int(level.max(initial=0)) + 1):
+        among = level >= own
+        for probe in range(PROBES):
+            bits[base[among] | _bit(key[among], own, probe)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 class Filter:
-    """Probes; ``bits`` is the bytes of segments that follow one another, by default of all, else from ``first``."""
+    """Probes of places that follow one another; ``starts`` has each one's first segment, and the end."""
 
-    def __init__(self, bits, segments=None, first=0):
+    def __init__(self, bits, starts=None, place_bits=0):
         self.bits = np.frombuffer(bits, np.uint8)
-        self.segments = len(bits) >> (SEGMENT_BITS - 3) if segments is None else segments
-        self.first = first
+        self.starts = np.array([0, len(bits) >> (SEGMENT_BITS - 3)] if starts is None else starts, np.uint64)
+        self.place_bits = place_bits
 
     def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
-        key = _key(kind, grams)
         found = np.zeros(len(grams), np.int64)
-        if not self.segments:
-            return found
-        base = (key % _U(self.segments) - _U(self.first)) << _U(SEGMENT_BITS)
-        alive, level = np.arange(len(grams)), 0
+        key, place = _key(kind, grams), _place(grams, self.place_bits)
+        own = self.starts[place + 1] - self.starts[place]
+        base = (self.starts[place] + key % np.maximum(own, _U(1))) << _U(SEGMENT_BITS)
+        alive, level = np.flatnonzero(own), 0
         while len(alive):
             level += 1
             for probe in range(PROBES):
@@ -160,52 +243,30 @@ class Filter:
         return found
 
 
-class Spread:
-    """A filter too large for a broadcast: the number of its segments, and the written ``segment, bits``."""
+def _whole(made: DataFrame, bits: int) -> tuple:
+    """What a ``Filter`` of all places is made of."""
+    found = {(r.place, r.segment): bytes(r.bits) for r in made.select("place", "segment", "bits").toLocalIterator()}
+    sizes = np.bincount([place for place, _ in found], minlength=2**bits) if found else np.zeros(2**bits, np.int64)
+    return b"".join(found[at] for at in sorted(found)), np.append(0, np.cumsum(sizes)), bits
 
-    def __init__(self, segments: int, rows: DataFrame):
-        self.segments, self.rows = segments, rows
 
+def _exact(made: DataFrame):
+    """Sorted hashes and counts of words, as bytes."""
+    rows = [(bytes(r.grams), bytes(r.counts)) for r in made.where("segment = 0").select("grams", "counts").toLocalIterator()]
+    gram, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows), (np.uint64, np.int64)))
+    order = np.argsort(gram)
+    return gram[order].tobytes(), n[order].tobytes()
 
-def build(filled: DataFrame, max_bytes=MAX_BYTES):
-    """(the filter, the lowest level in it, which is 1 at every size); bytes up to ``max_bytes``, else a ``Spread``."""
-    entries = filled.agg(F.sum("level")).first()[0] or 0
-    segments = -(-entries * BITS_PER_ENTRY >> SEGMENT_BITS)
-    if not segments:
-        return b"", 1
-    schema = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("gram", pa.int64()), ("level", pa.int32())])
 
-    def placed(batches):
+def _words(made: DataFrame) -> DataFrame:
+    """``gram, n`` of all words."""
+    def run(batches):
         for batch in batches:
-            kind, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            segment = _mix(gram + kind.astype(np.uint64) * _M1) % _U(segments)
-            yield pa.RecordBatch.from_arrays([pa.array(segment.astype(np.int32)), *batch.columns], schema=schema)
-
-    def filled_segment(table):
-        kind, gram = table["kind"].to_numpy(), table["gram"].to_numpy().view(np.uint64)
-        key, top = _mix(gram + kind.astype(np.uint64) * _M1), table["level"].to_numpy()
-        bits = np.zeros(2**SEGMENT_BITS, np.uint8)
-        for level in range(1, int(top.max()) + 1):
-            own = key[top >= level]
-            for probe in range(PROBES):
-                bits[_bit(own, level, probe)] = 1
-        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
-
-    numbered = filled.select("kind", "gram", "level").mapInArrow(
-        placed, fields(segment="int", kind="int", gram="bigint", level="int"))
-    made = numbered.groupBy("segment").applyInArrow(filled_segment, fields(segment="int", bits="binary"))
-    if segments << (SEGMENT_BITS - 3) > max_bytes:
-        return Spread(segments, materialize(made, "lm-filter")), 1
-    found = {r.segment: bytes(r.bits) for r in made.toLocalIterator()}
-    return b"".join(found.get(i, bytes(2 ** (SEGMENT_BITS - 3))) for i in range(segments)), 1
-
-
-def _exact(words: DataFrame):
-    """Sorted hashes and counts, as bytes."""
-    table = words.select("gram", "n").toArrow()
-    gram = table["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(gram)
-    return gram[order].tobytes(), table["n"].to_numpy()[order].tobytes()
+            for gram, n in zip(*[c.to_pylist() for c in batch.columns]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(gram, np.int64)), pa.array(np.frombuffer(n, np.int64))],
+                                                 names=["gram", "n"])
+
+    return made.where("segment = 0").select("grams", "counts").mapInArrow(run, fields(gram="bigint", n="bigint"))
 
 
 class Model:
@@ -213,7 +274,7 @@ class Model:
 
     def __init__(self, total, distinct, bits, exact):
         self.total, self.distinct = total, distinct
-        self.filter = Filter(bits)
+        self.filter = bits and Filter(*bits)
         self.exact = exact and (np.frombuffer(exact[0], np.uint64), np.frombuffer(exact[1], np.int64))
 
     def score(self, texts: list, found=None):
@@ -235,14 +296,16 @@ class Model:
             n = np.where(self.exact[0][at] == words, self.exact[1][at], 0)
             known = np.add.reduceat((n > 0)[where].astype(np.int64), begins)
             base = np.add.reduceat(np.log10((n + 1) / mass)[where], begins)
-        uses = _count_of(found.level(WORD, words))
-        context = uses[np.roll(where, 1)]
+        top = found.level(WORD, words)
+        uses, before_top = _count_of(top), top[np.roll(where, 1)]
+        context = _count_of(before_top)
         share = np.where(context > 0, 1 - DISCOUNT, 0.0)
         seen = np.flatnonzero(context > 0)
         met = np.zeros(len(now))
         if len(seen):
             pairs, back = np.unique(_pair(before[seen], now[seen]), return_inverse=True)
-            met[seen] = _count_of(found.level(PAIR, pairs))[back]
+            most = np.minimum(top[where[seen]], before_top[seen])
+            met[seen] = _count_of(np.minimum(found.level(PAIR, pairs)[back], most))
         paired = np.minimum((1 - DISCOUNT) * met / np.maximum(context, 1), share)
         chance = paired + (1 - share) * ((uses + 1) / mass)[where]
         return sizes, known, base, np.add.reduceat(np.log10(np.minimum(chance, 1)), begins)
@@ -265,121 +328,119 @@ def score(docs: DataFrame, training: DataFrame, text="text", keep=None, max_byte
     """Adds ``n_tokens, n_known, base_score, score, train_tokens``; columns so named are replaced."""
     spark = docs.sparkSession
     keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), ["train_tokens"])
-    grams = counts(training, text)
-    words = grams.where(F.col("kind") == WORD)
-    distinct, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    built, _ = build(levels(grams), max_bytes)
-    spread = built if isinstance(built, Spread) else None
-    exact = _exact(words) if 0 < distinct <= max_words else None
-    shared = spark.sparkContext.broadcast((total, distinct, b"" if spread else built, exact))
+    bits = place_bits(training, text)
+    made = gather(training, bits, text)
+    total, distinct, segments = made.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct")], F.count("*")).first()
+    spread = segments << (SEGMENT_BITS - 3) > max_bytes
+    exact = _exact(made) if 0 < distinct <= max_words else None
+    shared = spark.sparkContext.broadcast((total, distinct, None if spread else _whole(made, bits), exact))
     name = uuid.uuid4().hex
     compute = lambda texts, found=None: list(_model(name, shared).score(texts, found))
 
     def extended(added, compute):
         if spread:
-            return _looked_up(docs, spread, added, compute, text, keep)
+            return _looked_up(docs, made, bits, added, compute, text, keep)
         return extend(docs, added, compute, text, keep)
 
     if exact or not total:
         scored = extended(SCORED, compute)
     else:
-        scored = _joined(docs, words, total + distinct + 1, compute, text, extended)
+        scored = _joined(docs, _words(made), total + distinct + 1, compute, text, extended)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 class Levels:
-    """Levels that the filter's tasks found for the n-grams of one chunk of texts."""
+    """Levels that the filter's places found for the n-grams of one chunk of texts."""
 
-    def __init__(self, kinds: list, grams: list, levels: list):
-        self.known = {}
-        for kind in set(kinds):
-            gram = np.frombuffer(b"".join(g for k, g in zip(kinds, grams) if k == kind), np.uint64)
-            level = np.frombuffer(b"".join(n for k, n in zip(kinds, levels) if k == kind), np.uint8)
-            order = np.argsort(gram)
-            self.known[kind] = gram[order], level[order]
+    def __init__(self, grams: dict, levels: dict):
+        self.grams, self.levels = grams, levels
 
     def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
-        gram, level = self.known[kind]
-        return level[np.searchsorted(gram, grams)].astype(np.int64)
+        return self.levels[kind][np.searchsorted(self.grams[kind], grams)].astype(np.int64)
 
 
-def _grams(texts: list):
-    """All that scoring the texts asks the filter for: (kind, distinct n-grams)."""
+def _grams(texts: list) -> dict:
+    """All that scoring the texts asks the filter for: sorted distinct n-grams of each kind."""
     now, before, _ = tokens(texts)
-    return (WORD, np.unique(now)), (PAIR, np.unique(_pair(before, now)))
+    return {WORD: np.unique(now), PAIR: np.unique(_pair(before, now))}
 
 
-def _looked_up(docs, spread: Spread, added, compute, text, keep):
-    """As ``extend``, for a filter that is not broadcast: ``compute`` takes the texts of a chunk and their ``Levels``."""
+def _looked_up(docs, made: DataFrame, bits: int, added, compute, text, keep):
+    """As ``extend``, for a filter that is not broadcast: ``compute`` takes the texts of a run and their ``Levels``.
+
+    A run is the part of a chunk that stands in one batch when n-grams are asked. What comes back is told by the run's
+    first row and number of rows, and by the place in its sorted n-grams, which are found again from its texts.
+    """
     limit_batches(docs.sparkSession)
     keep = others(docs.select(*[f"`{c}`" for c in keep]), added.names)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("binary").alias("__text"))
-    segments, last = spread.segments, 2**31 - 1
-    span = max(1, min(SPAN, segments // 16))
+    given = [f"__k{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(text).cast("binary").alias("__text"))
 
     def chunked(batches):
         for batch in batches:
             for part in chunks(batch, len(keep), ARROW_ROWS):
                 own = pa.array(np.full(part.num_rows, int.from_bytes(os.urandom(8)) >> 1))
-                yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*keep, "__text", "__chunk"])
+                yield pa.RecordBatch.from_arrays([*part.columns, own, pa.array(np.arange(part.num_rows))],
+                                                 names=[*given, "__text", "__chunk", "__at"])
 
     # chunks are numbered at random, so they are written once and read twice
-    rows = materialize(source.mapInArrow(chunked, T.StructType([*source.schema.fields, *fields(__chunk="bigint")])), "lm-texts")
+    rows = materialize(source.mapInArrow(chunked, T.StructType([*source.schema.fields, *fields(__chunk="bigint", __at="bigint")])), "lm-texts")
 
-    asked_fields = fields(place="int", segment="int", chunk="bigint", kind="int", body="binary")
-    names = asked_fields.names
+    asked_fields = fields(place="int", segment="int", chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", body="binary")
+    asked_schema = pa.schema([(n, t) for n, t in zip(asked_fields.names, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()])])
+    last = 2**31 - 1  # after all segments of the place
 
     def asked(batches):
         for batch in batches:
-            chunk = batch.column(1).to_numpy()
-            for at in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1):
-                if not len(at):
+            chunk, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for run in np.split(np.arange(len(chunk)), np.flatnonzero((np.diff(chunk) != 0) | (np.diff(at) != 1)) + 1):
+                if not len(run):
                     continue
-                for kind, grams in _grams(batch.column(0).slice(at[0], len(at)).to_pylist()):
-                    place = (_key(kind, grams) % _U(segments) // _U(span)).astype(np.int32)
-                    order = np.argsort(place, kind="stable")
-                    grams, place = grams[order], place[order]
-                    begins = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
-                    cuts = [(lo, min(lo + ASKED, end)) for begin, end in zip(begins, begins[1:]) for lo in range(begin, end, ASKED)]
-                    n = len(cuts)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([place[lo] for lo, _ in cuts], pa.int32()), pa.array(np.full(n, last, np.int32)),
-                        pa.array(np.full(n, chunk[at[0]])), pa.array(np.full(n, kind, np.int32)),
-                        pa.array([grams[lo:hi].tobytes() for lo, hi in cuts], pa.binary())], names=names)
-
-    bits = spread.rows.select(F.floor(F.col("segment") / span).cast("int").alias("place"), "segment",
-                              F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("kind"),
-                              F.col("bits").alias("body"))
-    together = bits.unionByName(rows.select("__text", "__chunk").mapInArrow(asked, asked_fields))
-    size = 2 ** (SEGMENT_BITS - 3)
+                texts = batch.column(0).slice(run[0], len(run)).to_pylist()
+                found = [(place, last, int(chunk[run[0]]), int(at[run[0]]), len(run), kind, lo, body)
+                         for kind, gram in _grams(texts).items() for place, lo, _, body in _pieces(gram, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), asked_schema)], schema=asked_schema)
+
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked_fields.fields[2:-1]]
+    filled = made.select("place", "segment", *nothing, F.col("bits").alias("body"))
+    together = filled.unionByName(rows.select("__text", "__chunk", "__at").mapInArrow(asked, asked_fields))
+    answer = fields(chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", levels="binary")
 
     def answered(batches):
-        held, own = None, None
+        held, own, probes = None, [], None
         for batch in batches:
-            made = []
-            for place, segment, chunk, kind, body in zip(*[c.to_pylist() for c in batch.columns]):
+            found = []
+            for place, segment, chunk, first, size, kind, begin, body in zip(*[c.to_pylist() for c in batch.columns]):
                 if place != held:
-                    held, own = place, bytearray(span * size)
+                    held, own, probes = place, [], None
                 if segment != last:
-                    at = (segment - place * span) * size
-                    own[at:at + size] = body
+                    own.append(body)
                     continue
-                level = Filter(own, segments, place * span).level(kind, np.frombuffer(body, np.uint64))
-                made.append((chunk, kind, body, np.minimum(level, 255).astype(np.uint8).tobytes()))
-            if made:
-                chunk, kind, body, level = zip(*made)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(body, pa.binary()),
-                                                  pa.array(level, pa.binary())], names=["chunk", "kind", "grams", "levels"])
-
-    found = together.repartition("place").sortWithinPartitions("place", "segment").mapInArrow(
-        answered, fields(chunk="bigint", kind="int", grams="binary", levels="binary"))
+                if probes is None:
+                    probes, own = Filter(b"".join(own)), []
+                level = probes.level(kind, _grams_of(body))
+                found.append((chunk, first, size, kind, begin, np.minimum(level, 255).astype(np.uint8).tobytes()))
+            if found:
+                kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=answer.names)
+
+    found = together.repartition("place").sortWithinPartitions("place", "segment").mapInArrow(answered, answer)
     schema = T.StructType([*source.schema.fields[:-1], *added.fields])
 
-    def finished(own, levels):
-        values = compute(own["__text"].to_pylist(), Levels(*[levels[c].to_pylist() for c in ("kind", "grams", "levels")]))
-        return pa.Table.from_arrays([*[own[c] for c in keep], *arrow_arrays(values, added)], names=schema.names)
-
-    return rows.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(finished, schema)
+    def finished(own, answers):
+        own, answers = own.sort_by("__at"), answers.sort_by([("first", "ascending"), ("kind", "ascending"), ("begin", "ascending")])
+        first, size, kind, levels = (answers[c].to_pylist() for c in ("first", "size", "kind", "levels"))
+        parts = []
+        for begin, rows in sorted(set(zip(first, size))):
+            part = own.slice(begin, rows)
+            texts = part["__text"].to_pylist()
+            bodies = {k: b"".join(x for at, of, x in zip(first, kind, levels) if (at, of) == (begin, k)) for k in (WORD, PAIR)}
+            values = compute(texts, Levels(_grams(texts), {k: np.frombuffer(x, np.uint8) for k, x in bodies.items()}))
+            parts.append(pa.Table.from_arrays([*[part[c] for c in given], *arrow_arrays(values, added)], names=schema.names))
+        return pa.concat_tables(parts)
+
+    scored = rows.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(finished, schema)
+    return scored.select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *[f"`{c}`" for c in added.names])
 
 
 def _digests(texts):
