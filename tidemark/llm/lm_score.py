@@ -215,8 +215,9 @@ def fill(kind, gram, level) -> bytes:
     base = (key % _U(max(1, segments))) << _U(SEGMENT_BITS)
     for own in range(1, int(level.max(initial=0)) + 1):
         among = level >= own
+        base, key, level = base[among], key[among], level[among]
         for probe in range(PROBES):
-            bits[base[among] | _bit(key[among], own, probe)] = 1
+            bits[base | _bit(key, own, probe)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
