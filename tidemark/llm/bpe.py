@@ -47,9 +47,10 @@ class Coder:
         self._inner = _by_line(BPE(vocab=model["vocab"], merges=merges))
         self._last = (_by_line(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix)) if suffix
                       else self._inner)
-        self._names = {i: t.encode() for t, i in self._whole.get_vocab(with_added_tokens=True).items()}
         self._special = [t["content"] for t in layout["added_tokens"]]
         self._decoder = layout["decoder"] is not None
+        names = {} if self._decoder else self._whole.get_vocab(with_added_tokens=True)
+        self._names = {i: t.encode() for t, i in names.items()}
         probe = [self._whole.encode(x, add_special_tokens=False).ids for x in ("a \t\n\x0b\x0c\r b", "a", "b")]
         self._drops_space = probe[0] == probe[1] + probe[2] and not any(t != "".join(t.split()) for t in self._special)
         self._of_word: dict = {}

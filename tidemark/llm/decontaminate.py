@@ -15,7 +15,7 @@ earlier ones found.
 import re
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.rows import ALNUM, CHUNK, alnum_words, extend, fields, others
 from tidemark.session import materialize
@@ -189,30 +189,36 @@ def _union(spans) -> list:
 
 FOUND = fields(n_words="bigint", n_hit="bigint", item_ids="array<string>", longest_match="bigint",
                hit_spans="array<array<bigint>>", contaminated="boolean")
+CLEANED = T.StructType([*FOUND.fields, *fields(__clean="binary").fields])  # the text without its hit spans
 
 
 def find(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_text="text", window=WINDOW,
          coverage=COVERAGE, keep=None) -> DataFrame:
     """Adds ``n_words``, ``n_hit``, ``item_ids`` (sorted), ``longest_match``, ``hit_spans`` (word positions, the end
     excluded) and ``contaminated``; columns so named are replaced."""
+    return _find(docs, items, text, item, item_text, window, coverage, keep, FOUND)
+
+
+def _find(docs, items, text, item, item_text, window, coverage, keep, added) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), FOUND.names)
+    keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), added.names)
     rows, source, more = docs, text, ()
     passes = _passes(_blocks(items, item, item_text))
     blocks = next(passes)
     while blocks is not None:
         following = next(passes, None)
-        compute = _scanner(context.broadcast(blocks), uuid.uuid4().hex, window, coverage)
+        last = following is None
+        compute = _scanner(context.broadcast(blocks), uuid.uuid4().hex, window, coverage, last and added is CLEANED)
         chunk = CHUNK if len(blocks) == 1 else 8 * CHUNK  # each further block is built anew for each chunk
-        if following is None:
-            return extend(rows, FOUND, compute, source, keep, more, chunk)
+        if last:
+            return extend(rows, added, compute, source, keep, more, chunk)
         # Another pass: the text goes along, and what is found then joins what is found now.
         rows = rows.select("*", F.col(source).alias("__again")) if source != "__again" else rows
         rows = materialize(extend(rows, FOUND, compute, source, [*keep, "__again"], more, chunk), "decontaminate")
         source, more, blocks = "__again", ("item_ids", "longest_match", "hit_spans"), following
 
 
-def _scanner(shared, name, window, coverage):
+def _scanner(shared, name, window, coverage, cut_out):
     def compute(texts, *found):
         cut = [alnum_words(t) for t in texts]
         rows = [(set(ids), longest, spans) for ids, longest, spans in zip(*found)] or [(set(), 0, [])] * len(cut)
@@ -223,7 +229,10 @@ def _scanner(shared, name, window, coverage):
                 if longest:
                     ids, most, known = rows[i]
                     rows[i] = ids | items, max(most, longest), _union([*known, *spans])
-        return list(zip(*[_judge(words, *row, coverage) for words, row in zip(cut, rows)]))
+        judged = [_judge(words, *row, coverage) for words, row in zip(cut, rows)]
+        if cut_out:
+            judged = [(*row, None if row[-1] else _without(raw, row[4])) for raw, row in zip(texts, judged)]
+        return list(zip(*judged))
 
     return compute
 
@@ -235,34 +244,37 @@ def _judge(words, items, longest, spans, coverage):
 
 def remove_spans(text: str | None, spans) -> str | None:
     """The text without the words of the spans and what stands between them; the rest is kept as it is."""
+    return _without(text.encode(), spans).decode() if spans else text
+
+
+def _without(raw: bytes | None, spans) -> bytes | None:
     if not spans:
-        return text
-    raw = text.encode()
+        return raw
     words = [m.span() for m in _WORD.finditer(raw.translate(ALNUM))]
     parts, at = [], 0
     for begin, end in spans:
         parts.append(raw[at:words[begin][0]])
         at = words[end - 1][1]
-    return b"".join([*parts, raw[at:]]).decode()
+    return b"".join([*parts, raw[at:]])
 
 
 def clean(docs: DataFrame, items: DataFrame, text="text", item="item_id", item_text="text", window=WINDOW,
           coverage=COVERAGE) -> DataFrame:
     """Texts beyond the coverage limit go; spans beyond the length limit (a window) are cut from the others.
 
-    The columns are those of ``docs``; where a span was cut and there is an ``n_chars``, it follows the text.
+    The columns are those of ``docs``; where a span was cut and there is an ``n_chars``, it follows the text. One scan: a
+    text goes to the automaton once and comes back as it stays.
     """
     names = docs.columns
-    own = f"__row.`{text}`"
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    found = find(packed, items, own, item, item_text, window, coverage).where("NOT contaminated")
-    kept = found.where("n_hit = 0").select("__row.*")
-    cut = extend(found.where("n_hit > 0"), fields(__cut="string"), _cut, own, ["__row"], ["hit_spans"])
-    new = F.col("__cut")
-    columns = [new.alias(c) if c == text else F.length(new).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(f"__row.`{c}`") for c in names]
-    return kept.unionByName(cut.select(*columns))
-
-
-def _cut(texts, spans):
-    return [[remove_spans(t.decode(), s) for t, s in zip(texts, spans)]]
+    rest = [F.col(f"`{c}`") for c in names if c != text]
+    packed = docs.select(F.struct(*rest, F.lit(0).alias("__none")).alias("__row"), F.col(f"`{text}`").alias("__text"))
+    found = _find(packed, items, "__text", item, item_text, window, coverage, ["__row"], CLEANED).where("NOT contaminated")
+    new = F.col("__clean").cast("string")
+
+    def column(c):
+        if c == text:
+            return new.alias(c)
+        kept = F.col(f"__row.`{c}`")
+        return F.when(F.col("n_hit") > 0, F.length(new).cast(docs.schema[c].dataType)).otherwise(kept).alias(c) if c == "n_chars" else kept
+
+    return found.select(*map(column, names))

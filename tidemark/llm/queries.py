@@ -47,8 +47,9 @@ def good_by_rules(spark, docs: DataFrame, sf_dir) -> DataFrame:
 def good_by_classifier(spark, docs: DataFrame, sf_dir) -> DataFrame:
     """The documents that the classifier, learnt from the given ones that are not held out, calls good."""
     model = quality_classifier.train(docs.where(_remainder(3) != 1), trusted(spark, sf_dir, _remainder(3) != 1))
-    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), "text")
-    return quality_classifier.classify(whole, model, keep=["__row"]).where("predicted = 1").select("__row.*")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("__none")).alias("__row")
+    good = quality_classifier.classify(docs.select(rest, "text"), model, keep=["__row", "text"]).where("predicted = 1")
+    return good.select(*["text" if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

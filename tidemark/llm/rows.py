@@ -47,12 +47,17 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     """Adds what ``compute`` finds for each row: it takes a list of UTF-8 texts (or None), and a list for each
     column of ``more``, and gives one list of values per added field.
 
-    Rows pass in Arrow batches, which this lowers to ``ARROW_ROWS`` rows for the session, ``chunk`` texts at a time. ``keep``: the input columns to return, else all; a column
-    named like an added one is replaced.
+    Rows pass in Arrow batches, which this lowers to ``ARROW_ROWS`` rows for the session, ``chunk`` texts at a time. ``keep``: the
+    input columns to return, else all; a column named like an added one is replaced. A text that is kept goes along once.
     """
     keep = others(df.select(*[f"`{c}`" for c in (keep if keep is not None else df.columns)]), added.names)
+    kinds = [df.schema[c].dataType for c in keep]
     given = [f"__k{i}" for i in range(len(keep))]  # names may hold dots, which functions over batches cannot take
-    source = df.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(text).cast("binary").alias("__text"),
+    own = text in keep and isinstance(kinds[keep.index(text)], (T.StringType, T.BinaryType))
+    at = keep.index(text) if own else len(keep)
+    source = df.select(*[(F.col(f"`{c}`").cast("binary") if own and i == at else F.col(f"`{c}`")).alias(g)
+                         for i, (c, g) in enumerate(zip(keep, given))],
+                       *([] if own else [F.col(text).cast("binary").alias("__text")]),
                        *[F.col(c).alias(f"__{i}") for i, c in enumerate(more)])
     schema = T.StructType([*source.schema.fields[:len(keep)], *added.fields])
     limit_batches(df.sparkSession)
@@ -60,15 +65,16 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     def run(batches):
         try:
             for batch in batches:
-                for part in chunks(batch, len(keep), chunk):
+                for part in chunks(batch, at, chunk):
                     columns = part.columns
-                    values = compute(*[c.to_pylist() for c in columns[len(keep):]])
+                    values = compute(columns[at].to_pylist(), *[c.to_pylist() for c in columns[len(columns) - len(more):]])
                     arrays = [*columns[:len(keep)], *arrow_arrays(values, added)]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         finally:
             hand_back()
 
-    return source.mapInArrow(run, schema).select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *[f"`{c}`" for c in added.names])
+    return source.mapInArrow(run, schema).select(*[F.col(g).cast(k).alias(c) for c, g, k in zip(keep, given, kinds)],
+                                                 *[f"`{c}`" for c in added.names])
 
 
 def hand_back() -> None:
