@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 from tests.llm import models
 from tidemark.llm import bpe, decontaminate, license_scan, lm_score, quality_classifier, quality_rules
+from tidemark.llm.rows import extend, fields
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -233,6 +234,30 @@ def test_cleaned_texts(spark):
     assert decontaminate.clean(docs.where("false"), items).count() == 0
 
 
+def test_cleaned_in_several_passes(spark, monkeypatch):
+    """Spans are cut also where an earlier pass than the last one hits."""
+    items = spark.createDataFrame([(f"i{n}", " ".join(f"t{n}x{k}" for k in range(15))) for n in range(40)], "item_id string, text string")
+    rest = " ".join(f"w{i}" for i in range(600))
+    docs = spark.createDataFrame([(n, f"{rest} " + " ".join(f"t{n}x{k}" for k in range(15)) + f" . T{39 - n}x0 end", "odd", n)
+                                  for n in range(40)], "`x.y` bigint, text string, __clean string, n_hit bigint")
+    once = sorted(map(tuple, decontaminate.clean(docs, items).collect()))
+    assert [r[1] for r in once] == [f"{rest}  . T{39 - n}x0 end" for n in range(40)]
+    assert [(r[0], r[2], r[3]) for r in once] == [(n, "odd", n) for n in range(40)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 3000)
+    assert sorted(map(tuple, decontaminate.clean(docs, items).collect())) == once
+
+
+def test_kept_text_goes_along_once(spark):
+    docs = spark.createDataFrame([(1, "é A", b"\xff", 2), (2, None, None, 3), (3, "", b"", None)],
+                                 "doc_id bigint, text string, raw binary, size bigint")
+    for text in ("text", "raw"):
+        out = extend(docs, fields(size="bigint"), lambda found, ids: [[len(t or b"") + i for t, i in zip(found, ids)]], text, more=["doc_id"])
+        assert out.columns == ["doc_id", "text", "raw", "size"] and out.schema["text"].dataType == docs.schema["text"].dataType
+        assert [tuple(r)[:3] for r in sorted(out.collect())] == [tuple(r)[:3] for r in docs.collect()]
+        assert sorted(r["size"] for r in out.collect()) == ([2, 3, 5] if text == "text" else [2, 2, 3])
+
+
 def test_bpe(spark, texts):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     found = run(spark, "op9_bpe").set_index("doc_id")
