@@ -211,6 +211,15 @@ def test_templates_that_rewrite_history():
     assert marks(chat_format.render, "abcd" * 40) == [False] * 160
 
 
+def test_all_prefixes_are_rendered(monkeypatch):
+    whole, seen = chat_format.escape, []
+    monkeypatch.setattr(chat_format, "escape", lambda text: seen.append(text) or whole(text))
+    locator = chat_format.Locator(chat_format.render)
+    for text in "abc":
+        locator.add("r", text, False)
+    assert "".join(seen).replace("r", "") == "aababc"
+
+
 @pytest.mark.parametrize("length", [40, 200])
 def test_templates_that_reach_far_back(spark, length):
     """Every row against real renderings of whole prefixes."""

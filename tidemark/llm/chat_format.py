@@ -6,10 +6,9 @@ later one, the template has rewritten history: the turn is marked, and its span
 text stands inside a span is found in the same way, by rendering the turn with two texts that differ in all letters.
 
 The rows of a conversation pass in order through one stream. A template may look at any earlier turn, so all turns of
-the conversation are held and each prefix is rendered whole: memory grows with the conversation, work with its square.
-A template that is declared context-free (``CONTEXT_FREE``, or by the caller) renders turns one by one: what it gives
-for a list is what it gives for each turn, one after the other. Of such a template no earlier turn is held or rendered
-again, so a conversation of any length takes bounded memory and work that grows with its length.
+the conversation are held and each prefix is rendered whole, with every template, also the one here: memory grows with
+the conversation, work with its square. Only where the caller declares a template of theirs to be context-free (what it
+gives for a list is what it gives for each turn, one after the other) no earlier turn is held or rendered again.
 
 The template here marks turns with ``<|im_start|>`` and ``<|im_end|>``. In texts and roles a backslash more is put between
 ``<`` and ``|`` wherever only backslashes stand between them, so no text holds a control string, and taking one away
@@ -54,9 +53,6 @@ def render(turns: list) -> str:
     return "".join([f"{START}{_one_line(role)}\n{escape(text)}{END}" for role, text in turns])
 
 
-CONTEXT_FREE = (render,)  # templates that render turns one by one
-
-
 def parse(span: str):
     """(role, text) of one formatted turn."""
     found = _TURN.fullmatch(span)
@@ -64,12 +60,11 @@ def parse(span: str):
 
 
 class Locator:
-    """Locates the spans of one conversation's turns, one after the other; ``context_free`` is by default whether the
-    template is among ``CONTEXT_FREE``."""
+    """Locates the spans of one conversation's turns, one after the other, from renderings of all its prefixes."""
 
-    def __init__(self, template, context_free=None):
+    def __init__(self, template, context_free=False):
         self._template, self._turns, self._before, self._passed = template, [], "", 0
-        self._context_free = template in CONTEXT_FREE if context_free is None else context_free
+        self._context_free = context_free
 
     def add(self, role: str, text: str, masked: bool):
         """(span, start and end of the text in the span if ``masked``, whether history was rewritten, where the span
@@ -126,12 +121,12 @@ def _rows(batches, size=_ROWS):
             yield from zip(*[c.to_pylist() for c in batch.slice(lo, size).columns])
 
 
-def format_turns(conversations: DataFrame, template=render, loss_role=LOSS_ROLE, context_free=None) -> DataFrame:
+def format_turns(conversations: DataFrame, template=render, loss_role=LOSS_ROLE, context_free=False) -> DataFrame:
     """One row per turn, a conversation's rows together and in order: its ``position`` from 0, its ``formatted`` span,
     where that begins in the rendering of all turns up to it, and from where to where (in that rendering) the loss mask
     reaches. Unless a later turn is marked as rewritten, these are the places in the conversation's whole.
 
-    ``context_free`` declares that the template renders turns one by one, see ``Locator``. ``conversations`` has ``conv_id, turn, role, text``; other columns are left out. Positions are in code points.
+    ``context_free`` declares that the template renders turns one by one, so that prefixes need not be rendered. ``conversations`` has ``conv_id, turn, role, text``; other columns are left out. Positions are in code points.
     """
     def run(batches):
         def turns():
