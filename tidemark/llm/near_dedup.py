@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.rows import extend, fields, join_small, lower_words
+from tidemark.llm.rows import SMALL_BYTES, extend, fields, join_small, lower_words
 from tidemark.session import materialize
 
 SHINGLE = 5
@@ -219,7 +219,8 @@ def _around(members: DataFrame, source: DataFrame, shingle: int, similarity: int
       all of these;
     * else are linked if and only if they share at least ``(far + far') / (2 (100 + similarity))`` differences, one or more.
       By the prefix principle they then share one of their rarest, in one order of all; how many count follows
-      from ``far`` and the least ``far`` of the partner's stratum.
+      from both ``far``. Classes are dealt to strata by octaves of ``far``, and each meets those of its stratum and below,
+      so a difference stands in one row, and in one more for each stratum that is asked.
 
     So copies that differ from the centre in places of their own never meet, and no link is left out.
     """
@@ -235,35 +236,41 @@ def _around(members: DataFrame, source: DataFrame, shingle: int, similarity: int
         "p", "id", "component", F.size("x").cast("long").alias("n"), _difference("x", "y").alias("e"))
     apart = materialize(apart, "near-apart")
     # from the pivot to the centre: what more than half of the group has otherwise
-    usual = apart.select("p", F.explode("e").alias("e")).groupBy("p", "e").agg(F.count("*").alias("times")).join(
-        near.groupBy("p").agg(F.count("*").alias("size")), "p").where("2 * times > size")
-    usual = usual.groupBy("p").agg(F.collect_list("e").alias("u"))
-    apart = apart.join(usual, "p", "left").withColumn("e", F.when(F.col("u").isNull(), F.col("e")).otherwise(_difference("e", "u")))
+    times = apart.select("p", F.explode("e").alias("e")).groupBy("p", "e").agg(F.count("*").alias("times"))
+    usual = join_small(times, near.groupBy("p").agg(F.count("*").alias("size")), "p").where("2 * times > size")
+    usual = materialize(usual.select("p", "e"), "near-usual")
+    centres = usual.groupBy("p").agg(F.collect_list("e").alias("u"))
+    few = usual.count() * 16 <= SMALL_BYTES
+    apart = apart.join(F.broadcast(centres) if few else centres, "p", "left").withColumn(
+        "e", F.when(F.col("u").isNull(), F.col("e")).otherwise(_difference("e", "u")))
     far = weight * F.size("e").cast("long") - slack * F.col("n")
-    finer = F.floor(4 * F.log2(1 + F.col("far") / (4 * weight))).cast("int") + 1
-    apart = apart.drop("u").withColumn("far", far).withColumn("k", F.when(F.col("far") <= 0, 0).otherwise(finer))
+    octave = F.floor(F.log2(1 + F.col("far") / (4 * weight))).cast("int") + 1
+    apart = apart.drop("u").withColumn("far", far).withColumn("k", F.when(F.col("far") <= 0, 0).otherwise(octave))
     apart = materialize(apart, "near-told")
 
     least = apart.groupBy("p").agg(F.min(F.struct("far", "id", "component")).alias("o"))
-    certain = apart.join(least, "p").where("far + o.far <= 0 AND id <> o.id AND component <> o.component").select(
+    certain = join_small(apart, least, "p", row_bytes=64).where("far + o.far <= 0 AND id <> o.id AND component <> o.component").select(
         F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
     each = apart.select("p", "id", F.explode("e").alias("e"))
     shared = each.groupBy("p", "e").agg(F.count("*").alias("times")).where("times > 1")
     found = each.join(shared, ["p", "e"]).groupBy("p", "id").agg(F.array_sort(F.collect_list(F.struct("times", "e")))["e"].alias("found"))
-    strata = apart.groupBy("p", "k").agg(F.min("far").alias("least")).groupBy("p").agg(F.collect_list(F.struct("k", "least")).alias("strata"))
-    ranked = apart.withColumn("d", F.size("e")).drop("e").join(found, ["p", "id"]).join(strata, "p").select(
-        "p", "id", "component", "far", "d", "k", "found", F.explode("strata").alias("other")).where("k > 0 OR other.k > 0")
-    common = F.greatest(F.lit(1), F.ceil((F.col("far") + F.col("other.least")) / (2 * weight)))
-    # differences of one class alone come first in the order: they take places, but meet nothing
-    places = F.greatest(F.lit(0), F.size("found") - common + 1).cast("int")
-    ranked = ranked.select("p", "id", "component", "far", "k", F.col("other.k").alias("l"), F.size("found").alias("rest"),
-                           F.posexplode(F.slice("found", F.lit(1), places)).alias("place", "e"))
-    ranked = materialize(ranked.withColumn("rest", F.col("rest") - F.col("place")).drop("place"), "near-ranked")
-    partners = ranked.select("p", "e", F.col("k").alias("l"), F.col("l").alias("k"), F.col("id").alias("b"), F.col("component").alias("c"),
-                             F.col("far").alias("far2"), F.col("rest").alias("rest2"))
-    enough = 2 * weight * F.least("rest", "rest2") >= F.col("far") + F.col("far2")  # true of the first that a linked pair shares
-    met = ranked.where("k <= l").join(partners, ["p", "e", "k", "l"]).where("component <> c AND (k < l OR id < b)").where(enough)
+    strata = apart.groupBy("p", "k").agg(F.min("far").alias("least")).groupBy("p").agg(
+        F.array_sort(F.collect_list(F.struct("k", "least"))).alias("strata"))
+    ranked = join_small(apart.select("p", "id", "component", "far", "k").join(found, ["p", "id"]), strata, "p", row_bytes=512)
+    # The place of a difference serves for the partners whose ``far`` is at most its reach: all that come later in the order, itself
+    # included, are then as many as the two have to share. Differences of one class alone come first: they meet nothing.
+    places = F.transform("found", lambda e, i: F.struct(e.alias("e"), (2 * weight * (F.size("found") - i) - F.col("far")).alias("reach")))
+    ranked = ranked.withColumn("places", F.filter(places, lambda at: at["reach"] >= F.col("strata")[0]["least"])).select(
+        "p", "id", "component", "far", "k", "strata", F.explode("places").alias("at")).select(
+        "p", "id", "component", "far", "k", "strata", "at.e", "at.reach")
+    ranked = materialize(ranked, "near-ranked")
+    # each class asks the strata up to its own
+    lower = F.filter("strata", lambda other: (other["k"] <= F.col("k")) & (other["least"] <= F.col("reach")))
+    asks = ranked.where("k > 0").select("p", "e", F.explode(lower["k"]).alias("l"), "id", "component", "far", "reach", "k")
+    asked = ranked.select("p", "e", F.col("k").alias("l"), F.col("id").alias("b"), F.col("component").alias("c"),
+                          F.col("far").alias("far2"), F.col("reach").alias("reach2"))
+    met = asks.join(asked, ["p", "e", "l"]).where("component <> c AND (l < k OR id < b) AND far2 <= reach AND far <= reach2")
     return certain, materialize(met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "near-candidates")
 
 
