@@ -301,6 +301,19 @@ def test_bpe_memory_and_hard_rows(spark, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_words_that_come_again(monkeypatch):
+    """Words beyond the memory of one generation are learnt again only when they are missing from the last one, too."""
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 8)
+    with open(TOKENIZER) as file:
+        coder = bpe.Coder(file.read())
+    learnt, learn = [], coder._learn
+    coder._learn = lambda words: learnt.extend(words) or learn(words)
+    for text in (b"a b c d", b"e f g", b"h i", b"a b c d"):
+        list(coder.encode([text]))
+    assert sorted(learnt) == [bytes([c]) for c in b"abcdefghi"]
+    assert len(coder._of_word) + len(coder._older) <= 16
+
+
 def language_model(texts):
     counts = Counter()
     for i, text in texts:

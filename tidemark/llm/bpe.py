@@ -13,7 +13,7 @@ Texts are encoded whole. Null text and empty text give no tokens; ties and repea
 import hashlib
 import json
 from functools import lru_cache
-from operator import add
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,10 +23,11 @@ from tokenizers.pre_tokenizers import Split
 
 from tidemark.llm.rows import extend, fields
 
-MEMORY_WORDS = 200_000  # encoded words kept by a worker, and half as many pieces of words
+MEMORY_WORDS = 800_000  # encoded words kept by a worker, in two generations
 BATCH_BYTES = 256 << 10  # texts that are encoded together
 LONG_WORD = 64  # bytes; longer words are encoded but not kept
 MAX_SPEC_BYTES = 64 << 20  # largest tokenizer file that is broadcast
+_BREAK = ord("\n")
 
 
 class Coder:
@@ -42,7 +43,8 @@ class Coder:
             raise ValueError("cuts are certain only for plain BPE, with or without an end-of-word mark")
         suffix = model.get("end_of_word_suffix") or ""
         plain = [t[:-len(suffix)] if suffix and t.endswith(suffix) else t for t in model["vocab"]]
-        self._joined = {a + b for t in plain for a, b in zip(t, t[1:])}
+        joined = {ord(a) << 21 | ord(b) for t in plain for a, b in zip(t, t[1:])}
+        self._joined = np.array(sorted(joined) or [-1], np.int64)  # pairs of letters that stand together in a token
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._inner = _by_line(BPE(vocab=model["vocab"], merges=merges))
         self._last = (_by_line(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix)) if suffix
@@ -50,68 +52,66 @@ class Coder:
         self._special = [t["content"] for t in layout["added_tokens"]]
         self._decoder = layout["decoder"] is not None
         names = {} if self._decoder else self._whole.get_vocab(with_added_tokens=True)
-        self._names = {i: t.encode() for t, i in names.items()}
+        spaced = {i: t.encode() + b" " for t, i in names.items()}
+        sizes = np.bincount(list(spaced), [len(t) for t in spaced.values()]).astype(np.int64) if spaced else np.zeros(1, np.int64)
+        self._names = np.frombuffer(b"".join(spaced[i] for i in sorted(spaced)), np.uint8)  # each with a space after it
+        self._name_bounds = np.append(0, np.cumsum(sizes))
         probe = [self._whole.encode(x, add_special_tokens=False).ids for x in ("a \t\n\x0b\x0c\r b", "a", "b")]
         self._drops_space = probe[0] == probe[1] + probe[2] and not any(t != "".join(t.split()) for t in self._special)
         self._of_word: dict = {}
-        self._of_piece: dict = {}
-
-    def _fragments(self, piece: str) -> list:
-        """The piece between its forced cuts."""
-        joined = self._joined
-        if all(map(joined.__contains__, map(add, piece, piece[1:]))):
-            return [piece]
-        cuts = [i for i in range(1, len(piece)) if piece[i - 1:i + 1] not in joined]
-        return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])]
-
-    def _pieces(self, words: list) -> list:
-        """For each word its pieces by the tokenizer's own normaliser and splitter."""
+        self._older: dict = {}
+
+    def _pieces(self, words: list):
+        """(the words' pieces by the tokenizer's own normaliser and splitter, one after the other, and how many each word has)."""
         normal, split = self._whole.normalizer, self._whole.pre_tokenizer.pre_tokenize_str
         one = lambda w: normal.normalize_str(w) if normal is not None else w
         joined = one(" ".join(words)) if self._drops_space else ""
         parts = joined.split(" ")
         if not self._drops_space or len(parts) != len(words):  # white space beyond ASCII inside of words
-            return [[p for p, _ in split(one(w))] for w in words]
-        found: list = [[] for _ in words]
-        at, end = 0, len(parts[0])
-        for piece, (begin, _) in split(joined):
-            while begin >= end:
-                at += 1
-                end += 1 + len(parts[at])
-            found[at].append(piece)
-        return found
-
-    def _learn_pieces(self, pieces):
-        inner, last, made = {}, {}, {}  # fragments by first sight, numbered
-        for piece in pieces:
-            *heads, tail = self._fragments(piece)
-            made[piece] = ([inner.setdefault(f, len(inner)) for f in heads], last.setdefault(tail, len(last)))
-        heads, tails = _encode_lines(self._inner, list(inner)), _encode_lines(self._last, list(last))
-        for piece, (before, tail) in made.items():
-            self._of_piece[piece] = b"".join([heads[n] for n in before]) + tails[tail] if before else tails[tail]
+            found = [[p for p, _ in split(one(w))] for w in words]
+            return [p for own in found for p in own], np.array([len(own) for own in found], np.int64)
+        made = split(joined)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+        begins = np.fromiter((begin for _, (begin, _) in made), np.int64, len(made))
+        return [p for p, _ in made], np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(words))
+
+    def _merge(self, pieces: list):
+        """(ids of the pieces, one after the other, as bytes, and how many each has): each piece is cut at its forced boundaries,
+        fragments are merged for themselves. Byte-level letters hold no line break."""
+        code = np.frombuffer("\n".join(pieces).encode("utf-32-le"), "<u4").astype(np.int64)
+        pair, breaks = code[:-1] << 21 | code[1:], code == _BREAK
+        at = np.minimum(np.searchsorted(self._joined, pair), len(self._joined) - 1)
+        cuts = np.flatnonzero((self._joined[at] != pair) & ~breaks[:-1] & ~breaks[1:]) + 1
+        fragments = np.insert(code, cuts, _BREAK).astype("<u4").tobytes().decode("utf-32-le").split("\n")
+        ends = np.flatnonzero(breaks)
+        order = np.argsort(np.append(cuts, ends), kind="stable")
+        last = np.append(np.repeat([False, True], [len(cuts), len(ends)])[order], True)  # fragments that end their piece
+        sizes = np.zeros(len(fragments), np.int64)
+        heads, sizes[~last] = _merge_lines(self._inner, list(compress(fragments, ~last)))
+        tails, sizes[last] = _merge_lines(self._last, list(compress(fragments, last)))
+        ids, of_last = np.zeros(len(heads) + len(tails), "<u4"), np.repeat(last, sizes)
+        ids[~of_last], ids[of_last] = heads, tails
+        return ids.tobytes(), np.diff(np.cumsum(sizes)[last], prepend=0)
 
     def _learn(self, words: list):
         """Encodes words (raw fragments) each for itself and keeps them."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        every, plain = " ".join(texts), range(len(words))
+        every = " ".join(texts)
         if any(s in every for s in self._special) or len(every.split()) != len(texts):
-            odd = {i for i, t in enumerate(texts) if any(s in t for s in self._special)}
-            for i in odd:
-                own = self._whole.encode(texts[i], add_special_tokens=False).ids
-                self._of_word[words[i]] = np.array(own, "<u4").tobytes()
-            plain = [i for i in plain if i not in odd]
-            spaced = [i for i in plain if len(texts[i].split()) != 1]
-            pieces = dict(zip(spaced, [self._pieces([texts[i]])[0] for i in spaced]))
-            plain = [i for i in plain if i not in pieces]
-            pieces |= zip(plain, self._pieces([texts[i] for i in plain]))
+            odd = [any(s in t for s in self._special) for t in texts]
+            for word, text in compress(zip(words, texts), odd):
+                own = self._whole.encode(text, add_special_tokens=False).ids
+                self._of_word[word] = np.array(own, "<u4").tobytes()
+            rest = [(w, t, len(t.split()) != 1) for w, t, special in zip(words, texts, odd) if not special]
+            groups = [[(w, t) for w, t, spaced in rest if not spaced], *[[(w, t)] for w, t, spaced in rest if spaced]]
         else:
-            pieces = dict(zip(plain, self._pieces(texts)))
-        known = self._of_piece
-        self._learn_pieces({p for own in pieces.values() for p in own if p not in known})
-        for i, own in pieces.items():
-            self._of_word[words[i]] = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
-        if len(known) > MEMORY_WORDS // 2:
-            known.clear()
+            groups = [list(zip(words, texts))]
+        for group in filter(None, groups):
+            pieces, counts = self._pieces([t for _, t in group])
+            raw, sizes = self._merge(pieces) if pieces else (b"", np.zeros(0, np.int64))
+            bounds = 4 * np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+            bounds = bounds.tolist()
+            self._of_word.update(zip([w for w, _ in group], map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
 
     def _cut(self, text: bytes | None) -> list:
         return text.split() if text and self._drops_space else [text] if text else []
@@ -125,25 +125,36 @@ class Coder:
                 yield from self._encode_some([self._cut(t) for t in texts[begin:end]])
                 begin, size = end, 0
 
+    def _decoded(self, raw: list) -> list:
+        """Decoded texts in UTF-8; without a decoder they are the names of the ids with spaces between."""
+        numbers = [np.frombuffer(r, "<u4") for r in raw]
+        if self._decoder:
+            return [self._whole.decode(n.tolist(), skip_special_tokens=False).encode() for n in numbers]
+        every = np.concatenate(numbers)
+        sizes = self._name_bounds[every + 1] - self._name_bounds[every]
+        ends = np.append(0, np.cumsum(sizes))
+        text = self._names[np.repeat(self._name_bounds[every] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        bounds = ends[np.append(0, np.cumsum([len(n) for n in numbers]))].tolist()
+        return [text[a:max(a, b - 1)] for a, b in zip(bounds, bounds[1:])]
+
     def _encode_some(self, cut: list):
-        needed = set().union(*cut)
-        missing = [w for w in needed if w not in self._of_word]
-        if len(self._of_word) + len(missing) > MEMORY_WORDS:  # words not met since the last change are forgotten
-            before, self._of_word = self._of_word, {}
-            self._of_word = {w: before[w] for w in needed if w in before}
+        needed, missing = set().union(*cut), []
+        for word in needed.difference(self._of_word):
+            found = self._older.get(word)
+            if found is None:
+                missing.append(word)
+            else:
+                self._of_word[word] = found
         if missing:
             self._learn(missing)
         ids = self._of_word.__getitem__
-        for words in cut:
-            raw = b"".join(map(ids, words))
-            numbers = np.frombuffer(raw, "<u4").tolist()
-            if self._decoder:
-                yield raw, self._whole.decode(numbers, skip_special_tokens=False).encode()
-            else:
-                yield raw, b" ".join(map(self._names.__getitem__, numbers))
+        raw = [b"".join(map(ids, words)) for words in cut]
+        yield from zip(raw, self._decoded(raw))
         for word in missing:
             if len(word) > LONG_WORD:
                 del self._of_word[word]
+        if len(self._of_word) > MEMORY_WORDS // 2:  # words that are not met until the next change are forgotten then
+            self._older, self._of_word = self._of_word, {}
 
 
 def _by_line(model: BPE) -> Tokenizer:
@@ -153,14 +164,12 @@ def _by_line(model: BPE) -> Tokenizer:
     return tokenizer
 
 
-def _encode_lines(tokenizer: Tokenizer, fragments: list) -> list:
-    """Ids of each fragment, as bytes; byte-level letters hold no line break."""
+def _merge_lines(tokenizer: Tokenizer, fragments: list):
+    """(ids of the fragments, one after the other, and how many each has)."""
     if not fragments:
-        return []
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
     found = tokenizer.encode("\n".join(fragments), add_special_tokens=False)
-    bounds = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(fragments) + 1)).tolist()
-    raw = np.array(found.ids, "<u4").tobytes()
-    return [raw[4 * a:4 * b] for a, b in zip(bounds, bounds[1:])]
+    return np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(fragments))
 
 
 @lru_cache(maxsize=1)
