@@ -293,6 +293,22 @@ def test_a_repeated_batch_is_counted_once(spark, tmp_path):
     assert (report.processed, report.batches, report.missing) == (6, 2, 1)
 
 
+def test_state_partitions_are_bounded(spark, tmp_path):
+    """What tasks report of the state grows with the square of its partitions; the session's own number stays."""
+    inbox, ckpt, name = str(tmp_path / "in"), str(tmp_path / "ckpt"), "spark.sql.shuffle.partitions"
+    spark.createDataFrame([("d", 1.0, 1_000), ("d", 3.0, 20_000)], SENSOR_EVENT).coalesce(1).write.parquet(inbox)
+    given = spark.conf.get(name)
+    spark.conf.set(name, 80)
+    try:
+        result = stream.window_stream(spark.readStream.schema(SENSOR_EVENT).parquet(inbox))
+        stream.start(result, ckpt, path=str(tmp_path / "out"), drain=True).awaitTermination()
+        assert spark.conf.get(name) == "80"
+    finally:
+        spark.conf.set(name, given)
+    made = spark.read.format("state-metadata").load(ckpt).select("numPartitions").distinct().collect()
+    assert [r[0] for r in made] == [stream.STATE_PARTITIONS] and spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
 def test_flush_timer(spark, tmp_path):
     """The timer emits windows without a drain: rows arrive while the query runs."""
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")

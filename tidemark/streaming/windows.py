@@ -13,6 +13,7 @@ from tidemark.schemas import FLUSH_INTERVAL_MS, GRACE_MS, RESULT_SCHEMA, STRING,
 from tidemark.session import folders, remove, rename, write_text
 
 COUNTED = ("processed", "late", "dropped")
+STATE_PARTITIONS = 64  # of a new query's state, at most
 
 
 def window_stream(events: DataFrame, size_ms=WINDOW_MS, grace_ms=GRACE_MS) -> DataFrame:
@@ -226,9 +227,14 @@ def run_report(query, name="late") -> dict:
 
 
 def start(df: DataFrame, checkpoint: str, *, path=None, handler=None, drain=False,
-          interval_ms=FLUSH_INTERVAL_MS, mode="append"):
+          interval_ms=FLUSH_INTERVAL_MS, mode="append", state_partitions=None):
     """Starts a query that appends to a parquet folder, or hands every batch to ``handler(frame, batch_id)``.
 
+    Every task of a stateful step reports a metric for each partition of the state, so what reaches the driver in a batch grows
+    with the square of their number. A new query therefore gets the session's shuffle partitions, but at most ``state_partitions``
+    (``STATE_PARTITIONS``, or with a handler, whose own shuffles they would also bound, no limit); one with a checkpoint keeps
+    those it has.
+
     It runs every ``interval_ms``, or with ``drain`` handles what is there and stops; windows that are still
     open then stay in the checkpointed state and are finished by a later run.
     """
@@ -237,8 +243,15 @@ def start(df: DataFrame, checkpoint: str, *, path=None, handler=None, drain=Fals
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = (writer.trigger(availableNow=True) if drain
               else writer.trigger(processingTime=f"{interval_ms} milliseconds"))
-    return (writer.format("parquet").option("path", path).start() if handler is None
-            else writer.foreachBatch(handler).start())
+    writer = writer.format("parquet").option("path", path) if handler is None else writer.foreachBatch(handler)
+    conf, name = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    given = conf.get(name)
+    most = state_partitions or (STATE_PARTITIONS if handler is None else int(given))
+    conf.set(name, min(int(given), most))
+    try:
+        return writer.start()  # the query keeps the settings of this moment
+    finally:
+        conf.set(name, given)
 
 
 def split_unreadable(good_path: str, dead_path: str):
