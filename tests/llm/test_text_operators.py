@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tests.llm import models
-from tidemark.llm import bpe, decontaminate, license_scan, lm_score, quality_classifier, quality_rules
+from tidemark.llm import bpe, decontaminate, license_scan, lm_score, quality_classifier, quality_rules, rows
 from tidemark.llm.rows import extend, fields
 
 SF = "/root/testdata/sf0.001"
@@ -314,6 +314,24 @@ def test_bpe_words_that_come_again(monkeypatch):
     assert len(coder._of_word) + len(coder._older) <= 16
 
 
+def test_bpe_memory_of_a_worker_is_bounded():
+    """Fewer words in memory give the same ids, and another operator's task empties it."""
+    with open(TOKENIZER) as file:
+        spec = file.read()
+    given = [" ".join(f"w{i}" for i in range(at, at + 400)).encode() for at in range(0, 4000, 300)]
+    assert bpe._coded(spec, 500, given) == bpe._coded(spec, 10**6, given)
+    small = bpe._coder(spec, 500)
+    for text in given:
+        list(small.encode([text]))
+        assert len(small._of_word) <= 500 and len(small._older) <= 900
+    bpe._coder.cache_clear()
+    bpe._coded(spec, 500, given)
+    rows.forget_others(bpe.__name__)
+    assert bpe._coder.cache_info().currsize == 1
+    rows.forget_others(decontaminate.__name__)
+    assert bpe._coder.cache_info().currsize == 0
+
+
 def language_model(texts):
     counts = Counter()
     for i, text in texts:

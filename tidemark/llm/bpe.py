@@ -21,9 +21,10 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
-from tidemark.llm.rows import extend, fields
+from tidemark.llm.rows import extend, fields, hand_back, remember
 
 MEMORY_WORDS = 800_000  # encoded words kept by a worker, in two generations
+SHARED_WORDS = 200_000  # the same where the executor's memory is full of other steps already
 BATCH_BYTES = 256 << 10  # texts that are encoded together
 LONG_WORD = 64  # bytes; longer words are encoded but not kept
 MAX_SPEC_BYTES = 64 << 20  # largest tokenizer file that is broadcast
@@ -33,7 +34,8 @@ _BREAK = ord("\n")
 class Coder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does; decodes with special tokens kept."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, words: int | None = None):
+        self._memory = MEMORY_WORDS if words is None else words
         self._whole = Tokenizer.from_str(spec)
         self._whole.no_truncation()
         self._whole.no_padding()
@@ -153,7 +155,7 @@ class Coder:
         for word in missing:
             if len(word) > LONG_WORD:
                 del self._of_word[word]
-        if len(self._of_word) > MEMORY_WORDS // 2:  # words that are not met until the next change are forgotten then
+        if len(self._of_word) > self._memory // 2:  # words that are not met until the next change are forgotten then
             self._older, self._of_word = self._of_word, {}
 
 
@@ -173,8 +175,16 @@ def _merge_lines(tokenizer: Tokenizer, fragments: list):
 
 
 @lru_cache(maxsize=1)
-def _coder(spec: str) -> Coder:
-    return Coder(spec)
+def _coder(spec: str, words: int) -> Coder:
+    return Coder(spec, words)
+
+
+remember(__name__, _coder.cache_clear)
+
+
+def _coded(spec: str, words: int, texts: list) -> list:
+    hand_back()  # what the texts before and forgotten words have left
+    return list(_coder(spec, words).encode(texts))
 
 
 def _shared(spark, path):
@@ -185,23 +195,23 @@ def _shared(spark, path):
     return spark.sparkContext.broadcast(spec)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text="text", keep=None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, text="text", keep=None, words=MEMORY_WORDS) -> DataFrame:
     """Adds ``token_ids`` (array of int) and ``decoded`` (string); columns so named are replaced."""
     spec = _shared(docs.sparkSession, tokenizer_path)
 
     def compute(texts):
-        coded = list(_coder(spec.value).encode(texts))
+        coded = _coded(spec.value, words, texts)
         return [[np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in coded], [d.decode() for _, d in coded]]
 
     return extend(docs, fields(token_ids="array<int>", decoded="string"), compute, text, keep)
 
 
-def digests(docs: DataFrame, tokenizer_path: str, text="text", keep=None) -> DataFrame:
+def digests(docs: DataFrame, tokenizer_path: str, text="text", keep=None, words=MEMORY_WORDS) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the same encoding; the arrays stay in the task."""
     spec = _shared(docs.sparkSession, tokenizer_path)
 
     def compute(texts):
-        coded = list(_coder(spec.value).encode(texts))
+        coded = _coded(spec.value, words, texts)
         return [[len(ids) // 4 for ids, _ in coded], [hashlib.sha256(ids).hexdigest() for ids, _ in coded],
                 [hashlib.sha256(d).hexdigest() for _, d in coded]]
 

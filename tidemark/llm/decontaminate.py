@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.rows import ALNUM, CHUNK, alnum_words, extend, fields, others
+from tidemark.llm.rows import ALNUM, CHUNK, alnum_words, extend, fields, others, remember
 from tidemark.session import materialize
 
 WINDOW = 13
@@ -140,6 +140,7 @@ class Automaton:
 
 
 _built: dict = {}  # of a worker: the last automaton by its key
+remember(__name__, _built.clear)
 
 
 def _automaton(key, block, window):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.rows import SMALL_BYTES, extend, fields, join_small, lower_words
+from tidemark.llm.rows import SMALL_BYTES, extend, fields, join_small, lower_words, remember
 from tidemark.session import materialize
 
 SHINGLE = 5
@@ -60,6 +60,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+remember(__name__, _hashes.clear)
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:

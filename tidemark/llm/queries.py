@@ -98,8 +98,8 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.group(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=2)
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+def bpe_digests(docs: DataFrame, words=bpe.MEMORY_WORDS) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], words=words)
 
 
 def op9_bpe(spark, sf_dir):

@@ -63,6 +63,7 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
     limit_batches(df.sparkSession)
 
     def run(batches):
+        forget_others(compute.__module__)
         try:
             for batch in batches:
                 for part in chunks(batch, at, chunk):
@@ -77,6 +78,21 @@ def extend(df: DataFrame, added: T.StructType, compute, text="text", keep=None,
                                                  *[f"`{c}`" for c in added.names])
 
 
+_memories: dict = {}  # of a worker: what empties the memory of each operator
+
+
+def remember(module: str, forget) -> None:
+    """``forget`` empties what the module keeps in a worker from task to task."""
+    _memories[module] = forget
+
+
+def forget_others(module: str) -> None:
+    """A worker that served other operators before keeps the memory of this one only."""
+    for name, forget in _memories.items():
+        if name != module:
+            forget()
+
+
 def hand_back() -> None:
     """Gives memory that a task has freed back to the system: workers serve many tasks, of other stages too."""
     pa.default_memory_pool().release_unused()
