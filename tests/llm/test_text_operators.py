@@ -411,6 +411,25 @@ def test_scores_do_not_depend_on_the_place_of_the_filter(spark):
     assert lm_score.score(docs.where("false"), docs, max_bytes=0).count() == 0
 
 
+def test_counts_and_questions_in_one_shuffle(spark, monkeypatch):
+    """A condition on the rows gives what a frame of the training texts gives, n-grams pass one shuffle, and runs over several parts fit."""
+    monkeypatch.setattr(lm_score, "LOOKED_BYTES", 1 << 20)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(
+        models.hard(spark).select("doc_id", "text")).repartition(3)
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    names, written = ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens"], []
+    plain = lm_score.materialize
+    monkeypatch.setattr(lm_score, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    of = lambda training, **limits: sorted(lm_score.score(docs, training, keep=["doc_id"], **limits).select(names).collect(), key=str)
+    once = of(docs.where(learn))
+    del written[:]
+    for training in (learn, docs.where(learn)):
+        for a, b in zip(once, of(training, max_bytes=65536), strict=True):
+            assert a[:3] == b[:3] and a[5] == b[5] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9)
+            assert math.isclose(a[4], b[4], rel_tol=1e-9, abs_tol=1e-9)
+    assert written == ["lm-texts", "lm-levels"] * 2
+
+
 def test_pairs_met_once_count(spark):
     """Against the formula; medians, since a single probe may err."""
     training = [(i, f"a{i} b{i} c{i}") for i in range(40)]

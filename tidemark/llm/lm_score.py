@@ -9,15 +9,16 @@ A token's probability interpolates the two orders: of the mass of a context that
 the pairs in proportion to their counts, all else to the smoothed word probability ``(c + 1) / (N + V + 1)``. As no
 pair is left out, the counts of a context's pairs add up to its own.
 
-N-grams are placed by the upper bits of their hashes, about ``PLACE_BYTES`` of training text to a place, and go there in
+N-grams are placed by the upper bits of their hashes, about ``PLACE_BYTES`` of text to a place, and go there in
 one shuffle, sorted and packed. The place's task adds up their counts and fills the place's part of the filter, ``BITS_PER_ENTRY``
-bits an entry however many there are. Up to ``MAX_BYTES`` the filter is broadcast. Beyond, the texts are written in chunks,
-the n-grams of each chunk go to their places, and levels alone, one byte each in the order asked, come back to the
-chunk; both ways probe the same bits, so scores do not depend on the way. A foreign n-gram is found with a chance of about
-4e-5, and no pair counts for more than either of its words.
+bits an entry however many there are. Up to ``MAX_BYTES`` the filter is broadcast. Where the training texts are so large that it
+would be beyond, the texts are written in chunks of ``LOOKED_BYTES``, and the distinct n-grams of each chunk go to their places once, as
+counts and as questions together; the place's task fills its bits, probes them, and gives back to the chunk levels, one byte each in the order
+asked, and exact counts of words. Both ways probe the same bits, so scores do not depend on the way. A foreign n-gram is found
+with a chance of about 4e-5, and no pair counts for more than either of its words.
 
-``base_score`` takes exact counts of words. Up to ``MAX_WORDS`` distinct words they are a broadcast of 16 bytes each;
-beyond, the words of all texts are joined with them. Words and pairs are told by 64-bit hashes.
+``base_score`` takes exact counts of words. Beside a broadcast filter, up to ``MAX_WORDS`` distinct words they are a broadcast of
+16 bytes each; beyond, the words of all texts are joined with them. Words and pairs are told by 64-bit hashes.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, and one end. Null and empty texts are an end
 alone. Without training texts N and V are 0, every count is 0 and every score is 0. Repeated rows count once each.
@@ -29,10 +30,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.rows import ARROW_ROWS, arrow_arrays, chunks, extend, fields, limit_batches, lower_words, others
+from tidemark.llm.rows import arrow_arrays, chunks, extend, fields, forget_others, hand_back, limit_batches, lower_words, others, remember
 from tidemark.session import materialize
 
 BASE = 1.5
@@ -41,8 +43,9 @@ PROBES = 8
 BITS_PER_ENTRY = 24
 SEGMENT_BITS = 19
 PLACE_BYTES = 16 << 20
-PACKED = 2_048  # n-grams in one row on their way to a place
+PACKED = 1_024  # n-grams in one row on their way to a place
 MAX_BYTES = 64 << 20
+LOOKED_BYTES = 12 << 20  # texts whose n-grams are asked for together
 MAX_WORDS = 6_000_000
 
 WORD, PAIR = 1, 2
@@ -66,6 +69,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+remember(__name__, lambda: (_hashes.clear(), _loaded.clear()))
 
 
 def tokens(texts: list):
@@ -115,12 +119,32 @@ def _grams_of(body: bytes):
     return np.cumsum(_unpacked(body), dtype=np.uint64)
 
 
-def place_bits(docs: DataFrame, text="text") -> int:
-    """Bits that tell places, from the size of the training texts."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+def text_bytes(docs: DataFrame, text="text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
+def _bits_for(size: int) -> int:
     return max(0, (-(-size // PLACE_BYTES) - 1).bit_length())
 
 
+def place_bits(docs: DataFrame, text="text") -> int:
+    """Bits that tell places, from the size of the texts."""
+    return _bits_for(text_bytes(docs, text))
+
+
+def _total(held: list):
+    """(sorted distinct n-grams, their summed counts, where each given one stands among them) of packed n-grams and counts."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    gram, n = np.concatenate([_grams_of(g) for g, _ in held]), np.concatenate([_unpacked(c).view(np.int64) for _, c in held])
+    order = np.argsort(gram, kind="stable")
+    gram, n = gram[order], n[order]
+    first = np.append(True, gram[1:] != gram[:-1])
+    begins, where = np.flatnonzero(first), np.zeros(len(gram), np.int32)
+    where[order] = np.cumsum(first) - 1
+    return gram[begins], np.add.reduceat(n, begins), where
+
+
 MADE = fields(place="int", segment="int", segments="int", bits="binary", grams="binary", counts="binary", total="bigint", distinct="bigint")
 
 
@@ -149,17 +173,8 @@ def gather(docs: DataFrame, bits: int, text="text") -> DataFrame:
             yield summed(WORD, held[0])
             yield summed(PAIR, held[1])
 
-    def total(held):
-        if not held:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        gram, n = np.concatenate([_grams_of(g) for g, _ in held]), np.concatenate([_unpacked(c).view(np.int64) for _, c in held])
-        order = np.argsort(gram, kind="stable")
-        gram, n = gram[order], n[order]
-        begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        return gram[begins], np.add.reduceat(n, begins)
-
     def finished(place, held):
-        (words, times), (pairs, met) = total(held[WORD]), total(held[PAIR])
+        (words, times, _), (pairs, met, _) = _total(held[WORD]), _total(held[PAIR])
         found = fill(np.repeat([WORD, PAIR], [len(words), len(pairs)]), np.append(words, pairs), _level(np.append(times, met)))
         width = 2 ** (SEGMENT_BITS - 3)
         for segment in range(len(found) // width):
@@ -224,6 +239,8 @@ def fill(kind, gram, level) -> bytes:
 class Filter:
     """Probes of places that follow one another; ``starts`` has each one's first segment, and the end."""
 
+    exact = None
+
     def __init__(self, bits, starts=None, place_bits=0):
         self.bits = np.frombuffer(bits, np.uint8)
         self.starts = np.array([0, len(bits) >> (SEGMENT_BITS - 3)] if starts is None else starts, np.uint64)
@@ -278,11 +295,12 @@ class Model:
         self.filter = bits and Filter(*bits)
         self.exact = exact and (np.frombuffer(exact[0], np.uint64), np.frombuffer(exact[1], np.int64))
 
-    def score(self, texts: list, found=None):
+    def score(self, texts: list, found=None, split=None):
         """(tokens, known tokens, base score, score) of each text; without exact counts the middle two are 0.
-        ``found`` has the levels of the texts' n-grams if the filter is not here."""
+        ``found`` has the levels of the texts' n-grams if the filter is not here, ``split`` their tokens if those are known."""
         found = found or self.filter
-        now, before, begins = tokens(texts)
+        exact = self.exact or found.exact
+        now, before, begins = split or tokens(texts)
         if not len(begins):
             return [], [], [], []
         sizes = np.diff(np.append(begins, len(now)))
@@ -292,9 +310,9 @@ class Model:
         mass = self.total + self.distinct + 1
         words, where = np.unique(now, return_inverse=True)
         known, base = np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
-        if self.exact:
-            at = np.minimum(np.searchsorted(self.exact[0], words), len(self.exact[0]) - 1)
-            n = np.where(self.exact[0][at] == words, self.exact[1][at], 0)
+        if exact:
+            at = np.minimum(np.searchsorted(exact[0], words), len(exact[0]) - 1)
+            n = np.where(exact[0][at] == words, exact[1][at], 0)
             known = np.add.reduceat((n > 0)[where].astype(np.int64), begins)
             base = np.add.reduceat(np.log10((n + 1) / mass)[where], begins)
         top = found.level(WORD, words)
@@ -325,134 +343,212 @@ def _model(key, shared) -> Model:
 SCORED = fields(n_tokens="bigint", n_known="bigint", base_score="double", score="double")
 
 
-def score(docs: DataFrame, training: DataFrame, text="text", keep=None, max_bytes=MAX_BYTES, max_words=MAX_WORDS):
-    """Adds ``n_tokens, n_known, base_score, score, train_tokens``; columns so named are replaced."""
+def score(docs: DataFrame, training, text="text", keep=None, max_bytes=MAX_BYTES, max_words=MAX_WORDS):
+    """Adds ``n_tokens, n_known, base_score, score, train_tokens``; columns so named are replaced.
+
+    ``training``: a frame with texts to learn from, or a condition on the rows of ``docs``, which then are read once for both.
+    """
     spark = docs.sparkSession
     keep = others(docs.select(*[f"`{c}`" for c in (keep if keep is not None else docs.columns)]), ["train_tokens"])
-    bits = place_bits(training, text)
-    made = gather(training, bits, text)
+    learnt = training if isinstance(training, DataFrame) else docs.where(training)
+    size = text_bytes(learnt, text)
+    if size > 2 * max_bytes:  # two bytes of text make about one of the filter
+        return _looked_up(docs, training, size, text, keep)
+    bits = _bits_for(size)
+    made = gather(learnt, bits, text)
     total, distinct, segments = made.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct")], F.count("*")).first()
-    spread = segments << (SEGMENT_BITS - 3) > max_bytes
+    if segments << (SEGMENT_BITS - 3) > max_bytes:
+        return _looked_up(docs, training, size, text, keep)
     exact = _exact(made) if 0 < distinct <= max_words else None
-    shared = spark.sparkContext.broadcast((total, distinct, None if spread else _whole(made, bits), exact))
+    shared = spark.sparkContext.broadcast((total, distinct, _whole(made, bits), exact))
     name = uuid.uuid4().hex
-    compute = lambda texts, found=None: list(_model(name, shared).score(texts, found))
-
-    def extended(added, compute):
-        if spread:
-            return _looked_up(docs, made, bits, added, compute, text, keep)
-        return extend(docs, added, compute, text, keep)
-
+    compute = lambda texts: list(_model(name, shared).score(texts))
     if exact or not total:
-        scored = extended(SCORED, compute)
+        scored = extend(docs, SCORED, compute, text, keep)
     else:
-        scored = _joined(docs, _words(made), total + distinct + 1, compute, text, extended)
+        scored = _joined(docs, _words(made), total + distinct + 1, compute, text, keep)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 class Levels:
-    """Levels that the filter's places found for the n-grams of one chunk of texts."""
+    """What the filter's places found for the sorted n-grams of one run of texts: levels, and exact counts of words."""
 
-    def __init__(self, grams: dict, levels: dict):
-        self.grams, self.levels = grams, levels
+    def __init__(self, grams: dict, levels: dict, counts: np.ndarray):
+        self.grams, self.levels, self.exact = grams, levels, (grams[WORD], counts)
 
     def level(self, kind: int, grams: np.ndarray) -> np.ndarray:
         return self.levels[kind][np.searchsorted(self.grams[kind], grams)].astype(np.int64)
 
 
-def _grams(texts: list) -> dict:
-    """All that scoring the texts asks the filter for: sorted distinct n-grams of each kind."""
-    now, before, _ = tokens(texts)
-    return {WORD: np.unique(now), PAIR: np.unique(_pair(before, now))}
+def _arrow_schema(kinds: T.StructType):
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(f.name, types[f.dataType.simpleString()]) for f in kinds.fields])
+
 
+ASKED = fields(place="int", chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", grams="binary", counts="binary")
+ANSWER = fields(chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", levels="binary", counts="binary", total="bigint",
+                distinct="bigint")
 
-def _looked_up(docs, made: DataFrame, bits: int, added, compute, text, keep):
-    """As ``extend``, for a filter that is not broadcast: ``compute`` takes the texts of a run and their ``Levels``.
 
-    A run is the part of a chunk that stands in one batch when n-grams are asked. What comes back is told by the run's
-    first row and number of rows, and by the place in its sorted n-grams, which are found again from its texts.
+def _asking(bits: int):
+    """From ``text, learn, chunk, at`` to the distinct n-grams of each run with their counts in the texts to learn from.
+
+    A run is the part of a chunk that a task meets in one go. Texts of chunk -1 are learnt from and not asked for.
     """
-    limit_batches(docs.sparkSession)
-    keep = others(docs.select(*[f"`{c}`" for c in keep]), added.names)
+    schema = _arrow_schema(ASKED)
+
+    def rows(run, held):
+        chunk, first, size = run
+        now, before, among = map(np.concatenate, zip(*held))
+        for kind in (WORD, PAIR):
+            every = now if kind == WORD else _pair(before, now)
+            gram, n = np.unique(every, return_counts=True)
+            if not among.all():
+                foreign, times = np.unique(every[~among], return_counts=True)
+                n[np.searchsorted(gram, foreign)] -= times
+            found = [(place, chunk, first, size, kind, lo, body, _packed(n[lo:hi])) for place, lo, hi, body in _pieces(gram, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    def run(batches):
+        forget_others(__name__)
+        own, held, size = None, [], 0  # of the open run: chunk, first row and number of rows; tokens; number of tokens
+        for batch in batches:
+            for part in chunks(batch, 0):
+                learn, chunk, at = (c.to_numpy(zero_copy_only=False) for c in part.columns[1:])
+                cuts = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(at) != 1) & (chunk[1:] >= 0)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
+                    new = int(chunk[lo]), int(at[lo])
+                    if own and (own[0] != new[0] or (size >= _HELD if new[0] < 0 else own[1] + own[2] != new[1])):
+                        yield from rows(own, held)
+                        own = None
+                    if not own:
+                        own, held, size = (*new, 0), [], 0
+                    now, before, begins = tokens(part.column(0).slice(lo, hi - lo).to_pylist())
+                    held.append((now, before, np.repeat(learn[lo:hi], np.diff(np.append(begins, len(now))))))
+                    own, size = (*new[:1], own[1], own[2] + hi - lo), size + len(now)
+        if own:
+            yield from rows(own, held)
+        held = None
+        hand_back()
+
+    return run
+
+
+def _answering(batches):
+    """The n-grams of whole places, one after the other, to what the runs asked for, and a row of totals for each place."""
+    schema = _arrow_schema(ANSWER)
+
+    def rows(held):
+        asked, summed = {k: [r for r in held if r[3] == k] for k in (WORD, PAIR)}, {}
+        for kind, own in asked.items():
+            summed[kind] = _total([r[5:7] for r in own])
+        learnt = {k: n > 0 for k, (_, n, _) in summed.items()}
+        kinds = np.repeat([WORD, PAIR], [learnt[k].sum() for k in (WORD, PAIR)])
+        gram, n = (np.concatenate([summed[k][i][learnt[k]] for k in (WORD, PAIR)]) for i in (0, 1))
+        probes = Filter(fill(kinds, gram, _level(n)))
+        yield [(None, None, None, None, None, None, None, int(summed[WORD][1].sum()), int(learnt[WORD].sum()))]
+        for kind, own in asked.items():
+            gram, n, where = summed[kind]
+            level = np.minimum(probes.level(kind, gram), 255).astype(np.uint8)
+            ends = np.cumsum([len(r[5]) // 8 for r in own]).tolist()
+            found = []
+            for (chunk, first, size, _, begin, _, _), lo, hi in zip(own, [0, *ends], ends):
+                if chunk >= 0:
+                    at = where[lo:hi]
+                    found.append((chunk, first, size, kind, begin, level[at].tobytes(), _packed(n[at]) if kind == WORD else None, None, None))
+            if found:
+                yield found
+
+    def batches_of(held):
+        for found in rows(held):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    open_place, held = None, []
+    for batch in batches:
+        for place, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if place != open_place:
+                if held:
+                    yield from batches_of(held)
+                open_place, held = place, []
+            held.append(row)
+    if held:
+        yield from batches_of(held)
+    held = None
+    hand_back()
+
+
+def _looked_up(docs, training, size: int, text, keep):
+    """Scores by a filter that is not broadcast: its places answer for the n-grams of runs of texts.
+
+    What comes back is told by the run's first row and number of rows, and by the place in its sorted n-grams, which are
+    found again from its texts.
+    """
+    spark = docs.sparkSession
+    limit_batches(spark)
+    keep = others(docs.select(*[f"`{c}`" for c in keep]), SCORED.names)
     given = [f"__k{i}" for i in range(len(keep))]
-    source = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(text).cast("binary").alias("__text"))
+    apart = isinstance(training, DataFrame)
+    learn = F.lit(False) if apart else F.coalesce(training.cast("boolean"), F.lit(False))
+    source = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(keep, given)], F.col(text).cast("binary").alias("__text"),
+                         learn.alias("__learn"))
 
     def chunked(batches):
+        chunk, at, held = 0, 0, None
         for batch in batches:
-            for part in chunks(batch, len(keep), ARROW_ROWS):
-                own = pa.array(np.full(part.num_rows, int.from_bytes(os.urandom(8)) >> 1))
-                yield pa.RecordBatch.from_arrays([*part.columns, own, pa.array(np.arange(part.num_rows))],
-                                                 names=[*given, "__text", "__chunk", "__at"])
+            for part in chunks(batch, len(keep)):
+                own = pc.sum(pc.binary_length(part.column(len(keep)))).as_py() or 0
+                if held is None or held + own > LOOKED_BYTES:
+                    chunk, at, held = int.from_bytes(os.urandom(8)) >> 1, 0, 0
+                rows = part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(rows, chunk)), pa.array(np.arange(at, at + rows))],
+                                                 names=[*given, "__text", "__learn", "__chunk", "__at"])
+                at, held = at + rows, held + own
 
     # chunks are numbered at random, so they are written once and read twice
     rows = materialize(source.mapInArrow(chunked, T.StructType([*source.schema.fields, *fields(__chunk="bigint", __at="bigint")])), "lm-texts")
-
-    asked_fields = fields(place="int", segment="int", chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", body="binary")
-    asked_schema = pa.schema([(n, t) for n, t in zip(asked_fields.names, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()])])
-    last = 2**31 - 1  # after all segments of the place
-
-    def asked(batches):
-        for batch in batches:
-            chunk, at = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for run in np.split(np.arange(len(chunk)), np.flatnonzero((np.diff(chunk) != 0) | (np.diff(at) != 1)) + 1):
-                if not len(run):
-                    continue
-                texts = batch.column(0).slice(run[0], len(run)).to_pylist()
-                found = [(place, last, int(chunk[run[0]]), int(at[run[0]]), len(run), kind, lo, body)
-                         for kind, gram in _grams(texts).items() for place, lo, _, body in _pieces(gram, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), asked_schema)], schema=asked_schema)
-
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked_fields.fields[2:-1]]
-    filled = made.select("place", "segment", *nothing, F.col("bits").alias("body"))
-    together = filled.unionByName(rows.select("__text", "__chunk", "__at").mapInArrow(asked, asked_fields))
-    answer = fields(chunk="bigint", first="bigint", size="bigint", kind="int", begin="bigint", levels="binary")
-
-    def answered(batches):
-        held, own, probes = None, [], None
-        for batch in batches:
-            found = []
-            for place, segment, chunk, first, size, kind, begin, body in zip(*[c.to_pylist() for c in batch.columns]):
-                if place != held:
-                    held, own, probes = place, [], None
-                if segment != last:
-                    own.append(body)
-                    continue
-                if probes is None:
-                    probes, own = Filter(b"".join(own)), []
-                level = probes.level(kind, _grams_of(body))
-                found.append((chunk, first, size, kind, begin, np.minimum(level, 255).astype(np.uint8).tobytes()))
-            if found:
-                kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=answer.names)
-
-    found = together.repartition("place").sortWithinPartitions("place", "segment").mapInArrow(answered, answer)
-    schema = T.StructType([*source.schema.fields[:-1], *added.fields])
+    given_texts = rows.select("__text", "__learn", "__chunk", "__at")
+    bits = _bits_for(max(size, text_bytes(docs, text)))
+    sent = given_texts.mapInArrow(_asking(bits), ASKED)
+    if apart:
+        more = training.select(F.col(text).cast("binary"), F.lit(True), F.lit(-1).cast("long"), F.lit(0).cast("long"))
+        sent = sent.union(more.toDF(*given_texts.columns).mapInArrow(_asking(bits), ASKED))
+    found = materialize(sent.repartition("place").sortWithinPartitions("place").mapInArrow(_answering, ANSWER), "lm-levels")
+    total, distinct = found.where("chunk IS NULL").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "distinct")]).first()
+    schema = T.StructType([*source.schema.fields[:-2], *SCORED.fields])
 
     def finished(own, answers):
         own, answers = own.sort_by("__at"), answers.sort_by([("first", "ascending"), ("kind", "ascending"), ("begin", "ascending")])
-        first, size, kind, levels = (answers[c].to_pylist() for c in ("first", "size", "kind", "levels"))
-        parts = []
+        first, size, kind, levels, counts = (answers[c].to_pylist() for c in ("first", "size", "kind", "levels", "counts"))
+        model, parts = Model(total, distinct, None, None), []
         for begin, rows in sorted(set(zip(first, size))):
-            part = own.slice(begin, rows)
-            texts = part["__text"].to_pylist()
-            bodies = {k: b"".join(x for at, of, x in zip(first, kind, levels) if (at, of) == (begin, k)) for k in (WORD, PAIR)}
-            values = compute(texts, Levels(_grams(texts), {k: np.frombuffer(x, np.uint8) for k, x in bodies.items()}))
-            parts.append(pa.Table.from_arrays([*[part[c] for c in given], *arrow_arrays(values, added)], names=schema.names))
-        return pa.concat_tables(parts)
-
-    scored = rows.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(finished, schema)
-    return scored.select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *[f"`{c}`" for c in added.names])
+            of_run = [p for b in own.slice(begin, rows).to_batches() for p in chunks(b, b.schema.get_field_index("__text"))]
+            split = [tokens(p.column("__text").to_pylist()) for p in of_run]
+            grams = {WORD: np.unique(np.concatenate([now for now, _, _ in split])),
+                     PAIR: np.unique(np.concatenate([_pair(before, now) for now, before, _ in split]))}
+            body = lambda values, k: [x for at, of, x in zip(first, kind, values) if (at, of) == (begin, k)]
+            here = Levels(grams, {k: np.frombuffer(b"".join(body(levels, k)), np.uint8) for k in (WORD, PAIR)},
+                          np.concatenate([_unpacked(x).view(np.int64) for x in body(counts, WORD)]))
+            for part, tokens_of in zip(of_run, split):
+                arrays = [*[part.column(c) for c in given], *arrow_arrays(model.score(None, here, tokens_of), SCORED)]
+                parts.append(pa.RecordBatch.from_arrays(arrays, names=schema.names))
+        hand_back()
+        return pa.Table.from_batches(parts)
+
+    asked = found.where("chunk IS NOT NULL").select("chunk", "first", "size", "kind", "begin", "levels", "counts")
+    scored = rows.drop("__learn").groupBy("__chunk").cogroup(asked.groupBy("chunk")).applyInArrow(finished, schema)
+    return scored.select(*[F.col(g).alias(c) for c, g in zip(keep, given)], *[f"`{c}`" for c in SCORED.names],
+                         F.lit(total).cast("long").alias("train_tokens"))
 
 
 def _digests(texts):
     return [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
 
 
-def _joined(docs, words, mass, compute, text, extended):
+def _joined(docs, words, mass, compute, text, keep):
     """The same with base scores from a join of the words of all distinct texts with their counts."""
     names = [f.name for f in SCORED.fields]
     added = fields(n_tokens="bigint", __known="bigint", __base="double", score="double", __digest="binary")
-    rows = extended(added, lambda texts, found=None: [*compute(texts, found), _digests(texts)])
+    rows = extend(docs, added, lambda texts: [*compute(texts), _digests(texts)], text, keep)
     schema = pa.schema([("digest", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches):

@@ -108,7 +108,7 @@ def op9_bpe(spark, sf_dir):
 
 def op10_lm_score(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    scored = lm_score.score(docs, docs.where(_remainder(7) != 2), keep=["doc_id"])
+    scored = lm_score.score(docs, _remainder(7) != 2, keep=["doc_id"])
     return scored.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
 
 
